@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import language_id, quality_rules
 from .shared import cut
 
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0))
+    model = language_id.train(docs.filter(remainder != 2))
+    return language_id.predict(docs, model, extra={"held_out": remainder == 2})
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = quality_rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality_rules.judge(cut(counts)).select(
@@ -25,6 +32,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": op3_language_id,
         "op8_quality_rules": op8_quality_rules,
     }
 
