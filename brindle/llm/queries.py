@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules
+from . import language_id, piece_codec, pieces, quality_rules, token_counts
 from .shared import cut
 
 
@@ -15,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "piece_bpe_32k.model") -> pieces.Vocabulary:
+    import public_tokenizers
+
+    return pieces.load(public_tokenizers.path(name))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the vocabulary's pieces and scores as a unigram model."""
+    return token_counts.count(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0))
@@ -22,6 +33,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, extra={"held_out": remainder == 2})
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(piece_codec.encode(_table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = quality_rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality_rules.judge(cut(counts)).select(
@@ -32,7 +47,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": op2_token_counts,
         "op3_language_id": op3_language_id,
+        "op5_sentencepiece": op5_sentencepiece,
         "op8_quality_rules": op8_quality_rules,
     }
 
