@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, piece_codec, pieces, quality_rules, token_counts
+from . import language_id, mixing, piece_codec, pieces, quality_rules, sharding, token_counts
 from .shared import cut
 
 
@@ -37,6 +37,51 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode(_table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS draw
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, 3 * source_size AS cap,
+         [5, 2, 1][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s),
+l AS (
+  SELECT *, cap / weight AS lim,
+         (sum(source_size) OVER ()
+          - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
+                             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN level >= lim THEN cap::DOUBLE
+              ELSE min(CASE WHEN level < lim THEN {'a': lim, 'b': level} END) OVER ()['b'] * weight END AS target
+  FROM l),
+r AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole FROM t),
+o AS (
+  SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw
+                  RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)
+         - sum(d.size) OVER (PARTITION BY d.source, d.draw) AS before,
+         sum(d.size) OVER (PARTITION BY d.source, d.draw) AS own
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target,
+       CAST((whole + CASE WHEN rest > 0 AND before + own / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM o
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = quality_rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality_rules.judge(cut(counts)).select(
@@ -50,9 +95,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_language_id": op3_language_id,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_kd_shards": op6_kd_shards,
+        "op7_pareto_mix": op7_pareto_mix,
         "op8_quality_rules": op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_pareto_mix": OP7_SQL}
