@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, piece_codec, pieces, quality_rules, sharding, token_counts
+from . import language_id, mixing, near_dedup, piece_codec, pieces, quality_rules, sharding, token_counts
 from .shared import cut
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def vocabulary(name: str = "piece_bpe_32k.model") -> pieces.Vocabulary:
     import public_tokenizers
 
@@ -92,6 +96,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_language_id": op3_language_id,
         "op5_sentencepiece": op5_sentencepiece,

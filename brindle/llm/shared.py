@@ -41,3 +41,13 @@ def thin(wide: DataFrame, keys: DataFrame, on: str) -> DataFrame:
         .join(F.broadcast(buckets), "_bucket", "left_semi")
         .drop("_bucket")
     )
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is not among ``keys``; a null key stays. Only rows whose bucket some key shares
+    are shuffled, with all their columns."""
+    buckets = cut(keys.select(key_bucket(F.col(on)).alias("_bucket")).distinct())
+    marked = rows.withColumn("_bucket", key_bucket(F.col(on)))
+    apart = marked.join(F.broadcast(buckets), "_bucket", "left_anti")
+    near = marked.join(F.broadcast(buckets), "_bucket", "left_semi").join(keys.select(on).distinct(), on, "left_anti")
+    return apart.unionByName(near).select(*rows.columns)
