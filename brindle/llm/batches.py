@@ -42,3 +42,23 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def groups(stream: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, over the ends of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, batch.num_rows].tolist()
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            own = tuple(key[start])
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)

@@ -133,31 +133,11 @@ def _promising(percent: int):
     return run
 
 
-def _groups(stream: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys, over the ends of batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in stream:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
-        cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, batch.num_rows].tolist()
-        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-            own = tuple(key[start])
-            if held and own != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(start, end - start))
-            last = own
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _across(percent: int):
     """Promising pairs in different components within each cell of a band's group."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(stream, ["band", "i", "j"]):
+        for table in batches.groups(stream, ["band", "i", "j"]):
             rows = table.combine_chunks().to_batches()[0]
             tile, i, j = (rows.column(c).to_numpy() for c in ("tile", "i", "j"))
             node, comp, n = (rows.column(c).to_numpy() for c in ("node", "comp", "n"))
