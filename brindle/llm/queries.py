@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, piece_codec, pieces, quality_rules, sharding, substring_dedup, token_counts
+from . import language_id, mixing, near_dedup, piece_codec, pieces, quality_rules, sharding, substring_dedup, token_counts, vector_dedup
 from .shared import cut
 
 
@@ -94,6 +94,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -109,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_kd_shards": op6_kd_shards,
         "op7_pareto_mix": op7_pareto_mix,
         "op8_quality_rules": op8_quality_rules,
+        "op9_vector_near_dedup": op9_vector_near_dedup,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
