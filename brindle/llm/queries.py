@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, piece_codec, pieces, quality_rules, sharding, substring_dedup, token_counts, vector_dedup
+from . import language_id, mixing, near_dedup, piece_codec, pieces, quality_rules, sharding, substring_dedup, token_counts, url_filter, vector_dedup
 from .shared import cut
 
 
@@ -37,6 +37,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, extra={"held_out": remainder == 2})
 
 
+#: Verdict, host and path of each.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train(url_filter.default_labels(spark))
+    return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode(_table(spark, sf_dir, "documents"), vocabulary()))
 
@@ -109,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_language_id": op3_language_id,
+        "op4_url_filter": op4_url_filter,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_kd_shards": op6_kd_shards,
         "op7_pareto_mix": op7_pareto_mix,
