@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational
+from .plans import aggregates, relational
 
-_MODULES = (relational,)
+_MODULES = (relational, aggregates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1 @@
+"""Operators on DataFrames that Spark has no single call for."""
