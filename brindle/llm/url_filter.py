@@ -100,14 +100,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def _grams(text: Column, mark: str) -> Column:
     """n-grams of the text between two marks; none of a length that it doesn't have."""
     whole = F.concat(F.lit("^"), text, F.lit("$"))
-    each = [
-        F.when(
-            F.length(whole) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(whole) - n + 1), lambda i, n=n: F.concat(F.lit(mark), F.substring(whole, i, F.lit(n)))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in GRAMS
-    ]
-    return F.flatten(F.array(*each))
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(whole) - n + 1)
+        grams = F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(whole, i, F.lit(n))))
+        return F.when(F.length(whole) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*map(of, GRAMS)))
 
 
 def _featured(urls: DataFrame) -> DataFrame:
@@ -124,7 +123,7 @@ def default_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "url string, verdict string")
 
 
-def train(labelled: DataFrame, regularisation: float = 0.02) -> LogisticRegressionModel:
+def train(labelled: DataFrame, regularisation: float = 0.005) -> LogisticRegressionModel:
     """From columns url and verdict (allow or block). A larger table than MAX_LABELLED is refused."""
     rows = labelled.limit(MAX_LABELLED + 1).collect()
     if len(rows) > MAX_LABELLED:
