@@ -3,8 +3,6 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
-DATA = "/root/testdata"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -1,25 +1,21 @@
 """Every query that SQL can express, against DuckDB."""
 
 import pytest
-from comparing import same
-from conftest import DATA
+from comparing import DATA, same
 
 from brindle import catalog
 
 SQL = catalog.oracle_sql()
 
-
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, name):
     sf_dir = f"{DATA}/sf0.01"
     same(catalog.queries()[name](spark, sf_dir), sf_dir, SQL[name])
 
-
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_others_have_rows(spark, name):
     assert catalog.queries()[name](spark, f"{DATA}/sf0.001").count() > 0
 
-
 def test_sketches_come_near(spark):
     for r in catalog.queries()["agg_sketches"](spark, f"{DATA}/sf0.01").collect():
         assert abs(r.parts_hll_pp - r.parts) <= 0.05 * r.parts
