@@ -81,7 +81,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         .withColumn("_w", F.lit(1.0) if weight is None else weight.cast("double"))
     )
     narrow = cut(sized.select("_source", "size", "_u", "_w"))
-    weighed = narrow.groupBy("_source").agg((F.sum(F.col("_w") * F.col("size")) / F.sum("size")).alias("_mean"))
+    weighed = narrow.groupBy("_source").agg(F.try_divide(F.sum(F.col("_w") * F.col("size")), F.sum("size")).alias("_mean"))
     per_source = (
         targets(narrow)
         .withColumn("_whole", F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)))
