@@ -1,5 +1,5 @@
-"""Quality rules as weak supervision: rules vote or abstain, EM estimates how accurate each is,
-and the posterior probability of quality decides.
+"""Quality rules as weak supervision: rules vote or abstain, EM estimates how accurate each is on
+good documents and on each kind of junk, and the posterior probability of quality decides.
 
 Every rule looks at one document's counts and votes 1 (good), -1 (bad) or 0 (abstains). EM needs
 the votes alone, so its sufficient statistic is the number of documents with each pattern of
@@ -106,7 +106,7 @@ def rules() -> dict[str, Column]:
     upper, letters = _per("n_upper", "n_letters"), _per("n_letters", "word_chars")
     return {
         "symbols": _vote(symbols > 0.1, symbols < 0.02),
-        "repeats": _vote(repeats > 0.4, repeats < 0.1),
+        "repeats": _vote(repeats > MAX_REPEAT_PERCENT / 100, repeats < 0.1),
         "lines": _vote(dups > 0.5, (dups == 0) & (F.col("n_lines") > 1)),
         "shouting": _vote(upper > 0.5, upper < 0.15),
         "marks": _vote(marks > 0.3, marks < 0.05),
@@ -115,39 +115,44 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over vote patterns [P, R] that n [P] documents have. Returns the share of good
     documents; accuracy [2, R], the chance that a rule which does not abstain votes -1 on a bad
     document (row 0) and 1 on a good one (row 1); and the posterior of good for each pattern.
 
-    A bad vote is rare and telling, a good vote only says that this rule found nothing, so the two
-    accuracies of a rule are separate. A rule is taken to be wrong on MAX_ERROR of the good
-    documents at most, so that a common kind of junk can't pass for a habit of good documents; on
-    bad ones a Beta prior (3 right, 3 wrong) stands in where votes are few. An abstention says
-    nothing."""
-    good = np.where((patterns == -1).any(axis=1), 0.1, 0.9)
-    says = np.stack([patterns == -1, patterns == 1], axis=0).astype(float)
-    share, accuracy = 0.5, np.full((2, patterns.shape[1]), 0.5)
+    Junk is of many kinds, and a kind is found by one or two rules while the others find nothing.
+    So bad documents are a mixture of one kind for each rule, that this rule finds mostly; EM
+    estimates each kind's share and each rule's votes on it. A rule is taken to be wrong on
+    MAX_ERROR of the good documents at most, so that a common kind of junk can't pass for a habit
+    of good documents; on each kind of junk a Beta prior stands in where votes are few. An
+    abstention says nothing."""
+    r = patterns.shape[1]
+    bad, good = (patterns == -1).astype(float), (patterns == 1).astype(float)
+    fires = np.vstack([np.full(r, MAX_ERROR / 2), np.full((r, r), 0.05) + 0.85 * np.eye(r)])
+    share = np.r_[0.9, np.full(r, 0.1 / r)]
+    prior = 2 * fires[1:]
+    chance = _classes(bad, good, share, fires)
     for _ in range(rounds):
-        weight = np.stack([(1 - good) * n, good * n])
-        share = (weight[1].sum() + 1) / (n.sum() + 2)
-        right = np.stack([weight[0] @ says[0] + 3, weight[1] @ says[1] + 3])
-        wrong = np.stack([weight[0] @ says[1] + 3, weight[1] @ says[0]])
-        accuracy = right / (right + wrong)
-        accuracy[1] = np.clip(accuracy[1], 1 - MAX_ERROR, 1 - MAX_ERROR / 10)
-        new = posterior(patterns, share, accuracy)
-        moved, good = np.abs(new - good).max(initial=0), new
+        weight = chance * n[:, None]
+        share = (weight.sum(axis=0) + 1) / (n.sum() + r + 1)
+        hits, misses = weight.T @ bad, weight.T @ good
+        fires[1:] = (hits[1:] + prior) / (hits[1:] + misses[1:] + 2)
+        fires[0] = np.clip((hits[0] + 1e-9) / (hits[0] + misses[0] + 1e-6), MAX_ERROR / 10, MAX_ERROR)
+        own = np.arange(r)
+        fires[own + 1, own] = np.maximum(fires[own + 1, own], 0.5)
+        new = _classes(bad, good, share, fires)
+        moved, chance = np.abs(new - chance).max(initial=0), new
         if moved < 1e-9:
             break
-    return share, accuracy, good
+    return share[0], np.stack([share[1:] @ fires[1:] / share[1:].sum(), 1 - fires[0]]), chance[:, 0]
 
 
-def posterior(patterns: np.ndarray, share: float, accuracy: np.ndarray) -> np.ndarray:
-    """The chance that a document with these votes is good."""
-    for_good = np.log(accuracy[1] / (1 - accuracy[0]))
-    for_bad = np.log((1 - accuracy[1]) / accuracy[0])
-    odds = np.log(share / (1 - share)) + (patterns == 1) @ for_good + (patterns == -1) @ for_bad
-    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+def _classes(bad: np.ndarray, good: np.ndarray, share: np.ndarray, fires: np.ndarray) -> np.ndarray:
+    """The chance of each class, the good one first, for each pattern of votes."""
+    fires = np.clip(fires, 1e-6, 1 - 1e-6)
+    log = np.log(share) + bad @ np.log(fires).T + good @ np.log1p(-fires).T
+    odds = np.exp(log - log.max(axis=1, keepdims=True, initial=-np.inf))
+    return odds / odds.sum(axis=1, keepdims=True)
 
 
 def judge(counts: DataFrame) -> DataFrame:
