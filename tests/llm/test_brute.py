@@ -175,14 +175,17 @@ def test_op8(spark, texts):
 
 
 def test_op8_em_finds_accuracies():
+    """Of four kinds of junk, each mostly found by a rule of its own."""
     rng = np.random.default_rng(0)
-    good = rng.random(20_000) < 0.8
-    fires = np.array([0.5, 0.3, 0.2, 0.3])
-    bad_vote = np.where(good[:, None], rng.random((20_000, 4)) < 0.002, rng.random((20_000, 4)) < fires)
-    votes, n = np.unique(np.where(bad_vote, -1, 1), axis=0, return_counts=True)
-    share, accuracy, _ = quality_rules.fit(votes, n.astype(float))
-    fired = (~good & bad_vote.any(axis=1)).mean()
-    assert 0.75 < share < 1.02 - fired and np.all(np.abs(accuracy[1] - 0.998) < 0.003)
+    kind = rng.choice(5, 20_000, p=[0.8, 0.08, 0.06, 0.04, 0.02])
+    chance = np.vstack([np.full(4, 0.002), np.full((4, 4), 0.05) + 0.85 * np.eye(4)])
+    votes, n = np.unique(np.where(rng.random((20_000, 4)) < chance[kind], -1, 1), axis=0, return_counts=True)
+    share, accuracy, good = quality_rules.fit(votes, n.astype(float))
+    assert abs(share - 0.8) < 0.03
+    assert np.all(np.abs(accuracy[1] - 0.998) <= 0.003 + 1e-9)
+    want = np.array([0.08, 0.06, 0.04, 0.02]) / 0.2 @ chance[1:]
+    assert np.all(np.abs(accuracy[0] - want) < 0.08)
+    assert np.all((good > 0.5) == (votes == 1).all(axis=1))
 
 
 def _links_of(rows):
