@@ -4,13 +4,14 @@ First a count-min sketch finds windows that may repeat. Each task counts its win
 cells, counters stopping at 2, and sends the cells it used; the counters of all tasks are added up by
 block of cells. A window whose counters all reach 2 may repeat; every window that does repeat is
 among these, since counters only overestimate. The merged sketch is one bit a cell and at most
-2 ** MAX_BITS cells a row: this bounds the broadcast (DEPTH * 64 MB). A corpus too large for
+2 ** MAX_BITS cells a row: this bounds what is broadcast (DEPTH * 64 MB). A corpus too large for
 it lets more windows through, which costs work and changes no result.
 
-Then only those windows are grouped, by 128 bits of their words' fingerprints: each task first
-gathers equal windows of its own into one row, rows meet in the order of window and key, and one
-pass over this order marks the places where a window's key isn't its smallest. No window's places
-are gathered in memory. Marks are joined to the texts by key.
+Then only those windows are grouped, by 96 bits of their words' fingerprints. A task marks by itself
+every place whose window a smaller key of its own has; only the places of its smallest key are sent
+on, packed by bucket of the window, so a window that very many documents share comes once from each
+task. A bucket's places are brought together, and those whose key isn't the window's smallest are
+marked too. Marks are joined to the texts by key and hash of the text.
 
 Defined results: a null or empty text has no words. Windows of rows with a null key are neither
 removed nor make others so. Repeated rows with one key never remove each other's words, and are
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +38,40 @@ MIN_BITS, MAX_BITS = 16, 29
 BLOCK_BITS = 16
 #: Windows that a task holds before it sends what it has of them.
 HELD = 4 << 20
+#: Texts' bytes for each bucket of windows, and the least number of buckets.
+BUCKET_BYTES, MIN_BUCKETS = 4 << 20, 256
 
 
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (words.mix(h + np.uint64(row)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _blocks(cells: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """Blocks of sorted cells, and the cells' places in each as uint16 in a row."""
+def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of data cut at the n + 1 starts."""
+    offsets = (starts * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _gaps(places: np.ndarray) -> bytes:
+    """Rising places as steps of a byte; 255 steps on without a place."""
+    steps = np.diff(places, prepend=-1)
+    skips = steps // 255
+    out = np.full(len(steps) + int(skips.sum()), 255, np.uint8)
+    out[np.cumsum(skips + 1) - 1] = steps % 255
+    return out.tobytes()
+
+
+def _places(gaps: bytes) -> np.ndarray:
+    steps = np.frombuffer(gaps, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255] - 1
+
+
+def _blocks(cells: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Blocks of sorted cells, and the cells' places in each."""
     block = cells >> BLOCK_BITS
-    starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(cells)] if len(cells) else np.zeros(1, np.int64)
-    places = (cells & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
-    data = pa.Array.from_buffers(
-        pa.binary(), len(starts) - 1, [None, pa.py_buffer((2 * starts).astype(np.int32)), pa.py_buffer(places)]
-    )
-    return block[starts[:-1]] if len(cells) else block, data
+    starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(cells)]
+    places = cells & ((1 << BLOCK_BITS) - 1)
+    return block[starts[:-1]], pa.array([_gaps(places[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
 
 
 def _counted(bits: int, size: int):
@@ -62,8 +82,8 @@ def _counted(bits: int, size: int):
             again = np.r_[False, ~first[1:] & first[:-1]]
             # A cell that is listed again counts 2.
             for chosen in (first, again):
-                block, places = _blocks(cells[chosen])
-                if len(block):
+                if chosen.any():
+                    block, places = _blocks(cells[chosen])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(block), row), pa.int32()), pa.array(block, pa.int32()), places],
                         names=["row", "block", "places"],
@@ -99,17 +119,17 @@ def _merged(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key:
                     yield group(key, counts)
                 key, counts = (row, block), np.zeros(1 << BLOCK_BITS, np.uint8)
-            at = np.frombuffer(places, np.uint16)
+            at = _places(places)
             counts[at] = np.minimum(counts[at] + 1, 2)
     if key:
         yield group(key, counts)
 
 
-def sketch(texts: DataFrame, size: int = WINDOW) -> np.ndarray:
-    """For each row of the sketch, one bit a cell: whether it counted 2 or more windows."""
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # A word has about six bytes; half as many cells again as there are windows.
-    bits = int(np.clip(int(total / 4).bit_length(), MIN_BITS, MAX_BITS))
+def sketch(texts: DataFrame, total: int, size: int = WINDOW) -> np.ndarray:
+    """For each row of the sketch of texts of total bytes, one bit a cell: whether it counted 2 or
+    more windows."""
+    # A word has about six bytes; three times as many cells as there are windows, or more.
+    bits = int(np.clip(int(total / 2).bit_length(), MIN_BITS, MAX_BITS))
     parts = texts.mapInArrow(_counted(bits, size), "row int, block int, places binary")
     merged = parts.repartition("row", "block").sortWithinPartitions("row", "block")
     found = merged.mapInArrow(_merged, "row int, block int, bits binary").toArrow()
@@ -128,38 +148,72 @@ def _may_repeat(h: np.ndarray, bits_set: np.ndarray) -> np.ndarray:
     return open_
 
 
-#: In a mark, the place of a window's first word is below a few bits of the text's hash.
-_PLACE = 32
+#: What is sent of a place: its window's hashes, the text's key and hash, and the window's first word.
+_SENT = (np.uint64, np.uint32, np.int64, np.int32, np.uint32)
+_SENT_BYTES = sum(np.dtype(t).itemsize for t in _SENT)
 
 
-def _text_mark(text: bytes) -> int:
-    return (xxhash.xxh3_64_intdigest(text) & 0xFFFFFF) << _PLACE
+def _pack(columns: tuple[np.ndarray, ...]) -> bytes:
+    """The columns' bytes, all first bytes first: high bytes that are mostly equal compress well."""
+    return b"".join(c.astype(t, copy=False).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, t in zip(columns, _SENT, strict=True))
 
 
-def _windows(sent, size: int):
-    """Windows that may repeat: one row for each window and task's share, with its smallest key, that
-    key's mark, and the others' keys and marks."""
+def _unpack(data: bytes) -> list[np.ndarray]:
+    n, at, out = len(data) // _SENT_BYTES, 0, []
+    for t in _SENT:
+        width = np.dtype(t).itemsize
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(t)[:, 0])
+        at += n * width
+    return out
 
-    def send(parts: list) -> pa.RecordBatch:
-        h, g, key, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((key, g, h))
-        h, g, key, mark = h[order], g[order], key[order], mark[order]
-        first = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
-        starts = np.flatnonzero(first)
-        others = np.stack([key[~first], mark[~first]], axis=1)
-        ends = np.cumsum(~first)[np.r_[starts[1:] - 1, len(h) - 1]] * 16
-        rest = pa.Array.from_buffers(
-            pa.binary(), len(starts), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(others))]
-        )
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h[first].view(np.int64)), pa.array(g[first].view(np.int64)), pa.array(key[first]), pa.array(mark[first]), rest],
-            names=["h", "g", "key", "mark", "rest"],
+
+def _above_least(h: np.ndarray, g: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by window and key, and whether each place in it has a key above its window's least."""
+    order = np.lexsort((key, g, h))
+    h, g, key = h[order], g[order], key[order]
+    first = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+    least = key[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
+    return order, key > least
+
+
+def _marks(key: np.ndarray, th: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """One row for each text, with its places as uint32."""
+    order = np.lexsort((place, th, key))
+    key, th, place = key[order], th[order], place[order].astype(np.uint32)
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (th[1:] != th[:-1])])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[starts]), pa.array(th[starts]), _binary(place, np.r_[starts, len(place)])], names=["key", "th", "data"]
+    )
+
+
+def _windows(sent, size: int, bucket_bits: int):
+    """Windows that may repeat: places of each task's smallest key by bucket, and the marks of others."""
+
+    def send(parts: list) -> Iterator[pa.RecordBatch]:
+        h, g, key, th, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, above = _above_least(h, g, key)
+        own = order[above]
+        if len(own):
+            marks = _marks(key[own], th[own], place[own])
+            bucket = marks.column("th").to_numpy() & ((1 << bucket_bits) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *marks.columns], names=["bucket", "key", "th", "data"])
+        rest = order[~above]
+        columns = [c[rest] for c in (h, g, key, th, place)]
+        bucket = (columns[0] >> np.uint64(64 - bucket_bits)).astype(np.int32)
+        starts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+        packed = [_pack(tuple(c[i:j] for c in columns)) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        n = len(packed)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[starts[:-1]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(packed, pa.binary())],
+            names=["bucket", "key", "th", "data"],
         )
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches.sliced(stream):
-            texts, keys = batches.as_bytes(batch.column("text")), batch.column("key").to_numpy()
+            texts = batches.as_bytes(batch.column("text"))
+            keys, hashes = (batch.column(c).to_numpy() for c in ("key", "th"))
             w, offsets = words.fingerprints(texts)
             starts, owner = words.inside(offsets, size)
             h = words.runs(w, size)[starts]
@@ -167,69 +221,84 @@ def _windows(sent, size: int):
             if not len(open_):
                 continue
             own = owner[open_]
-            marks = np.array([_text_mark(t) for t in texts], np.int64)
-            g = words.runs(w, size, seed=1)[starts[open_]]
-            parts.append((h[open_], g, keys[own], marks[own] | (starts[open_] - offsets[own])))
+            g = words.runs(w, size, seed=1)[starts[open_]] >> np.uint64(32)
+            parts.append((h[open_], g.astype(np.uint32), keys[own], hashes[own], starts[open_] - offsets[own]))
             held += len(open_)
             if held > HELD:
-                yield send(parts)
+                yield from send(parts)
                 parts, held = [], 0
         if held:
-            yield send(parts)
+            yield from send(parts)
 
     return run
 
 
 def _later(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of window and key, the keys and marks of all places of a window whose key
-    is above its smallest."""
-    last, least = None, 0
-    for batch in stream:
-        if not batch.num_rows:
-            continue
-        h, g, key, mark = (batch.column(c).to_numpy() for c in ("h", "g", "key", "mark"))
-        first = np.r_[last != (h[0], g[0]), (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
-        smallest = np.where(first, key, least)
-        at = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-        smallest = smallest[at]
-        last, least = (h[-1], g[-1]), smallest[-1]
-        rest = batch.column("rest")
-        size = np.diff(np.frombuffer(rest.buffers()[1], np.int32, len(rest) + 1, rest.offset * 4)) // 16
-        others = np.frombuffer(b"".join(rest.to_pylist()), np.int64).reshape(-1, 2)
-        of = np.repeat(np.arange(len(h)), size)
-        one, more = key > smallest, others[:, 0] > smallest[of]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[key[one], others[more, 0]]), pa.array(np.r_[mark[one], others[more, 1]])], names=["key", "mark"]
-        )
-
+    """Of rows in the order of buckets, the marks that tasks made and those of each bucket's places whose
+    key isn't their window's least."""
+    last, packed, parts, held = None, [], [], 0
+
+    def found() -> int:
+        columns = [np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True)]
+        packed.clear()
+        order, above = _above_least(*columns[:3])
+        own = order[above]
+        if len(own):
+            parts.append(tuple(c[own] for c in columns[2:]))
+        return len(own)
+
+    def send() -> pa.RecordBatch:
+        marks = _marks(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        parts.clear()
+        return marks
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """key and marks (array<long>) of each key with windows that a smaller key has too."""
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
-    sent = docs.sparkSession.sparkContext.broadcast(sketch(texts, size))
-    found = texts.mapInArrow(_windows(sent, size), "h long, g long, key long, mark long, rest binary")
-    ordered = found.repartition("h").sortWithinPartitions("h", "g", "key")
-    later = ordered.mapInArrow(_later, "key long, mark long")
-    return later.groupBy("key").agg(F.collect_list("mark").alias("marks"))
+    for batch in stream:
+        passing = batch.column("key").is_valid()
+        yield batch.select(["key", "th", "data"]).filter(passing)
+        rest = batch.filter(pc.invert(passing))
+        for bucket, data in zip(rest.column("bucket").to_pylist(), rest.column("data").to_pylist(), strict=True):
+            if bucket != last and packed:
+                held += found()
+                if held > HELD:
+                    yield send()
+                    held = 0
+            last = bucket
+            packed.append(data)
+    if packed:
+        found()
+    if parts:
+        yield send()
+
+
+def repeats(texts: DataFrame, size: int = WINDOW) -> DataFrame:
+    """key, th and data (places as uint32, in array<binary>) of each text with windows that a smaller
+    key has too, from columns key, th (a hash of the text) and text."""
+    texts = texts.filter("key IS NOT NULL AND text IS NOT NULL")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bucket_bits = max(MIN_BUCKETS, total // BUCKET_BYTES).bit_length()
+    sent = texts.sparkSession.sparkContext.broadcast(sketch(texts, total, size))
+    found = texts.mapInArrow(_windows(sent, size, bucket_bits), "bucket int, key long, th int, data binary")
+    ordered = found.repartition("bucket").sortWithinPartitions("bucket")
+    later = ordered.mapInArrow(_later, "key long, th int, data binary")
+    return later.groupBy("key", "th").agg(F.collect_list("data").alias("marks"))
 
 
 def _removed(size: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches.sliced(stream):
-            marks = batch.column("marks")
+            marks = batch.column("marks").to_pylist()
             total, gone, kept = [], [], []
-            for i, text in enumerate(batches.as_bytes(batch.column("text"))):
+            for text, own_marks in zip(batches.as_bytes(batch.column("text")), marks, strict=True):
                 own = words.split(text)
-                total.append(len(own))
-                places = marks[i].values.to_numpy() if marks[i].is_valid else np.zeros(0, np.int64)
-                places = places[places >> _PLACE == _text_mark(text) >> _PLACE] & ((1 << _PLACE) - 1)
+                n = len(own)
+                total.append(n)
+                places = np.frombuffer(b"".join(own_marks or ()), np.uint32).astype(np.int64)
+                places = places[places + size <= n]
                 if not len(places):
                     gone.append(0)
                     kept.append(text)
                     continue
-                change = np.zeros(len(own) + 1, np.int32)
-                np.add.at(change, places, 1)
-                np.add.at(change, places + size, -1)
+                change = np.bincount(places, minlength=n + 1) - np.bincount(places + size, minlength=n + 1)
                 covered = np.cumsum(change[:-1]) > 0
                 gone.append(int(covered.sum()))
                 kept.append(b" ".join([w for w, c in zip(own, covered.tolist(), strict=True) if not c]))
@@ -250,11 +319,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     """docs, the text without its repeated words, with n_words (before) and n_removed."""
     names = [c for c in docs.columns if c != text]
     beside = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in names)).alias("rest"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").cast("long").alias("_key")
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("rest"),
+        F.col(f"`{text}`").alias("text"),
+        F.col(f"`{key}`").cast("long").alias("key"),
+        F.hash(F.col(f"`{text}`")).alias("th"),
     )
     kind = beside.schema["rest"].dataType.simpleString()
-    marks = repeats(docs, key, text, size)
-    both = beside.join(marks, F.col("_key") == F.col("key"), "left").select("rest", "text", "marks")
+    marks = repeats(beside.select("key", "th", "text"), size)
+    both = beside.join(marks, ["key", "th"], "left").select("rest", "text", "marks")
     out = both.mapInArrow(_removed(size), f"rest {kind}, text string, n_words long, n_removed long")
     columns = [F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`") for c in docs.columns if c not in ("n_words", "n_removed")]
     return out.select(*columns, "n_words", "n_removed")
