@@ -22,6 +22,7 @@ none. Words are joined by one space where something was removed; other texts sta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -104,11 +105,15 @@ def _counted(bits: int, size: int):
     return run
 
 
+def _squeezed(bits: np.ndarray) -> bytes:
+    return pa.compress(bits.tobytes(), codec="zstd", asbytes=True)
+
+
 def _merged(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bit a cell: whether its counters add up to 2."""
 
     def group(key: tuple, counts: np.ndarray) -> pa.RecordBatch:
-        bits = np.packbits(counts >= 2, bitorder="little").tobytes()
+        bits = _squeezed(np.packbits(counts >= 2, bitorder="little"))
         arrays = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([bits], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, names=["row", "block", "bits"])
 
@@ -125,26 +130,48 @@ def _merged(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield group(key, counts)
 
 
-def sketch(texts: DataFrame, total: int, size: int = WINDOW) -> np.ndarray:
-    """For each row of the sketch of texts of total bytes, one bit a cell: whether it counted 2 or
-    more windows."""
+def sketch(texts: DataFrame, total: int, size: int = WINDOW) -> Sketch:
+    """The merged sketch of texts of total bytes: for each cell, whether it counted 2 windows or more."""
     # A word has about six bytes; three times as many cells as there are windows, or more.
     bits = int(np.clip(int(total / 2).bit_length(), MIN_BITS, MAX_BITS))
     parts = texts.mapInArrow(_counted(bits, size), "row int, block int, places binary")
     merged = parts.repartition("row", "block").sortWithinPartitions("row", "block")
     found = merged.mapInArrow(_merged, "row int, block int, bits binary").toArrow()
-    out = np.zeros((DEPTH, 1 << (bits - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
-    for row, block, data in zip(*(found.column(c).to_pylist() for c in ("row", "block", "bits")), strict=True):
-        out[row, block] = np.frombuffer(data, np.uint8)
-    return out.reshape(DEPTH, -1)
+    return Sketch(bits, {(r, b): d for r, b, d in zip(*(found.column(c).to_pylist() for c in ("row", "block", "bits")), strict=True)})
+
+
+@dataclass
+class Sketch:
+    """DEPTH rows of 2 ** bits cells; blocks has those of which a cell is set, compressed."""
+
+    bits: int
+    blocks: dict[tuple[int, int], bytes]
+
+    def cells(self) -> np.ndarray:
+        size = 1 << (BLOCK_BITS - 3)
+        out = np.zeros((DEPTH, 1 << (self.bits - BLOCK_BITS), size), np.uint8)
+        for (row, block), data in self.blocks.items():
+            out[row, block] = np.frombuffer(pa.decompress(data, size, codec="zstd"), np.uint8)
+        return out.reshape(DEPTH, -1)
+
+
+_last: list = [None, None]
+
+
+def _cells_of(sent) -> np.ndarray:
+    """The cells of a broadcast sketch, kept in the Python worker for its next tasks."""
+    if _last[0] is not sent.value:
+        _last[1] = None
+        _last[:] = [sent.value, sent.value.cells()]
+    return _last[1]
 
 
-def _may_repeat(h: np.ndarray, bits_set: np.ndarray) -> np.ndarray:
-    bits = (bits_set.shape[1] * 8).bit_length() - 1
+def _may_repeat(h: np.ndarray, cells_set: np.ndarray) -> np.ndarray:
+    bits = (cells_set.shape[1] * 8).bit_length() - 1
     open_ = np.arange(len(h))
     for row in range(DEPTH):
         cells = _cells(h[open_], row, bits)
-        open_ = open_[(bits_set[row, cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 > 0]
+        open_ = open_[(cells_set[row, cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 > 0]
     return open_
 
 
@@ -210,19 +237,19 @@ def _windows(sent, size: int, bucket_bits: int):
         )
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, cells_set = [], 0, _cells_of(sent)
         for batch in batches.sliced(stream):
             texts = batches.as_bytes(batch.column("text"))
             keys, hashes = (batch.column(c).to_numpy() for c in ("key", "th"))
             w, offsets = words.fingerprints(texts)
             starts, owner = words.inside(offsets, size)
             h = words.runs(w, size)[starts]
-            open_ = _may_repeat(h, sent.value)
+            open_ = _may_repeat(h, cells_set)
             if not len(open_):
                 continue
             own = owner[open_]
             g = words.runs(w, size, seed=1)[starts[open_]] >> np.uint64(32)
-            parts.append((h[open_], g.astype(np.uint32), keys[own], hashes[own], starts[open_] - offsets[own]))
+            parts.append((h[open_], g.astype(np.uint32), keys[own], hashes[own], (starts[open_] - offsets[own]).astype(np.uint32)))
             held += len(open_)
             if held > HELD:
                 yield from send(parts)

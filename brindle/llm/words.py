@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words whose fingerprint a Python worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 class _Fingerprints(dict):
