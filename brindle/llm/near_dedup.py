@@ -8,8 +8,9 @@ corrected for chance collisions estimates their similarity, and pairs that come
 are confirmed on the full sets of words.
 
 Within a band no group is expanded into all pairs: first each member meets the group's smallest, and
-the confirmed links are joined into components; then only members of one group that are still in
-different components meet, in cells of two tiles of about TILE rows, wherever the group is large. So
+the confirmed links are joined into components; then, in up to HUBS rounds, the members of groups that
+are still in more than one component meet another member each time; last, those that are still apart
+meet each other in cells of two tiles of about TILE rows, wherever the group is large. So
 every pair that shares a band is either confirmed or refused, or already connected.
 
 A pair at the threshold 0.85 shares a band with chance 1 - (1 - 0.85 ** 5) ** 20 = 0.99999.
@@ -45,6 +46,8 @@ MARGIN = 0.2
 #: Estimates of smaller sets are not relied on.
 SMALL = 64
 TILE = 256
+#: Rounds in which a group's members meet one more member.
+HUBS = 4
 _PROBES = 64
 
 
@@ -186,6 +189,23 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
     return cut(both.mapInArrow(_confirm(percent, size), f"a {kind}, b {kind}").distinct())
 
 
+def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Of bands' groups that are in more than one component, the members but the smallest (all have met
+    it), each with its component and its tile of the group's."""
+    others = members.filter("node <> hub").join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
+    others = others.distinct()
+    open_ = others.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("_n"))
+    tiles = F.ceil(F.col("_n") / F.lit(TILE)).cast("int")
+    open_ = open_.filter("_low < _high").select("band", tiles.alias("tiles"))
+    return cut(others.join(open_, "band").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+
+
+def _joined(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what was joined and of more links."""
+    stars = joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return cut(components(stars.unionByName(links)))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """The key, n_shingles, component_id (the smallest key reachable by links) and kept of every
     row. Links are pairs with 100 * intersection >= percent * union of their sets of shingles."""
@@ -207,16 +227,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     facts = classes.select("node", "n", "regs")
 
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    compared = stars.join(facts.toDF("a", "n_a", "regs_a"), "a").join(facts.toDF("b", "n_b", "regs_b"), "b")
-    links = _links(compared.mapInArrow(_promising(percent), f"a {kind}, b {kind}"), texts, percent, size)
 
+    def promising(pairs: DataFrame) -> DataFrame:
+        compared = pairs.join(facts.toDF("a", "n_a", "regs_a"), "a").join(facts.toDF("b", "n_b", "regs_b"), "b")
+        return compared.mapInArrow(_promising(percent), f"a {kind}, b {kind}")
+
+    links = _links(promising(stars), texts, percent, size)
     joined = cut(components(links))
-    others = members.filter("node <> hub").join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-    others = others.distinct()
-    open_ = others.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("_n"))
-    tiles = F.ceil(F.col("_n") / F.lit(TILE)).cast("int")
-    open_ = open_.filter("_low < _high").select("band", tiles.alias("tiles"))
-    rest = cut(others.join(open_, "band").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+    for k in range(HUBS):
+        rest = _apart(members, joined)
+        if rest.isEmpty():
+            break
+        first = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("_order"), "node", "comp")).alias("_hub")
+        hubs = rest.groupBy("band").agg(first).select("band", F.col("_hub.node").alias("hub"), F.col("_hub.comp").alias("_its"))
+        met = rest.join(hubs, "band").filter("comp <> _its")
+        pairs = met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        joined = _joined(joined, _links(promising(pairs), texts, percent, size))
+    rest = _apart(members, joined)
     if not rest.isEmpty():
         cells = (
             rest.join(facts, "node")
@@ -225,9 +252,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         )
         cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
         across = cells.mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct()
-        more = _links(across, texts, percent, size)
-        stars = joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        joined = cut(components(stars.unionByName(more)))
+        joined = _joined(joined, _links(across, texts, percent, size))
     by_class = classes.join(joined, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     return (
         sketched.select("id", "same", "n")
