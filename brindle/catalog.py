@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, relational
+from .plans import aggregates, relational, scalars
 
-_MODULES = (relational, aggregates)
+_MODULES = (relational, aggregates, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
