@@ -8,8 +8,8 @@ corrected for chance collisions estimates their similarity, and pairs that come
 are confirmed on the full sets of words.
 
 Within a band no group is expanded into all pairs: first each member meets the group's smallest, and
-the confirmed links are joined into components; then, in up to HUBS rounds, the members of groups that
-are still in more than one component meet another member each time; last, those that are still apart
+the confirmed links are joined into components; then, in up to HUBS rounds, the members of large groups
+that are still in more than one component meet another member each time; last, those that are still apart
 meet each other in cells of two tiles of about TILE rows, wherever the group is large. So
 every pair that shares a band is either confirmed or refused, or already connected.
 
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = _links(promising(stars), texts, percent, size)
     joined = cut(components(links))
     for k in range(HUBS):
-        rest = _apart(members, joined)
+        rest = _apart(members, joined).filter("tiles > 1")
         if rest.isEmpty():
             break
         first = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("_order"), "node", "comp")).alias("_hub")
