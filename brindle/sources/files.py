@@ -8,10 +8,11 @@ from pyspark.sql.types import StructType
 FORMATS = ("parquet", "orc", "json", "csv", "xml")
 
 #: What each format needs so that a schema that is given comes back as it was written.
+_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _OPTIONS = {
-    "csv": {"header": "true", "escape": '"', "multiLine": "true"},
-    "xml": {"rowTag": "row"},
-    "json": {"ignoreNullFields": "false"},
+    "csv": {"header": "true", "escape": '"', "multiLine": "true", **_TIMES},
+    "xml": {"rowTag": "row", **_TIMES},
+    "json": {"ignoreNullFields": "false", **_TIMES},
 }
 
 
