@@ -7,11 +7,12 @@ borrow by a fixed probing order. BANDS bands of registers propose pairs, the sha
 corrected for chance collisions estimates their similarity, and pairs that come near the threshold
 are confirmed on the full sets of words.
 
-Within a band no group is expanded into all pairs: first each member meets the group's smallest, and
-the confirmed links are joined into components; then, in up to HUBS rounds, the members of large groups
-that are still in more than one component meet another member each time; last, those that are still apart
-meet each other in cells of two tiles of about TILE rows, wherever the group is large. So
-every pair that shares a band is either confirmed or refused, or already connected.
+Within a band no group is expanded into all pairs: first each document meets the smallest of its groups'
+hubs (a group's hub is its smallest member), and the confirmed links are joined into components; then,
+in up to HUBS rounds, each document of a large group that is still in more than one component meets one
+more member; last, those that are still apart meet each other in cells of two tiles of about TILE rows,
+wherever the group is large. So every pair that shares a band is either confirmed or refused, or already
+connected, and all rounds but the last make one pair for each document at most.
 
 A pair at the threshold 0.85 shares a band with chance 1 - (1 - 0.85 ** 5) ** 20 = 0.99999.
 
@@ -47,7 +48,7 @@ MARGIN = 0.2
 SMALL = 64
 TILE = 256
 #: Rounds in which a group's members meet one more member.
-HUBS = 4
+HUBS = 2
 _PROBES = 64
 
 
@@ -190,9 +191,9 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
 
 
 def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Of bands' groups that are in more than one component, the members but the smallest (all have met
-    it), each with its component and its tile of the group's."""
-    others = members.filter("node <> hub").join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
+    """Of bands' groups that are in more than one component, the members, each with its component and its
+    tile of the group's."""
+    others = members.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
     others = others.distinct()
     open_ = others.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("_n"))
     tiles = F.ceil(F.col("_n") / F.lit(TILE)).cast("int")
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = cut(bands.join(shared, "band").select("band", "hub", "node"))
     facts = classes.select("node", "n", "regs")
 
-    stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.filter("node <> hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
 
     def promising(pairs: DataFrame) -> DataFrame:
         compared = pairs.join(facts.toDF("a", "n_a", "regs_a"), "a").join(facts.toDF("b", "n_b", "regs_b"), "b")
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
             break
         first = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("_order"), "node", "comp")).alias("_hub")
         hubs = rest.groupBy("band").agg(first).select("band", F.col("_hub.node").alias("hub"), F.col("_hub.comp").alias("_its"))
-        met = rest.join(hubs, "band").filter("comp <> _its")
+        met = rest.join(hubs, "band").filter("comp <> _its").groupBy("node").agg(F.min(F.struct(F.xxhash64(F.lit(k), "hub"), "hub"))["hub"].alias("hub"))
         pairs = met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         joined = _joined(joined, _links(promising(pairs), texts, percent, size))
     rest = _apart(members, joined)
