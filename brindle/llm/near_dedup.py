@@ -7,10 +7,14 @@ borrow by a fixed probing order. BANDS bands of registers propose pairs, the sha
 corrected for chance collisions estimates their similarity, and pairs that come near the threshold
 are confirmed on the full sets of words.
 
-Within a band no group is expanded into all pairs: first each member meets the group's smallest, and
-the confirmed links are joined into components; then only members of one group that are still in
-different components meet, in cells of two tiles of about TILE rows, wherever the group is large. So
-every pair that shares a band is either confirmed or refused, or already connected.
+Within a band no group is expanded into all pairs. First each member meets the group's smallest, and
+the confirmed links are joined into components. Then groups that are still in several components are
+dealt into tiles of about TILE rows. Each tile of a large group is gone through by itself, and the
+components are joined again. Last, cells of any two tiles are gone through, but for two tiles of the
+group's largest component. Within a cell, a task takes the pairs whose estimate comes near the
+threshold from the highest down, passes over those that are connected by then, and sends on only the
+links between components. So every pair that shares a band is confirmed or refused, or already
+connected, and no list of a group's pairs is ever shuffled.
 
 A pair at the threshold 0.85 shares a band with chance 1 - (1 - 0.85 ** 5) ** 20 = 0.99999.
 
@@ -44,7 +48,8 @@ COLLISION = 1 / 3 / (1 << MANTISSA)
 MARGIN = 0.2
 #: Estimates of smaller sets are not relied on.
 SMALL = 64
-TILE = 256
+#: Rows, or shingles, of a tile on average; a cell of two tiles is held by one task at once.
+TILE, TILE_SHINGLES = 128, 1 << 20
 _PROBES = 64
 
 
@@ -133,23 +138,46 @@ def _promising(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Promising pairs in different components within each cell of a band's group."""
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets have in common."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _across(percent: int, size: int):
+    """Links that join the components within each cell of a band's group: candidates are taken from the
+    highest estimate down, and one whose sides are joined by then is passed over."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches.groups(stream, ["band", "i", "j"]):
             rows = table.combine_chunks().to_batches()[0]
             tile, i, j = (rows.column(c).to_numpy() for c in ("tile", "i", "j"))
-            node, comp, n = (rows.column(c).to_numpy() for c in ("node", "comp", "n"))
-            regs = _array(rows.column("regs"))
+            node = rows.column("node").to_numpy(zero_copy_only=False)
+            comp = np.unique(rows.column("comp").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            if comp.max() == 0:
+                continue
+            sets = shingles(batches.as_bytes(rows.column("text")), size)
+            regs, n = registers(sets), np.fromiter(map(len, sets), np.int64, len(sets))
             left = np.flatnonzero(tile == i)
             right = left if i[0] == j[0] else np.flatnonzero(tile == j)
+            found, close = [], []
             for x in left:
-                y = right[(comp[right] != comp[x]) & ((node[right] > node[x]) | (i[0] != j[0]))]
+                y = right[(comp[right] != comp[x]) & ((right > x) | (i[0] != j[0]))]
                 y = y[_likely(regs[x], regs[y], n[x], n[y], percent)]
-                if len(y):
-                    low, high = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+                found.append(np.stack([np.full(len(y), x), y]))
+                close.append(similarity(regs[x], regs[y]))
+            pairs = np.concatenate(found, axis=1)[:, np.argsort(-np.concatenate(close), kind="stable")] if found else np.empty((2, 0), int)
+            links = []
+            for x, y in pairs.T.tolist():
+                if comp[x] != comp[y]:
+                    both = _equal(sets[x], sets[y])
+                    if 100 * both >= percent * (n[x] + n[y] - both):
+                        comp[comp == comp[y]] = comp[x]
+                        links.append((min(node[x], node[y]), max(node[x], node[y])))
+            if links:
+                low, high = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(low, rows.column("node").type), pa.array(high, rows.column("node").type)], names=["a", "b"])
 
     return run
 
@@ -186,6 +214,51 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
     return cut(both.mapInArrow(_confirm(percent, size), f"a {kind}, b {kind}").distinct())
 
 
+def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Of bands' groups that are in more than one component, the members but the smallest (all have met
+    it), each with its component, and the tiles of the members of the largest component and of others."""
+    others = members.filter("node <> hub").join(joined, "node", "left")
+    others = cut(others.groupBy("band", "node").agg(F.max("n").alias("n"), F.min(F.coalesce("component", "node")).alias("comp")))
+    parts = others.groupBy("band", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    groups = parts.groupBy("band").agg(
+        F.max(F.struct("rows", "comp", "n")).alias("main"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.count("*").alias("parts")
+    )
+
+    def tiles(rows, n):
+        return F.ceil(F.greatest(rows / F.lit(TILE), n / F.lit(TILE_SHINGLES))).cast("int")
+
+    open_ = groups.filter("parts > 1").select(
+        "band",
+        F.col("main.comp").alias("main"),
+        tiles(F.col("rows"), F.col("n")).alias("tiles"),
+        tiles(F.col("main.rows"), F.col("main.n")).alias("main_tiles"),
+        tiles(F.col("rows") - F.col("main.rows"), F.col("n") - F.col("main.n")).alias("other_tiles"),
+    )
+    return others.drop("n").join(open_, "band")
+
+
+def _cells(apart: DataFrame, whole: bool) -> DataFrame:
+    """band, node, comp and tile in each cell i, j of two tiles. Not whole: each tile of a group of
+    several by itself, so each row once. Whole: any two tiles but two of the largest component."""
+    place = F.xxhash64("node")
+    if not whole:
+        tile = F.pmod(place, F.col("tiles")).cast("int")
+        return cut(apart.filter("tiles > 1").select("band", "node", "comp", tile.alias("tile"), tile.alias("i"), tile.alias("j")))
+    last = F.when(F.col("comp") == F.col("main"), F.col("other_tiles") - 1).otherwise(F.col("other_tiles") + F.col("main_tiles") - 1)
+    own = F.when(F.col("comp") == F.col("main"), F.col("other_tiles") + F.pmod(place, F.col("main_tiles"))).otherwise(F.pmod(place, F.col("other_tiles")))
+    each = apart.select("band", "node", "comp", own.cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), last)).alias("_other"))
+    return cut(each.select("band", "node", "comp", "tile", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j")))
+
+
+def _meet(cells: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links between components within the cells, by hashes of their whole sets."""
+    nodes = cut(cells.select(F.col("node").alias("id")).distinct())
+    own = thin(texts, nodes, "id").join(nodes, "id", "left_semi").distinct().withColumnRenamed("id", "node")
+    both = cells.join(own, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    kind = cells.schema["node"].dataType.simpleString()
+    return both.mapInArrow(_across(percent, size), f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """The key, n_shingles, component_id (the smallest key reachable by links) and kept of every
     row. Links are pairs with 100 * intersection >= percent * union of their sets of shingles."""
@@ -201,9 +274,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     classes = cut(classes)
     width = 2 * ROWS
     hashes = [F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(BANDS)]
-    bands = classes.select("node", F.explode(F.array(*hashes)).alias("band"))
+    bands = classes.select("node", "n", F.explode(F.array(*hashes)).alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).filter("hub < _top").drop("_top")
-    members = cut(bands.join(shared, "band").select("band", "hub", "node"))
+    members = cut(bands.join(shared, "band").select("band", "hub", "node", "n"))
     facts = classes.select("node", "n", "regs")
 
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -211,23 +284,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = _links(compared.mapInArrow(_promising(percent), f"a {kind}, b {kind}"), texts, percent, size)
 
     joined = cut(components(links))
-    others = members.filter("node <> hub").join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-    others = others.distinct()
-    open_ = others.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("_n"))
-    tiles = F.ceil(F.col("_n") / F.lit(TILE)).cast("int")
-    open_ = open_.filter("_low < _high").select("band", tiles.alias("tiles"))
-    rest = cut(others.join(open_, "band").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
-    if not rest.isEmpty():
-        cells = (
-            rest.join(facts, "node")
-            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            .select("band", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j"), "tile", "node", "comp", "n", "regs")
-        )
-        cells = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-        across = cells.mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct()
-        more = _links(across, texts, percent, size)
-        stars = joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        joined = cut(components(stars.unionByName(more)))
+    for whole in (False, True):
+        cells = _cells(_apart(members, joined), whole)
+        if not cells.isEmpty():
+            links = _links(_meet(cells, texts, percent, size), texts, percent, size)
+            stars = joined.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            joined = cut(components(stars.unionByName(links)))
     by_class = classes.join(joined, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     return (
         sketched.select("id", "same", "n")
