@@ -1,16 +1,14 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors, exactly: every two vectors of a label are compared.
 
-Vectors with equal labels are compared. Equal vectors form a class, found by an aggregate, and one
-representative goes on with the number of its copies. Each pass orders the vectors of a label by 64
-random hyperplane signs, read as one number from the first sign on, so near vectors tend to stand
-near each other; each is compared with the WINDOW before it, in double precision, and links are
-joined into components over all passes. A pass that fails to bring a pair together is made up for by
-others: a pair at cosine 0.98 agrees in a sign with chance 0.936, and PASSES orders miss it with a
-chance under 1e-4 among 5,000 vectors of a label.
+Vectors with equal labels and lengths are compared. Equal vectors form a class, found by an aggregate,
+and one representative goes on with the number of its copies. The representatives of a label are dealt
+into tiles, and the vectors of any two tiles meet in a cell. A cell's task compares all of them, first
+in single precision, where rounding can't hide a link, then those rows that have a link or come near
+one in double precision. Only the links that join components within the cell, and counts, leave it.
 
-All links of a vector lie in its component, so links are then counted exactly: the vectors of a
-component meet in cells of two tiles of about TILE, wherever a component is large, and only counts
-leave a cell.
+No link is missed, whatever a label's size or density and however rows are dealt over partitions. The
+price is that a label's comparisons grow with the square of its vectors, and what is shuffled with
+their number times its tiles: a few where a label is small, one for each TILE vectors where it is large.
 
 Defined results: a vector that is null, empty or zero, or has a null or non-finite component, a null
 label or a null id, links with nothing and is kept. Vectors of different lengths don't link. Equal
@@ -31,13 +29,12 @@ from . import batches
 from .graph import components
 from .shared import cut
 
-PASSES = 12
-WINDOW = 256
-TILE = 1024
-SIGNS = 64
-#: Vectors in a step of a pass.
-STEP = 1024
-SEED = 20
+#: Vectors of a tile: at least LEAST_TILE while a label has under SPREAD tiles, then up to TILE.
+LEAST_TILE, SPREAD, TILE = 1024, 8, 1 << 15
+#: Vectors of a cell that are compared with its others at once.
+STEP = 256
+#: Labels up to which their sizes are sent to every task.
+SENT = 1 << 16
 
 
 def _units(column: pa.Array) -> tuple[list[bytes | None], np.ndarray]:
@@ -80,93 +77,58 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
 
 
-def _orders(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in stream:
-        size = np.array([len(u) for u in batch.column("unit").to_pylist()])
-        for n in np.unique(size).tolist():
-            part = batch.filter(pa.array(size == n))
-            vectors = _matrix(part.column("unit"))
-            for k in range(PASSES):
-                planes = np.random.default_rng([SEED, k, n]).standard_normal((vectors.shape[1], SIGNS))
-                signs = np.packbits(vectors @ planes > 0, axis=1)
-                # As a signed number in the same order.
-                order = signs.view(">u8").astype(np.uint64)[:, 0] ^ np.uint64(1 << 63)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(order), k), pa.int32()),
-                        part.column("label"),
-                        pa.array(np.full(len(order), n // 8), pa.int32()),
-                        pa.array(order.view(np.int64)),
-                        part.column("node"),
-                        part.column("unit"),
-                    ],
-                    names=["pass", "label", "length", "order", "node", "unit"],
-                )
-
-
-def _windows(least: float):
-    """Links within the window before each vector, as many as connect what they connect."""
-
-    def tree(pairs: list[tuple[int, int]]) -> list[int]:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := root.get(x, x)) != x:
-                root[x] = root.get(up, up)
-                x = up
-            return x
-
-        chosen = []
-        for i, (x, y) in enumerate(pairs):
-            x, y = find(x), find(y)
-            if x != y:
-                root[x] = y
-                chosen.append(i)
-        return chosen
+def _compare(vectors: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some of left, some of right, and which of their pairs link, until all links are covered. Where
+    left and right are the same, each pair comes once."""
+    single = vectors.astype(np.float32)
+    # Rounding takes less from a product of two unit vectors.
+    near_least = np.float32(least - (vectors.shape[1] + 8) * 1.2e-7)
+    other = single[right]
+    own = left is right
+    for at in range(0, len(left), STEP):
+        x, y = left[at : at + STEP], right[at:] if own else right
+        near = single[x] @ (other[at:] if own else other).T >= near_least
+        if own:
+            near &= np.arange(len(y)) > np.arange(len(x))[:, None]
+        rows = np.flatnonzero(near.any(axis=1))
+        if len(rows):
+            yield x[rows], y, near[rows] & (vectors[x[rows]] @ vectors[y].T >= least)
+
+
+def _cells(least: float):
+    """Of each cell: links that connect what its links connect, and for each vector the copies of the
+    vectors that it links with."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tail_nodes, tail = None, None, None
-        for batch in stream:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column("pass").to_numpy(), batch.column("length").to_numpy(), np.asarray(batch.column("group"))], axis=1)
-            cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, batch.num_rows].tolist()
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if tuple(key[start]) != last:
-                    last, tail_nodes, tail = tuple(key[start]), None, None
-                for at in range(start, end, STEP):
-                    part = batch.slice(at, min(STEP, end - at))
-                    nodes, vectors = part.column("node").to_numpy(), _matrix(part.column("unit"))
-                    if tail is not None:
-                        nodes, vectors = np.r_[tail_nodes, nodes], np.concatenate([tail, vectors])
-                    old = len(nodes) - part.num_rows
-                    near = vectors[old:] @ vectors.T >= least
-                    place = np.arange(old, len(nodes))[:, None] - np.arange(len(nodes))
-                    x, y = np.nonzero(near & (place > 0) & (place <= WINDOW))
-                    a, b = nodes[x + old], nodes[y]
-                    chosen = tree(list(zip(a.tolist(), b.tolist(), strict=True)))
-                    yield pa.RecordBatch.from_arrays([pa.array(a[chosen]), pa.array(b[chosen])], names=["a", "b"])
-                    tail_nodes, tail = nodes[-WINDOW:], vectors[-WINDOW:]
-
-    return run
-
-
-def _counts(least: float):
-    """For each vector of a cell, the copies of the vectors in it that it links with."""
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches.groups(stream, ["component", "i", "j"]):
+        for table in batches.groups(stream, ["group", "i", "j"]):
             rows = table.combine_chunks().to_batches()[0]
-            tile, i, j, node, copies = (rows.column(c).to_numpy() for c in ("tile", "i", "j", "node", "copies"))
-            vectors = _matrix(rows.column("unit"))
-            left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-            near = vectors[left] @ vectors[right].T >= least
-            if i[0] == j[0]:
-                np.fill_diagonal(near, False)
-                found, of = near @ copies[right], left
-            else:
-                found, of = np.r_[near @ copies[right], copies[left] @ near], np.r_[left, right]
-            yield pa.RecordBatch.from_arrays([pa.array(node[of]), pa.array(found)], names=["node", "n"])
+            tile, i, j, copies = (rows.column(c).to_numpy() for c in ("tile", "i", "j", "copies"))
+            left = np.flatnonzero(tile == i)
+            right = left if i[0] == j[0] else np.flatnonzero(tile == j)
+            found, comp = np.zeros(len(tile)), np.arange(len(tile))
+            a, b = [], []
+            for x, y, near in _compare(_matrix(rows.column("unit")), left, right, least):
+                found[x] += near @ copies[y].astype(float)
+                found[y] += copies[x].astype(float) @ near
+                for k, links in zip(x.tolist(), near, strict=True):
+                    to = y[links]
+                    parts, first = np.unique(comp[to], return_index=True)
+                    for part, other in zip(parts.tolist(), to[first].tolist(), strict=True):
+                        if part != comp[k]:
+                            comp[comp == part] = comp[k]
+                            a.append(k)
+                            b.append(other)
+            node, linked = rows.column("node"), np.flatnonzero(found)
+            for one, two, n in ((a, b, None), (linked, None, found[linked])):
+                if len(one):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            node.take(pa.array(one, pa.int64())),
+                            pa.nulls(len(one), node.type) if two is None else node.take(pa.array(two, pa.int64())),
+                            pa.nulls(len(one), pa.int64()) if n is None else pa.array(n.astype(np.int64)),
+                        ],
+                        names=["a", "b", "n"],
+                    )
 
     return run
 
@@ -180,24 +142,20 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     able = prepared.filter("same IS NOT NULL")
     classes = able.groupBy("label", "same").agg(F.min(F.struct("id", "unit")).alias("first"), F.count("*").alias("copies"))
     classes = cut(classes.select("label", "same", F.col("first.id").alias("node"), "first.unit", "copies"))
-    orders = classes.select("label", "node", "unit").mapInArrow(
-        _orders, f"pass int, label {labels}, length int, order long, node {kind}, unit binary"
-    )
-    orders = orders.withColumn("group", F.xxhash64("label"))
-    sort = ["pass", "length", "group", "order", "node"]
-    ordered = orders.drop("label").repartitionByRange(*sort).sortWithinPartitions(*sort)
-    joined = cut(components(ordered.mapInArrow(_windows(least), f"a {kind}, b {kind}")))
-
-    inside = classes.join(joined, "node").select("component", "node", "unit", "copies")
-    tiles = joined.groupBy("component").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
+    groups = classes.groupBy("label", F.length("unit").alias("length")).agg(F.count("*").alias("n")).filter("n > 1")
+    tiles = F.greatest(F.ceil(F.col("n") / F.lit(TILE)), F.least(F.lit(SPREAD), F.ceil(F.col("n") / F.lit(LEAST_TILE)))).cast("int")
+    groups = cut(groups.select("label", "length", F.monotonically_increasing_id().alias("group"), tiles.alias("tiles")))
     cells = (
-        inside.join(tiles, "component")
+        classes.withColumn("length", F.length("unit"))
+        .join(F.broadcast(groups) if groups.count() <= SENT else groups, ["label", "length"])
         .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("component", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j"), "tile", "node", "unit", "copies")
+        .select("group", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j"), "tile", "node", "unit", "copies")
     )
-    cells = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    counted = cells.mapInArrow(_counts(least), f"node {kind}, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    cells = cells.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    found = cut(cells.mapInArrow(_cells(least), f"a {kind}, b {kind}, n long"))
+    joined = cut(components(found.filter("b IS NOT NULL").select("a", "b")))
+    counted = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     facts = (
         classes.select("label", "same", "node", "copies")
         .join(joined, "node", "left")

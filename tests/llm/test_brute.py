@@ -219,6 +219,26 @@ def test_op9(spark):
     assert len(result(spark, "op9")) == 500
 
 
+def test_op9_on_a_dense_label(spark):
+    """All vectors of one label at cosine 0.95 of each other, as embeddings that share a mean."""
+    from brindle.llm import vector_dedup
+
+    rng = np.random.default_rng(4)
+
+    def near(vectors, cosine):
+        noise = rng.standard_normal(vectors.shape)
+        noise -= (noise * vectors).sum(axis=1)[:, None] * vectors
+        return cosine * vectors + np.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise, axis=1)[:, None]
+
+    first = near(np.repeat(np.eye(64)[:1], 3000, axis=0), np.sqrt(0.95))
+    both = np.concatenate([first, near(first, 0.981)])
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    n, component = _links_of(table.collect())
+    assert sum(n.values()) >= 6000
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(table).collect()}
+    assert got == {i: (n[i], c) for i, c in component.items()}
+
+
 def test_op10(spark, texts):
     want = {i: (n, n - len(kept), brute.sha(" ".join(kept))) for i, (n, kept) in brute.substring(texts).items()}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in result(spark, "op10")} == want
