@@ -24,6 +24,20 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(start, end - start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Such slices put together until their texts have about most bytes or they are most / 256 rows."""
+    held, size, rows = [], 0, 0
+    for part in sliced(batches):
+        held.append(part)
+        size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+        rows += part.num_rows
+        if size >= most or 256 * rows >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size, rows = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     large = pa.types.is_large_string(column.type)

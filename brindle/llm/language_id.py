@@ -7,9 +7,12 @@ a byte depends on it and the ORDER bytes before it alone, and a text's code leng
 looked-up costs. The language with the shortest code wins; the first by name where codes are equal.
 
 Training counts the (ORDER + 1)-byte strings of every labelled text, combined in each task and then
-by key. The tree keeps those that make up MIN_SHARE of their language at least: 1 / MIN_SHARE
-strings for each language at most, which bounds what the driver and the executors hold at any
-corpus size. A tree for more than MAX_LANGUAGES languages is refused.
+by key, and every string is kept, so the trees grow with the corpus. Languages are scored in groups of
+LANGUAGES. A group's strings go out in parts by the two bytes before the last one: all strings of such
+a context and of its longer ones are in one part, and the two lowest orders, counted over all strings,
+in every part. So a part gives whole costs of the strings of its contexts, and a text's code length is
+their sum over parts. The driver and a task hold one part at a time, of about PART costs; only for a
+model of several parts does a task read them anew for each HELD bytes of texts.
 
 Defined results: a null text, an empty one and one without a letter are "und" with score 0, as is
 every text if nothing was learned. Null labels are not learned from. Repeated rows count each time.
@@ -23,6 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +35,8 @@ from . import batches
 from .shared import cut
 
 ORDER = 3
-MIN_SHARE = 4e-6
-MAX_LANGUAGES = 64
+#: Languages of a group; costs (strings times languages) of a part; text bytes scored with a part at once.
+LANGUAGES, PART, HELD = 16, 1 << 23, 32 << 20
 #: Strings that a task gathers before it counts them.
 GATHERED = 8 << 20
 _BEFORE = b"\n" * ORDER
@@ -84,17 +89,21 @@ def _count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Tree:
-    """One language's context tree, as sorted strings of each length with their counts."""
+    """One language's context tree, as sorted strings of each length with their counts: the longer ones
+    of some contexts, pairs of bytes from all strings."""
 
     strings: np.ndarray
     counts: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
 
     def __post_init__(self) -> None:
         self.levels = []
         for k in range(ORDER, -1, -1):
-            own = self.strings & np.uint32((1 << (8 * k + 8)) - 1)
+            given, counts = (self.strings, self.counts) if k > 1 else (self.pairs, self.pair_counts)
+            own = given & np.uint32((1 << (8 * k + 8)) - 1)
             found, at = np.unique(own, return_inverse=True)
-            n = np.bincount(at, self.counts, len(found))
+            n = np.bincount(at, counts, len(found))
             contexts, of, distinct = np.unique(found >> np.uint32(8), return_inverse=True, return_counts=True)
             total = np.bincount(of, n, len(contexts)) + distinct
             bits = np.log2(total[of]) - np.log2(n)
@@ -105,6 +114,8 @@ class Tree:
         out = np.zeros(len(strings))
         open_ = np.arange(len(strings))
         for k, found, bits, contexts, escape in self.levels:
+            if not len(found):
+                continue
             own = strings[open_] & np.uint32((1 << (8 * k + 8)) - 1)
             at = np.minimum(np.searchsorted(found, own), len(found) - 1)
             hit = found[at] == own
@@ -118,11 +129,10 @@ class Tree:
 
 
 class Scorer:
-    """Costs of the strings that any tree keeps, in a hash table; others are worked out."""
+    """Costs of the strings that any tree of a part has, in a hash table; others are worked out."""
 
-    def __init__(self, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.languages = sorted(model)
-        self.trees = [Tree(*model[lang]) for lang in self.languages]
+    def __init__(self, trees: list[tuple[np.ndarray, ...]]) -> None:
+        self.trees = [Tree(*t) for t in trees]
         self.strings = np.unique(np.concatenate([t.strings for t in self.trees]))
         self.costs = [t.cost(self.strings).astype(np.float32) for t in self.trees]
         self.shift = np.uint32(32 - max(8, int(4 * len(self.strings)).bit_length()))
@@ -138,7 +148,7 @@ class Scorer:
         return ((strings * np.uint32(2654435761)) >> self.shift).astype(np.int64)
 
     def rows(self, strings: np.ndarray) -> np.ndarray:
-        """The place of each string among the kept ones, or -1."""
+        """The place of each string among the trees' ones, or -1."""
         at = self._slot(strings)
         out = self.slots[at]
         open_ = np.flatnonzero((out >= 0) & (self.strings[out] != strings))
@@ -148,60 +158,100 @@ class Scorer:
             open_ = open_[(found >= 0) & (self.strings[found] != strings[open_])]
         return out
 
-    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language, [texts, languages]; 0 for an empty text."""
-        strings, offsets = _strings(texts)
-        out = np.zeros((len(texts), len(self.languages)))
-        full = np.flatnonzero(np.diff(offsets))
-        if not len(full):
-            return out
+    def costs_of(self, strings: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each language, the bits of each string."""
         rows = self.rows(strings)
         missing = np.flatnonzero(rows < 0)
         others, of = np.unique(strings[missing], return_inverse=True)
-        for i, tree in enumerate(self.trees):
-            cost = self.costs[i][rows]
+        for tree, costs in zip(self.trees, self.costs, strict=True):
+            cost = costs[rows]
             cost[missing] = tree.cost(others).astype(np.float32)[of]
-            out[full, i] = np.add.reduceat(cost, offsets[full], dtype=np.float64)
-        return out
+            yield cost
+
+
+@dataclass
+class Group:
+    """Languages, and the first and last context of each part with its broadcast trees."""
+
+    languages: list[str]
+    parts: list[tuple[int, int, Broadcast]]
+
+
+def _tree_arrays(rows: pa.Table, languages: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sorted strings and the counts of each language."""
+    out = []
+    for name in languages:
+        own = rows.filter(pc.equal(rows.column("lang"), name))
+        gram, n = own.column("gram").to_numpy().astype(np.uint32), own.column("n").to_numpy()
+        order = np.argsort(gram)
+        out.append((gram[order], n[order]))
+    return out
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each label of the rows, the strings its tree keeps and their counts."""
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> list[Group]:
+    """The trees of each label of the rows, by groups of labels."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.filter("lang IS NOT NULL AND length(text) > 0")
     counted = rows.mapInArrow(_count, "lang string, gram long, n long")
     grams = cut(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = {r["lang"]: r["total"] for r in grams.groupBy("lang").agg(F.sum("n").alias("total")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not totals:
-        return {}
-    least = F.lit(None).cast("double")
-    for name, total in totals.items():
-        least = F.when(F.col("lang") == name, total * MIN_SHARE).otherwise(least)
-    kept = grams.filter(F.col("n") >= least).toArrow()
-    names = np.array(kept.column("lang").to_pylist(), object)
-    gram, n = kept.column("gram").to_numpy().astype(np.uint32), kept.column("n").to_numpy()
-    model = {}
-    for name in totals:
-        own = np.flatnonzero(names == name)
-        own = own[np.argsort(gram[own])]
-        if len(own):
-            model[name] = (gram[own], n[own])
+    names = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
+    context = F.col("gram").bitwiseAND(0xFFFF00)
+    model = []
+    for at in range(0, len(names), LANGUAGES):
+        languages = names[at : at + LANGUAGES]
+        own = grams.filter(F.col("lang").isin(languages))
+        low = own.groupBy("lang", F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n"))
+        low = _tree_arrays(low.toArrow(), languages)
+        sizes = own.groupBy(context.alias("context")).agg(F.count("*").alias("n")).toArrow().sort_by("context")
+        bounds, size = [], 0
+        for c, n in zip(sizes.column("context").to_pylist(), sizes.column("n").to_pylist(), strict=True):
+            if size and (size + n) * len(languages) > PART:
+                bounds.append(c)
+                size = 0
+            size += n
+        parts = []
+        for first, end in zip([0, *bounds], [*bounds, 1 << 24], strict=True):
+            high = _tree_arrays(own.filter((context >= first) & (context < end)).toArrow(), languages)
+            trees = [(*h, *p) for h, p in zip(high, low, strict=True)]
+            parts.append((first, end, labelled.sparkSession.sparkContext.broadcast(trees)))
+        model.append(Group(languages, parts))
     return model
 
 
 _last: list = [None, None]
 
 
-def _scorer(model: dict) -> Scorer:
-    """The scorer of a model, kept in the Python worker for its next tasks."""
-    if _last[0] is not model:
-        _last[:] = [model, Scorer(model)]
+def _scorer(sent: Broadcast, only: bool) -> Scorer:
+    """The scorer of a part, kept in the Python worker for its next tasks if it's the only one."""
+    if not only:
+        scorer = Scorer(sent.value)
+        # Or the worker would hold the arrays of all parts.
+        del sent._value
+        return scorer
+    if _last[0] is not sent.value:
+        _last[:] = [sent.value, Scorer(sent.value)]
     return _last[1]
 
 
-def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+def _code_lengths(group: Group, strings: np.ndarray, offsets: np.ndarray, only: bool) -> np.ndarray:
+    """Bits of each text in each language of the group, [texts, languages]; 0 for an empty text."""
+    out = np.zeros((len(offsets) - 1, len(group.languages)))
+    full = np.flatnonzero(np.diff(offsets))
+    for first, end, sent in group.parts:
+        context = strings & np.uint32(0xFFFF00)
+        here = np.flatnonzero((context >= first) & (context < end)) if len(group.parts) > 1 else slice(None)
+        if not len(strings[here]):
+            continue
+        for i, cost in enumerate(_scorer(sent, only).costs_of(strings[here])):
+            if len(group.parts) > 1:
+                every = np.zeros(len(strings), np.float32)
+                every[here] = cost
+                cost = every
+            out[full, i] += np.add.reduceat(cost, offsets[full], dtype=np.float64)
+    return out
+
+
+def predict(docs: DataFrame, model: list[Group], key: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """The key, extra columns, lang_pred and score (the chance of the language under equal
     chances before) of every whole text. One pass, no shuffle."""
     extra = extra or {}
@@ -210,16 +260,21 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
     if not model:
         return narrow.select(F.col("_key").alias(key), *extra, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     rest = ["_key", *extra]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    only = len(model) == 1 and len(model[0].parts) == 1
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(sent.value)
-        for batch in batches.sliced(stream):
-            bits = scorer.code_lengths(batches.as_bytes(batch.column("text")))
-            best = bits.argmin(axis=1)
-            chance = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+        for batch in batches.sliced(stream) if only else batches.gathered(stream, HELD):
+            strings, offsets = _strings(batches.as_bytes(batch.column("text")))
+            best, least, total = np.full(batch.num_rows, "", object), np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows)
+            for group in model:
+                bits = _code_lengths(group, strings, offsets, only)
+                before, least = least, np.minimum(least, bits.min(axis=1))
+                better = least < before
+                best[better] = np.array(group.languages, object)[bits.argmin(axis=1)[better]]
+                total = total * np.exp2(np.maximum(least - before, -1000)) + np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+            chance = 1 / total
             letter = batch.column("_letter").to_numpy(zero_copy_only=False)
-            names = [scorer.languages[i] if ok else "und" for i, ok in zip(best, letter, strict=True)]
+            names = [name if ok else "und" for name, ok in zip(best, letter, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in rest), pa.array(names, pa.string()), pa.array(np.where(letter, chance, 0.0))],
                 names=[*rest, "lang_pred", "score"],

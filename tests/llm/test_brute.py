@@ -12,7 +12,7 @@ from comparing import DATA, same
 from tokenizers import Tokenizer, models
 
 import corpus_pipeline
-from brindle.llm import mixing, near_dedup, pieces, quality_rules, token_counts
+from brindle.llm import language_id, mixing, near_dedup, pieces, quality_rules, token_counts
 from brindle.llm.queries import URL_RULES, oracle_sql, queries, vocabulary
 
 SF = f"{DATA}/sf0.01"
@@ -97,6 +97,19 @@ def test_op3_on_held_out_documents(spark, docs):
     assert np.mean(held) > 0.98
 
 
+def test_op3_learns_from_rare_strings(spark, monkeypatch):
+    """Each of two languages has one word of its own in half a million bytes; also in several parts."""
+    rows = [("a", "la la la " * 60_000 + "ξψω"), ("b", "la la la " * 60_000 + "жщю")]
+    table = spark.createDataFrame(rows, "lang string, text string")
+    asked = spark.createDataFrame([(1, "ξψω"), (2, "жщю"), (3, "la la"), (4, "la ξψω la"), (5, "la жщю la")], "doc_id long, text string")
+    found = []
+    for part in (language_id.PART if hasattr(language_id, "PART") else 0, 40):
+        monkeypatch.setattr(language_id, "PART", part, raising=False)
+        found.append({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language_id.predict(asked, language_id.train(table)).collect()})
+    assert [found[0][i][0] for i in (1, 2, 4, 5)] == ["a", "b", "a", "b"] and found[0][1][1] > 0.9
+    assert found[0] == found[1]
+
+
 def test_op4(spark):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in result(spark, "op4"):
