@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from comparing import DATA
 from pyspark.sql import functions as F
@@ -108,6 +109,26 @@ def test_vectors(spark):
     assert vector_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_vectors_over_many_partitions(spark):
+    """Pairs are found however few rows a task has."""
+    rng = np.random.default_rng(6)
+    first = rng.standard_normal((600, 64)) + 3
+    both = np.concatenate([first, first + 0.3 * rng.standard_normal((600, 64))])
+    unit = both / np.linalg.norm(both, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert want.sum() > 600
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(table).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_urls(spark):
     urls = [
         (1, None), (2, ""), (3, "no scheme"), (4, "HTTP://WWW.Example.COM/en/x?y#z"), (5, "https://a.example.com/en/1"), (6, "http://b.net/es/"),
