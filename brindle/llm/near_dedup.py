@@ -191,9 +191,9 @@ def _confirm(percent: int, size: int):
         last, left = None, set()
         for batch in batches.sliced(stream, "text_a"):
             found = []
-            for a, text_a, text_b in zip(*(f(batch.column(c)) for c, f in (("a", pa.Array.to_pylist), ("text_a", batches.as_bytes), ("text_b", batches.as_bytes))), strict=True):
-                if (a, len(text_a)) != last:
-                    last, left = (a, len(text_a)), words_of(text_a)
+            for text_a, text_b in zip(*(batches.as_bytes(batch.column(c)) for c in ("text_a", "text_b")), strict=True):
+                if text_a != last:
+                    last, left = text_a, words_of(text_a)
                 right = words_of(text_b)
                 both = len(left & right)
                 found.append(100 * both >= percent * (len(left) + len(right) - both))

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from comparing import DATA
 from pyspark.sql import functions as F
@@ -44,6 +45,13 @@ def _by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def test_near_confirms_each_text_of_a_key():
+    """Two texts of one key and of equal length, one after the other."""
+    one, two = "a b c d e f g", "t u v w x y z"
+    pairs = pa.RecordBatch.from_pydict({"a": [1, 1], "b": [2, 2], "text_a": [one, two], "text_b": [two, two]})
+    assert [b.num_rows for b in near_dedup._confirm(85, 5)(iter([pairs]))] == [1]
+
+
 def test_near_edges(edge):
     r = _by_id(OPERATORS["near"](edge))
     assert (r[1].n_shingles, r[1].component_id, r[1].kept) == (0, 1, True)
