@@ -70,6 +70,13 @@ def test_language_edges(edge):
     assert {(x.lang_pred, x.score) for x in none.collect()} == {("und", 0.0)}
 
 
+def test_more_languages_than_a_group(spark):
+    rows = [(i, f"l{i:02}", f"word{i} " * 20 + "und so weiter") for i in range(70)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    r = _by_id(language_id.predict(table, language_id.train(table)))
+    assert all(r[i].lang_pred == f"l{i:02}" and 0.5 < r[i].score <= 1 for i in range(70))
+
+
 def test_encode_edges(edge):
     r = _by_id(OPERATORS["encode"](edge))
     assert all((r[i].n_tokens, r[i].ids_sha256) == (1, hashlib.sha256(b"2").hexdigest()) for i in (1, 2))
