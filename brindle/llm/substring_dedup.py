@@ -3,48 +3,76 @@
 First a count-min sketch finds windows that may repeat. Each task counts its windows in DEPTH rows of
 cells, counters stopping at 2, and sends the cells it used; the counters of all tasks are added up by
 block of cells. A window whose counters all reach 2 may repeat; every window that does repeat is
-among these, since counters only overestimate. The merged sketch is one bit a cell and at most
-2 ** MAX_BITS cells a row: this bounds what is broadcast (DEPTH * 64 MB). A corpus too large for
-it lets more windows through, which costs work and changes no result.
-
-Then only those windows are grouped, by 96 bits of their words' fingerprints. A task marks by itself
-every place whose window a smaller key of its own has; only the places of its smallest key are sent
-on, packed by bucket of the window, so a window that very many documents share comes once from each
-task. A bucket's places are brought together, and those whose key isn't the window's smallest are
-marked too. Marks are joined to the texts by key and hash of the text.
-
-Defined results: a null or empty text has no words. Windows of rows with a null key are neither
-removed nor make others so. Repeated rows with one key never remove each other's words, and are
-marked alike; rows of one key and other texts are marked each by its own text. An empty table gives
-none. Words are joined by one space where something was removed; other texts stay as they are.
+among these, since counters only overestimate.
+
+The merged sketch is one bit a cell and grows with the texts, in parts: the highest bits of a window's
+hash choose its part, so a part has all counters of its windows. Driver and tasks hold one part of
+2 ** PART_BITS cells a row at a time (16 MB), and a task reads each part once for HELD windows. At most
+2 ** MAX_BITS cells a row are sent (2 GB in all parts, some 70 GB of text at one window a cell). Beyond
+that the first sketch passes more windows, and the second one, below, sees them.
+
+Then only those windows are grouped, by 128 bits made of two independent 64-bit hashes of each word. A
+task marks by itself every place whose window a smaller key of its own has; only the places of its
+smallest key are sent on, packed by bucket of the window, so a window that very many documents share
+comes once from each task. A bucket's task counts its windows in a second sketch, of its own size, and
+groups those that reach 2; it marks the places whose key isn't the window's smallest, and once it holds
+MOST places keeps of each window only those of the smallest key. So a bucket is bounded by its windows,
+not by the documents that share them. Marks are joined to the texts by key and hash of the text; texts
+that have none are not shuffled.
+
+Defined results: the key must be of an integer type. A null or empty text has no words. Windows of rows
+with a null key are neither removed nor make others so. Repeated rows with one key never remove each
+other's words, and are marked alike; rows of one key and other texts are marked each by its own text.
+A very long text is one row like any other: its task holds it whole. An empty table gives none. Words
+are joined by one space where something was removed; other texts stay as they are. Columns n_words and
+n_removed of the input are replaced by the results; all others are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import batches, words
+from .shared import cut, flagged
 
 WINDOW = 13
 DEPTH = 2
-MIN_BITS, MAX_BITS = 16, 29
-#: Cells of a block that is merged at once.
-BLOCK_BITS = 16
-#: Windows that a task holds before it sends what it has of them.
-HELD = 4 << 20
+#: Bits of the cells of a block that is merged at once, of a part's row, and of a row of all parts.
+BLOCK_BITS, PART_BITS, MIN_BITS, MAX_BITS = 16, 26, 16, 33
+#: Windows that a task compares with the sketch at once, and places that it sends or a bucket holds at once.
+HELD, MOST = 1 << 21, 1 << 18
 #: Texts' bytes for each bucket of windows, and the least number of buckets.
-BUCKET_BYTES, MIN_BUCKETS = 4 << 20, 256
+BUCKET_BYTES, MIN_BUCKETS = 2 << 20, 256
 
 
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (words.mix(h + np.uint64(row)) >> np.uint64(64 - bits)).astype(np.int64)
+    """The cells of windows in a row of 2 ** bits cells."""
+    return (words.mix(h + np.uint64(row + 1)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _sizes(total: int) -> tuple[int, int]:
+    """Bits of the number of parts and of a part's row for texts of total bytes: three times as many cells as
+    windows or more, at six bytes a word, up to MAX_BITS."""
+    bits = int(np.clip(int(total / 2).bit_length(), MIN_BITS, MAX_BITS))
+    return max(0, bits - PART_BITS), min(bits, PART_BITS)
+
+
+def _by_part(h: np.ndarray, part_bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that windows fall in, and their places in h."""
+    if not part_bits:
+        yield 0, np.arange(len(h))
+        return
+    part = (h >> np.uint64(64 - part_bits)).astype(np.uint8)
+    for p in np.unique(part).tolist():
+        yield p, np.flatnonzero(part == p)
 
 
 def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -53,42 +81,49 @@ def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _gaps(places: np.ndarray) -> bytes:
-    """Rising places as steps of a byte; 255 steps on without a place."""
+def _packed_places(places: np.ndarray) -> bytes:
+    """Rising places as two bytes each, or as steps of one byte where that is shorter (255 steps on
+    without a place); the first byte tells which."""
     steps = np.diff(places, prepend=-1)
     skips = steps // 255
+    if len(steps) + int(skips.sum()) >= 2 * len(places):
+        return b"\1" + places.astype(np.uint16).tobytes()
     out = np.full(len(steps) + int(skips.sum()), 255, np.uint8)
     out[np.cumsum(skips + 1) - 1] = steps % 255
-    return out.tobytes()
+    return b"\0" + out.tobytes()
 
 
-def _places(gaps: bytes) -> np.ndarray:
-    steps = np.frombuffer(gaps, np.uint8)
+def _places(data: bytes) -> np.ndarray:
+    if data[0]:
+        return np.frombuffer(data, np.uint16, offset=1).astype(np.int64)
+    steps = np.frombuffer(data, np.uint8, offset=1)
     return np.cumsum(steps, dtype=np.int64)[steps < 255] - 1
 
 
-def _blocks(cells: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Blocks of sorted cells, and the cells' places in each."""
-    block = cells >> BLOCK_BITS
-    starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(cells)]
-    places = cells & ((1 << BLOCK_BITS) - 1)
-    return block[starts[:-1]], pa.array([_gaps(places[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
-
+def _counted(part_bits: int, bits: int, size: int):
+    def cells_of(part: int, row: int, cells: np.ndarray) -> pa.RecordBatch:
+        """The sorted cells of a part's row, by block."""
+        block = cells >> BLOCK_BITS
+        starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(cells)]
+        places = cells & ((1 << BLOCK_BITS) - 1)
+        packed = [_packed_places(places[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        n = len(packed)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, row), pa.int32()), pa.array(block[starts[:-1]], pa.int32()), pa.array(packed, pa.binary())],
+            names=["part", "row", "block", "places"],
+        )
 
-def _counted(bits: int, size: int):
     def send(h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for row in range(DEPTH):
-            cells = np.sort(_cells(h, row, bits))
-            first = np.r_[True, cells[1:] != cells[:-1]]
-            again = np.r_[False, ~first[1:] & first[:-1]]
-            # A cell that is listed again counts 2.
-            for chosen in (first, again):
-                if chosen.any():
-                    block, places = _blocks(cells[chosen])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(block), row), pa.int32()), pa.array(block, pa.int32()), places],
-                        names=["row", "block", "places"],
-                    )
+        for part, at in _by_part(h, part_bits):
+            for row in range(DEPTH):
+                cells = _cells(h[at], row, bits)
+                cells.sort()
+                first = np.r_[True, cells[1:] != cells[:-1]]
+                again = np.r_[False, ~first[1:] & first[:-1]]
+                # A cell that is listed again counts 2.
+                yield cells_of(part, row, cells[first])
+                if again.any():
+                    yield cells_of(part, row, cells[again])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -97,90 +132,86 @@ def _counted(bits: int, size: int):
             starts, _ = words.inside(offsets, size)
             held.append(words.runs(h, size)[starts])
             if sum(map(len, held)) > HELD:
-                yield from send(np.concatenate(held))
-                held = []
+                h = np.concatenate(held)
+                held.clear()
+                yield from send(h)
         if sum(map(len, held)):
             yield from send(np.concatenate(held))
 
-    return run
-
+    return batches.released(run)
 
-def _squeezed(bits: np.ndarray) -> bytes:
-    return pa.compress(bits.tobytes(), codec="zstd", asbytes=True)
 
+def _merged(bits: int):
+    """For each block, one bit a cell: whether its counters add up to 2."""
 
-def _merged(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bit a cell: whether its counters add up to 2."""
-
-    def group(key: tuple, counts: np.ndarray) -> pa.RecordBatch:
-        bits = _squeezed(np.packbits(counts >= 2, bitorder="little"))
-        arrays = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([bits], pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, names=["row", "block", "bits"])
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, counts = None, np.zeros(1 << min(bits, BLOCK_BITS), np.uint8)
+
+        def block() -> pa.RecordBatch:
+            data = pa.compress(np.packbits(counts >= 2, bitorder="little").tobytes(), codec="zstd", asbytes=True)
+            counts[:] = 0
+            arrays = [pa.array([k], pa.int32()) for k in key] + [pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["part", "row", "block", "bits"])
+
+        for batch in stream:
+            for *own, places in zip(*(batch.column(c).to_pylist() for c in ("part", "row", "block", "places")), strict=True):
+                if key != own:
+                    if key:
+                        yield block()
+                    key = own
+                at = _places(places)
+                counts[at] = np.minimum(counts[at] + 1, 2)
+        if key:
+            yield block()
 
-    key, counts = None, np.zeros(1 << BLOCK_BITS, np.uint8)
-    for batch in stream:
-        for row, block, places in zip(*(batch.column(c).to_pylist() for c in ("row", "block", "places")), strict=True):
-            if key != (row, block):
-                if key:
-                    yield group(key, counts)
-                key, counts = (row, block), np.zeros(1 << BLOCK_BITS, np.uint8)
-            at = _places(places)
-            counts[at] = np.minimum(counts[at] + 1, 2)
-    if key:
-        yield group(key, counts)
-
-
-def sketch(texts: DataFrame, total: int, size: int = WINDOW) -> Sketch:
-    """The merged sketch of texts of total bytes: for each cell, whether it counted 2 windows or more."""
-    # A word has about six bytes; three times as many cells as there are windows, or more.
-    bits = int(np.clip(int(total / 2).bit_length(), MIN_BITS, MAX_BITS))
-    parts = texts.mapInArrow(_counted(bits, size), "row int, block int, places binary")
-    merged = parts.repartition("row", "block").sortWithinPartitions("row", "block")
-    found = merged.mapInArrow(_merged, "row int, block int, bits binary").toArrow()
-    return Sketch(bits, {(r, b): d for r, b, d in zip(*(found.column(c).to_pylist() for c in ("row", "block", "bits")), strict=True)})
+    return run
 
 
-@dataclass
 class Sketch:
-    """DEPTH rows of 2 ** bits cells; blocks has those of which a cell is set, compressed."""
-
-    bits: int
-    blocks: dict[tuple[int, int], bytes]
-
-    def cells(self) -> np.ndarray:
-        size = 1 << (BLOCK_BITS - 3)
-        out = np.zeros((DEPTH, 1 << (self.bits - BLOCK_BITS), size), np.uint8)
-        for (row, block), data in self.blocks.items():
-            out[row, block] = np.frombuffer(pa.decompress(data, size, codec="zstd"), np.uint8)
-        return out.reshape(DEPTH, -1)
-
-
-_last: list = [None, None]
-
-
-def _cells_of(sent) -> np.ndarray:
-    """The cells of a broadcast sketch, kept in the Python worker for its next tasks."""
-    if _last[0] is not sent.value:
-        _last[1] = None
-        _last[:] = [sent.value, sent.value.cells()]
-    return _last[1]
-
-
-def _may_repeat(h: np.ndarray, cells_set: np.ndarray) -> np.ndarray:
-    bits = (cells_set.shape[1] * 8).bit_length() - 1
-    open_ = np.arange(len(h))
-    for row in range(DEPTH):
-        cells = _cells(h[open_], row, bits)
-        open_ = open_[(cells_set[row, cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 > 0]
-    return open_
-
-
-#: What is sent of a place: its window's hashes, the text's key and hash, and the window's first word.
-_SENT = (np.uint64, np.uint32, np.int64, np.int32, np.uint32)
+    """The merged sketch of texts of total bytes, each part broadcast for itself: for each cell, whether it
+    counted 2 windows or more. A part is sent as its blocks, compressed; the driver holds one at a time."""
+
+    def __init__(self, texts: DataFrame, total: int, size: int = WINDOW) -> None:
+        self.part_bits, self.bits = _sizes(total)
+        spark = texts.sparkSession
+        counted = texts.mapInArrow(_counted(self.part_bits, self.bits, size), "part int, row int, block int, places binary")
+        ordered = counted.repartition("part", "row", "block").sortWithinPartitions("part", "row", "block")
+        merged = cut(ordered.mapInArrow(_merged(self.bits), "part int, row int, block int, bits binary"))
+        self.parts: list[Broadcast] = []
+        for p in range(1 << self.part_bits):
+            own = merged.filter(F.col("part") == p).toArrow()
+            self.parts.append(spark.sparkContext.broadcast([own.column(c).to_pylist() for c in ("row", "block", "bits")]))
+
+    def cells(self, part: int) -> np.ndarray:
+        """The part's cells, [DEPTH, bytes]."""
+        size = 1 << (min(self.bits, BLOCK_BITS) - 3)
+        out = np.zeros((DEPTH, 1 << (self.bits - 3)), np.uint8)
+        sent = self.parts[part]
+        for row, block, data in zip(*sent.value, strict=True):
+            out[row, block * size : (block + 1) * size] = np.frombuffer(pa.decompress(data, size, codec="zstd"), np.uint8)
+        # Or the worker would hold all parts.
+        if hasattr(sent, "_value"):
+            del sent._value
+        return out
+
+    def may_repeat(self, h: np.ndarray) -> np.ndarray:
+        """For each window whether all its counters reach 2."""
+        out = np.zeros(len(h), bool)
+        for part, open_ in _by_part(h, self.part_bits):
+            cells_set = self.cells(part)
+            for row in range(DEPTH):
+                cells = _cells(h[open_], row, self.bits)
+                open_ = open_[(cells_set[row, cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 > 0]
+            out[open_] = True
+        return out
+
+
+#: What is sent of a place: its window's two hashes, the text's hash and key, and the window's first word.
+_SENT = (np.uint64, np.uint64, np.int32, np.int64, np.uint32)
 _SENT_BYTES = sum(np.dtype(t).itemsize for t in _SENT)
 
 
-def _pack(columns: tuple[np.ndarray, ...]) -> bytes:
+def _pack(columns: list[np.ndarray]) -> bytes:
     """The columns' bytes, all first bytes first: high bytes that are mostly equal compress well."""
     return b"".join(c.astype(t, copy=False).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, t in zip(columns, _SENT, strict=True))
 
@@ -204,7 +235,7 @@ def _above_least(h: np.ndarray, g: np.ndarray, key: np.ndarray) -> tuple[np.ndar
     return order, key > least
 
 
-def _marks(key: np.ndarray, th: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _marks(th: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """One row for each text, with its places as uint32."""
     order = np.lexsort((place, th, key))
     key, th, place = key[order], th[order], place[order].astype(np.uint32)
@@ -214,65 +245,99 @@ def _marks(key: np.ndarray, th: np.ndarray, place: np.ndarray) -> pa.RecordBatch
     )
 
 
-def _windows(sent, size: int, bucket_bits: int):
+def _windows(sketch: Sketch, size: int, bucket_bits: int):
     """Windows that may repeat: places of each task's smallest key by bucket, and the marks of others."""
 
     def send(parts: list) -> Iterator[pa.RecordBatch]:
-        h, g, key, th, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        parts.clear()
+        h, g, th, key, place = columns
         order, above = _above_least(h, g, key)
-        own = order[above]
+        own, rest = order[above], order[~above]
         if len(own):
-            marks = _marks(key[own], th[own], place[own])
+            marks = _marks(th[own], key[own], place[own])
             bucket = marks.column("th").to_numpy() & ((1 << bucket_bits) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *marks.columns], names=["bucket", "key", "th", "data"])
-        rest = order[~above]
-        columns = [c[rest] for c in (h, g, key, th, place)]
+        columns = [c[rest] for c in columns]
         bucket = (columns[0] >> np.uint64(64 - bucket_bits)).astype(np.int32)
         starts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
-        packed = [_pack(tuple(c[i:j] for c in columns)) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        packed = [_pack([c[i:j] for c in columns]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         n = len(packed)
         yield pa.RecordBatch.from_arrays(
             [pa.array(bucket[starts[:-1]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(packed, pa.binary())],
             names=["bucket", "key", "th", "data"],
         )
 
+    def chosen(batch: pa.RecordBatch, h: np.ndarray, ok: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The columns to send of a slice's windows that may repeat. Their texts are read once more, for the
+        second hash."""
+        rows = np.unique(owner[ok])
+        texts = batches.as_bytes(batch.column("text").take(pa.array(rows)))
+        w, offsets = words.fingerprints(texts, second=True)
+        starts, again = words.inside(offsets, size)
+        g = words.runs(w, size, seed=1)[starts]
+        among = np.isin(owner, rows)
+        ok = ok[among]
+        own, key, th = again[ok], batch.column("key").to_numpy()[rows], batch.column("th").to_numpy()[rows]
+        return h[among][ok], g[ok], th[own], key[own], (starts[ok] - offsets[own]).astype(np.uint32)
+
+    def compared(held: list, parts: list) -> Iterator[pa.RecordBatch]:
+        ok = sketch.may_repeat(np.concatenate([h for _, h, _ in held]))
+        at = 0
+        for batch, h, owner in held:
+            own = ok[at : at + len(h)]
+            at += len(h)
+            if own.any():
+                parts.append(chosen(batch, h, own, owner))
+                if sum(len(p[0]) for p in parts) > MOST:
+                    yield from send(parts)
+        held.clear()
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, cells_set = [], 0, _cells_of(sent)
+        held, parts = [], []
         for batch in batches.sliced(stream):
-            texts = batches.as_bytes(batch.column("text"))
-            keys, hashes = (batch.column(c).to_numpy() for c in ("key", "th"))
-            w, offsets = words.fingerprints(texts)
+            w, offsets = words.fingerprints(batches.as_bytes(batch.column("text")))
             starts, owner = words.inside(offsets, size)
-            h = words.runs(w, size)[starts]
-            open_ = _may_repeat(h, cells_set)
-            if not len(open_):
-                continue
-            own = owner[open_]
-            g = words.runs(w, size, seed=1)[starts[open_]] >> np.uint64(32)
-            parts.append((h[open_], g.astype(np.uint32), keys[own], hashes[own], (starts[open_] - offsets[own]).astype(np.uint32)))
-            held += len(open_)
-            if held > HELD:
-                yield from send(parts)
-                parts, held = [], 0
+            if len(starts):
+                held.append((batch, words.runs(w, size)[starts], owner.astype(np.int32)))
+                if sum(len(h) for _, h, _ in held) > HELD:
+                    yield from compared(held, parts)
         if held:
+            yield from compared(held, parts)
+        if parts:
             yield from send(parts)
 
-    return run
+    return batches.released(run)
+
+
+def _likely(h: np.ndarray) -> np.ndarray:
+    """The places of a bucket whose windows reach 2 in a row of cells of the bucket's own."""
+    bits = max(MIN_BITS, int(4 * len(h)).bit_length())
+    cells = _cells(h, DEPTH, bits)
+    return np.flatnonzero(np.bincount(cells, minlength=1 << bits)[cells] >= 2)
 
 
 def _later(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in the order of buckets, the marks that tasks made and those of each bucket's places whose
     key isn't their window's least."""
-    last, packed, parts, held = None, [], [], 0
+    last, packed, size, most, parts = None, [], 0, MOST, []
 
-    def found() -> int:
-        columns = [np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True)]
+    def merge(more: bool) -> None:
+        """Marks places above their window's least key, and keeps the others if more of the bucket may come."""
+        nonlocal size, most
+        columns = [np.concatenate(c) for c in zip(*packed, strict=True)]
         packed.clear()
-        order, above = _above_least(*columns[:3])
-        own = order[above]
+        at = np.arange(len(columns[0])) if more else _likely(columns[0])
+        order, above = _above_least(columns[0][at], columns[1][at], columns[3][at])
+        own = at[order[above]]
         if len(own):
             parts.append(tuple(c[own] for c in columns[2:]))
-        return len(own)
+        size = 0
+        if more:
+            rest = at[order[~above]]
+            packed.append([c[rest] for c in columns])
+            size = len(rest)
+            most = max(most, 2 * size)
 
     def send() -> pa.RecordBatch:
         marks = _marks(*(np.concatenate(c) for c in zip(*parts, strict=True)))
@@ -283,30 +348,31 @@ def _later(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing = batch.column("key").is_valid()
         yield batch.select(["key", "th", "data"]).filter(passing)
         rest = batch.filter(pc.invert(passing))
-        for bucket, data in zip(rest.column("bucket").to_pylist(), rest.column("data").to_pylist(), strict=True):
-            if bucket != last and packed:
-                held += found()
-                if held > HELD:
+        for bucket, data in zip(rest.column("bucket").to_pylist(), rest.column("data"), strict=True):
+            if packed and (bucket != last or size > most):
+                merge(bucket == last)
+                if bucket != last:
+                    most = MOST
+                if sum(len(p[0]) for p in parts) > MOST:
                     yield send()
-                    held = 0
             last = bucket
-            packed.append(data)
+            packed.append(_unpack(data.as_py()))
+            size += len(packed[-1][0])
     if packed:
-        found()
+        merge(False)
     if parts:
         yield send()
 
 
 def repeats(texts: DataFrame, size: int = WINDOW) -> DataFrame:
-    """key, th and data (places as uint32, in array<binary>) of each text with windows that a smaller
+    """key, th and marks (places as uint32, in array<binary>) of each text with windows that a smaller
     key has too, from columns key, th (a hash of the text) and text."""
     texts = texts.filter("key IS NOT NULL AND text IS NOT NULL")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bucket_bits = max(MIN_BUCKETS, total // BUCKET_BYTES).bit_length()
-    sent = texts.sparkSession.sparkContext.broadcast(sketch(texts, total, size))
-    found = texts.mapInArrow(_windows(sent, size, bucket_bits), "bucket int, key long, th int, data binary")
+    found = texts.mapInArrow(_windows(Sketch(texts, total, size), size, bucket_bits), "bucket int, key long, th int, data binary")
     ordered = found.repartition("bucket").sortWithinPartitions("bucket")
-    later = ordered.mapInArrow(_later, "key long, th int, data binary")
+    later = ordered.mapInArrow(batches.released(_later), "key long, th int, data binary")
     return later.groupBy("key", "th").agg(F.collect_list("data").alias("marks"))
 
 
@@ -339,11 +405,13 @@ def _removed(size: int):
                 names=["rest", "text", "n_words", "n_removed"],
             )
 
-    return run
+    return batches.released(run)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """docs, the text without its repeated words, with n_words (before) and n_removed."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key}: an integer key is needed, since the smallest one counts")
     names = [c for c in docs.columns if c != text]
     beside = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("rest"),
@@ -352,8 +420,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
         F.hash(F.col(f"`{text}`")).alias("th"),
     )
     kind = beside.schema["rest"].dataType.simpleString()
-    marks = repeats(beside.select("key", "th", "text"), size)
-    both = beside.join(marks, ["key", "th"], "left").select("rest", "text", "marks")
-    out = both.mapInArrow(_removed(size), f"rest {kind}, text string, n_words long, n_removed long")
+    marks = cut(repeats(beside.select("key", "th", "text"), size))
+    may = flagged(beside, marks, "key")
+    near = may.filter("_flag").join(marks, ["key", "th"], "left").select("rest", "text", "marks")
+    far = may.filter("NOT _flag").select("rest", "text", F.lit(None).cast("array<binary>").alias("marks"))
+    out = near.unionByName(far).mapInArrow(_removed(size), f"rest {kind}, text string, n_words long, n_removed long")
     columns = [F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`") for c in docs.columns if c not in ("n_words", "n_removed")]
     return out.select(*columns, "n_words", "n_removed")

@@ -5,17 +5,28 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Distinct words whose fingerprint a Python worker remembers.
-REMEMBERED = 1 << 18
+#: Distinct words, of SHORT bytes at most, whose fingerprint a Python worker remembers, some 25 MB.
+REMEMBERED, SHORT = 1 << 17, 64
 
 
 class _Fingerprints(dict):
+    def __init__(self, seed: int) -> None:
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word, self.seed)
+        if len(self) < REMEMBERED and len(word) <= SHORT:
+            self[word] = value
         return value
 
 
-_known = _Fingerprints()
+_known = _Fingerprints(0), _Fingerprints(1)
+
+
+def forget() -> None:
+    """Frees what is remembered, at the end of a task."""
+    for known in _known:
+        known.clear()
 
 
 def split(text: bytes) -> list[bytes]:
@@ -23,17 +34,18 @@ def split(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def fingerprints(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(texts: list[bytes], fold: bool = False, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all words in a row, and the n + 1 offsets of the texts in them.
-    fold lower-cases A-Z (bytes.lower() touches nothing else)."""
-    if len(_known) > REMEMBERED:
-        _known.clear()
+    fold lower-cases A-Z (bytes.lower() touches nothing else); second takes another hash of the words."""
+    known = _known[second]
+    if len(known) >= REMEMBERED:
+        known.clear()
     words: list[bytes] = []
     offsets = np.zeros(len(texts) + 1, np.int64)
     for i, text in enumerate(texts):
         words += (text.lower() if fold else text).split()
         offsets[i + 1] = len(words)
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)), offsets
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), offsets
 
 
 def mix(h: np.ndarray) -> np.ndarray:
