@@ -1,5 +1,5 @@
 """Quality rules as weak supervision: rules vote or abstain, EM estimates how accurate each is on
-good documents and on each kind of junk, and the posterior probability of quality decides.
+good documents and on junk, and the posterior probability of quality decides.
 
 Every rule looks at one document's counts and votes 1 (good), -1 (bad) or 0 (abstains). EM needs
 the votes alone, so its sufficient statistic is the number of documents with each pattern of
@@ -24,8 +24,6 @@ from . import batches, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_POSTERIOR = 0.5
-#: The share of good documents that a rule may vote against.
-MAX_ERROR = 0.005
 
 COUNTS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -115,31 +113,41 @@ def rules() -> dict[str, Column]:
     }
 
 
+def _kinds(bad: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The rules whose votes against mostly stand alone: at least half of the documents that one of them
+    votes against have no other vote against."""
+    alone = n @ (bad * (bad.sum(axis=1) == 1)[:, None])
+    against = n @ bad
+    return np.flatnonzero((against > 0) & (2 * alone >= against))
+
+
 def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over vote patterns [P, R] that n [P] documents have. Returns the share of good
     documents; accuracy [2, R], the chance that a rule which does not abstain votes -1 on a bad
     document (row 0) and 1 on a good one (row 1); and the posterior of good for each pattern.
 
-    Junk is of many kinds, and a kind is found by one or two rules while the others find nothing.
-    So bad documents are a mixture of one kind for each rule, that this rule finds mostly; EM
-    estimates each kind's share and each rule's votes on it. A rule is taken to be wrong on
-    MAX_ERROR of the good documents at most, so that a common kind of junk can't pass for a habit
-    of good documents; on each kind of junk a Beta prior stands in where votes are few. An
-    abstention says nothing."""
+    Classes are good documents, junk that several rules find, and one kind of junk for each rule whose
+    votes against mostly stand alone. Votes can't tell whether such a rule alone finds its junk or errs on
+    good documents, so it is believed. A rule that others mostly support is not: its votes that stand alone
+    count as its errors as far as EM estimates them so. On good documents a rule is held to be right more
+    often than not; on junk a Beta prior of two votes stands in where votes are few. An abstention says
+    nothing."""
     r = patterns.shape[1]
     bad, good = (patterns == -1).astype(float), (patterns == 1).astype(float)
-    fires = np.vstack([np.full(r, MAX_ERROR / 2), np.full((r, r), 0.05) + 0.85 * np.eye(r)])
-    share = np.r_[0.9, np.full(r, 0.1 / r)]
+    kinds = _kinds(bad, n)
+    fires = np.vstack([np.full(r, 0.02), np.full(r, 0.5), (np.full((r, r), 0.05) + 0.85 * np.eye(r))[kinds]])
+    share = np.r_[0.85, 0.05, np.full(len(kinds), 0.1 / max(1, len(kinds)))]
+    share /= share.sum()
     prior = 2 * fires[1:]
+    own = np.arange(len(kinds))
     chance = _classes(bad, good, share, fires)
     for _ in range(rounds):
         weight = chance * n[:, None]
-        share = (weight.sum(axis=0) + 1) / (n.sum() + r + 1)
+        share = (weight.sum(axis=0) + 1) / (n.sum() + len(share))
         hits, misses = weight.T @ bad, weight.T @ good
         fires[1:] = (hits[1:] + prior) / (hits[1:] + misses[1:] + 2)
-        fires[0] = np.clip((hits[0] + 1e-9) / (hits[0] + misses[0] + 1e-6), MAX_ERROR / 10, MAX_ERROR)
-        own = np.arange(r)
-        fires[own + 1, own] = np.maximum(fires[own + 1, own], 0.5)
+        fires[0] = np.minimum((hits[0] + 1e-3) / (hits[0] + misses[0] + 1), 0.5)
+        fires[own + 2, kinds] = np.maximum(fires[own + 2, kinds], 0.5)
         new = _classes(bad, good, share, fires)
         moved, chance = np.abs(new - chance).max(initial=0), new
         if moved < 1e-9:

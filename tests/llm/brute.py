@@ -77,3 +77,48 @@ def url(value):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def posteriors(patterns, n, rounds=500):
+    """EM in loops: the chance of good for each pattern of votes that n documents have."""
+    r, total = len(patterns[0]), sum(n)
+    kinds = []
+    for k in range(r):
+        against = sum(c for p, c in zip(patterns, n) if p[k] == -1)
+        alone = sum(c for p, c in zip(patterns, n) if p[k] == -1 and sum(v == -1 for v in p) == 1)
+        if against and 2 * alone >= against:
+            kinds.append(k)
+    fires = [[0.02] * r, [0.5] * r] + [[0.9 if j == k else 0.05 for j in range(r)] for k in kinds]
+    share = [0.85, 0.05] + [0.1 / len(kinds) for _ in kinds]
+    share = [s / sum(share) for s in share]
+    first = [list(f) for f in fires]
+
+    def chances():
+        out = []
+        for p in patterns:
+            own = []
+            for s, f in zip(share, fires):
+                for v, x in zip(p, f):
+                    x = min(max(x, 1e-6), 1 - 1e-6)
+                    s *= x if v == -1 else 1 - x if v == 1 else 1
+                own.append(s)
+            out.append([x / sum(own) for x in own])
+        return out
+
+    now = chances()
+    for _ in range(rounds):
+        share = [(sum(c * w[k] for c, w in zip(n, now)) + 1) / (total + len(share)) for k in range(len(share))]
+        for k in range(len(fires)):
+            for j in range(r):
+                hits = sum(c * w[k] for p, c, w in zip(patterns, n, now) if p[j] == -1)
+                misses = sum(c * w[k] for p, c, w in zip(patterns, n, now) if p[j] == 1)
+                if k:
+                    fires[k][j] = (hits + 2 * first[k][j]) / (hits + misses + 2)
+                else:
+                    fires[k][j] = min((hits + 1e-3) / (hits + misses + 1), 0.5)
+        for k, own in enumerate(kinds):
+            fires[k + 2][own] = max(fires[k + 2][own], 0.5)
+        before, now = now, chances()
+        if max(abs(a - b) for x, y in zip(before, now) for a, b in zip(x, y)) < 1e-9:
+            break
+    return [w[0] for w in now]
