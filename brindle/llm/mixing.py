@@ -2,12 +2,16 @@
 
 Each source's target is its weight's share of all words, but at most MAX_COPIES times its own words;
 what is cut off goes to the others by weight. A target of k whole times the source and a rest takes
-every document k times for certain, and a sample once more: documents are ranked by random odds
-divided by their inclusion odds (Pareto order sampling; the odds of the random number u are
-u / (1 - u)) and taken in this order while they come nearer to the rest. The sample's size is fixed
-in words, so a source misses its target by half of one document at most.
-
-No source is gathered anywhere: a histogram of ranks gives each source's bucket where its sample
+every document k times for certain, and a sample once more. A document's chance to be in the sample is
+proportional to a weight, by default the number of bits of its size, so that a document of twice the
+words is a little likelier, and 1 at most; what that cuts off raises the chances of the others, and
+chances times sizes add up to the rest. Documents are ranked by random odds divided by their inclusion
+odds (Pareto order sampling; the odds of the random number u are u / (1 - u)), those of chance 1 first,
+and taken in this order while they come nearer to the rest. The sample's size is fixed in words, so a
+source misses its target by half of one document at most.
+
+No source is gathered anywhere: chances follow from the words of each weight (few if weights are few,
+as numbers of bits are), a histogram of ranks gives each source's bucket where its sample
 ends, only that bucket is ranked exactly, and the last rank taken becomes a threshold that each row
 is held against. The rows with their texts are never shuffled unless there are more than
 BROADCAST_SOURCES sources.
@@ -43,6 +47,10 @@ def draw(key: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def n_bits(size: Column) -> Column:
+    return F.length(F.bin(size))
+
+
 def _odds(u: Column) -> Column:
     return u / (1 - u)
 
@@ -59,11 +67,12 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     after = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     capped = F.col("_level") >= F.col("_limit")
-    level = F.min(F.when(~capped, F.struct("_limit", "_level"))).over(everything)["_level"]
+    level = F.min(F.when(~capped, F.struct("_at", "_level"))).over(everything)["_level"]
     return (
         sources.withColumn("_weight", weight.cast("double"))
         .withColumn("_cap", MAX_COPIES * F.col("source_size"))
         .withColumn("_limit", F.col("_cap") / F.col("_weight"))
+        .withColumn("_at", F.row_number().over(by_cap))
         .withColumn("_left", F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
         .withColumn("_level", F.col("_left") / F.sum("_weight").over(after))
         .withColumn("target", F.when(capped, F.col("_cap").cast("double")).otherwise(level * F.col("_weight")))
@@ -71,24 +80,33 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None) -> DataFrame:
+def _levels(weighed: DataFrame) -> DataFrame:
+    """_source and _level, by which a weight is multiplied for the chance, from the words of each weight
+    and _rest. The largest weights, whose chance would be over 1, come first and are cut off."""
+    order = Window.partitionBy("_source").orderBy(F.col("_w").desc())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = (F.col("_rest") - F.coalesce(F.sum("_words").over(before), F.lit(0))) / F.sum(F.col("_w") * F.col("_words")).over(after)
+    levels = weighed.withColumn("_level", level).filter(F.col("_level") * F.col("_w") < 1)
+    return levels.groupBy("_source").agg(F.max_by("_level", "_w").alias("_level"))
+
+
+def mix(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = SEED
+) -> DataFrame:
     """docs with size, source_size, target and copies, the times that the mix takes the row whole.
-    weight: relative chances of documents of one source to be in the sample (equal if not given)."""
+    weight: relative chances, over 0, of documents of one source to be in the sample; may use size."""
     given = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     sized = (
-        docs.select(*(F.col(f"`{c}`") for c in given), n_words(F.col(text)).alias("size"), F.col(source).alias("_source"))
-        .withColumn("_u", draw(F.col(key)))
-        .withColumn("_w", F.lit(1.0) if weight is None else weight.cast("double"))
+        docs.select(*(F.col(f"`{c}`") for c in given), n_words(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").alias("_source"))
+        .withColumn("_u", draw(F.col(f"`{key}`"), seed))
+        .withColumn("_w", n_bits(F.col("size")) if weight is None else weight)
     )
     narrow = cut(sized.select("_source", "size", "_u", "_w"))
-    weighed = narrow.groupBy("_source").agg(F.try_divide(F.sum(F.col("_w") * F.col("size")), F.sum("size")).alias("_mean"))
     per_source = (
         targets(narrow)
         .withColumn("_whole", F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)))
         .withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .alias("t")
-        .join(weighed.alias("m"), F.col("t._source").eqNullSafe(F.col("m._source")), "left")
-        .select("t.*", "m._mean")
     )
     per_source = cut(per_source)
     few = per_source.count() <= BROADCAST_SOURCES
@@ -98,9 +116,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         joined = rows.join(F.broadcast(facts) if few else facts, F.col("_source").eqNullSafe(F.col("_its")), "left")
         return joined.drop("_its")
 
-    chance = F.col("_rest") / F.col("source_size") * F.col("_w") / F.col("_mean")
-    chance = F.greatest(F.least(chance, F.lit(1 - 1e-9)), F.lit(1e-12))
-    rank = F.when(F.col("_rest") > 0, _odds(F.col("_u")) / _odds(chance))
+    words = narrow.filter("size > 0").groupBy("_source", "_w").agg(F.sum("size").alias("_words"))
+    levels = cut(_levels(with_source(words, per_source).filter("_rest > 0")))
+    per_source = cut(with_source(per_source, levels))
+    chance = F.col("_level") * F.col("_w")
+    rank = F.when(F.col("_rest") > 0, F.when(chance >= 1, 0.0).otherwise(_odds(F.col("_u")) / _odds(chance)))
     bucket = F.floor(F.col("_rank") / (1 + F.col("_rank")) * BUCKETS)
     ranked = with_source(narrow, per_source).withColumn("_rank", rank).filter("_rank IS NOT NULL").withColumn("_bucket", bucket)
     running = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -70,14 +70,15 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS draw
+         (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE)
+         / 281474976710656::DOUBLE AS draw
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, 3 * source_size AS cap,
          [5, 2, 1][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s),
 l AS (
-  SELECT *, cap / weight AS lim,
+  SELECT *, cap / weight AS lim, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS pos,
          (sum(source_size) OVER ()
           - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
@@ -86,16 +87,28 @@ l AS (
 t AS (
   SELECT source, source_size,
          CASE WHEN level >= lim THEN cap::DOUBLE
-              ELSE min(CASE WHEN level < lim THEN {'a': lim, 'b': level} END) OVER ()['b'] * weight END AS target
+              ELSE min(CASE WHEN level < lim THEN {'a': pos, 'b': level} END) OVER ()['b'] * weight END AS target
   FROM l),
 r AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole FROM t),
+q AS (SELECT *, target - whole * source_size AS rest FROM r),
+c AS (SELECT source, length(bin(size)) AS bits, CAST(sum(size) AS BIGINT) AS words FROM d WHERE size > 0 GROUP BY ALL),
+v AS (
+  SELECT c.source, c.bits,
+         (q.rest - coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY bits DESC
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / sum(bits * words) OVER (PARTITION BY c.source ORDER BY bits DESC
+                                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+  FROM c JOIN q ON c.source IS NOT DISTINCT FROM q.source WHERE q.rest > 0),
+m AS (SELECT source, arg_max(level, bits) AS level FROM v WHERE level * bits < 1 GROUP BY source),
+k AS (
+  SELECT d.*, q.source_size, q.target, q.whole, q.rest, m.level * length(bin(d.size)) AS chance
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source),
+e AS (SELECT *, CASE WHEN chance >= 1 THEN 0 ELSE draw / (1 - draw) / (chance / (1 - chance)) END AS rank FROM k),
 o AS (
-  SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw
-                  RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)
-         - sum(d.size) OVER (PARTITION BY d.source, d.draw) AS before,
-         sum(d.size) OVER (PARTITION BY d.source, d.draw) AS own
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            - sum(size) OVER (PARTITION BY source, rank) AS before,
+         sum(size) OVER (PARTITION BY source, rank) AS own
+  FROM e)
 SELECT doc_id, size, source_size, target,
        CAST((whole + CASE WHEN rest > 0 AND before + own / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM o

@@ -174,6 +174,36 @@ def test_op7_comes_near(spark):
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
 
 
+def test_op7_chances(spark):
+    """In 300 like sources, documents are in the sample as often as their chances say, and the longest of a
+    source with a high rest for certain."""
+    sizes = [1, 2, 5, 9, 20, 40, 90, 200] * 5
+    rows = [(s * 100 + i, "w " * n, f"s{s:03}") for s in range(300) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, seed="other").collect()
+    by = defaultdict(lambda: defaultdict(list))
+    for r in got:
+        whole = int(r.target // r.source_size)
+        by[round(r.target - whole * r.source_size, 6)][r.size].append(r.copies - whole)
+    assert len(by) == 3
+    certain = 0
+    for rest, found in by.items():
+        weight, level = {n: n.bit_length() for n in set(sizes)}, 0.0
+        capped = set()
+        while True:
+            level = (rest - sum(5 * n for n in capped)) / sum(5 * n * weight[n] for n in weight if n not in capped)
+            over = {n for n in weight if n not in capped and level * weight[n] >= 1}
+            capped |= over
+            if not over:
+                break
+        certain += len(capped)
+        for n, copies in found.items():
+            chance = 1 if n in capped else level * weight[n]
+            assert abs(np.mean(copies) - chance) < (0.08 if chance < 1 else 0.03), (rest, n)
+    # Unequal: the longest come some eight times as often as the shortest where none is certain.
+    assert max(np.mean(f[200]) / np.mean(f[1]) for f in by.values()) > 3
+
+
 def test_op8(spark, texts):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = {0: [], 1: []}
@@ -187,18 +217,62 @@ def test_op8(spark, texts):
     assert np.mean(kept[1]) > 0.98 and np.mean(kept[0]) < 0.05
 
 
-def test_op8_em_finds_accuracies():
+def _votes(rng, chance, kind, abstain=0.0):
+    votes = np.where(rng.random((len(kind), chance.shape[1])) < chance[kind], -1, 1)
+    votes[rng.random(votes.shape) < abstain] = 0
+    return votes
+
+
+def test_op8_em_finds_kinds_of_junk():
     """Of four kinds of junk, each mostly found by a rule of its own."""
     rng = np.random.default_rng(0)
     kind = rng.choice(5, 20_000, p=[0.8, 0.08, 0.06, 0.04, 0.02])
     chance = np.vstack([np.full(4, 0.002), np.full((4, 4), 0.05) + 0.85 * np.eye(4)])
-    votes, n = np.unique(np.where(rng.random((20_000, 4)) < chance[kind], -1, 1), axis=0, return_counts=True)
+    votes, n = np.unique(_votes(rng, chance, kind), axis=0, return_counts=True)
     share, accuracy, good = quality_rules.fit(votes, n.astype(float))
     assert abs(share - 0.8) < 0.03
-    assert np.all(np.abs(accuracy[1] - 0.998) <= 0.003 + 1e-9)
     want = np.array([0.08, 0.06, 0.04, 0.02]) / 0.2 @ chance[1:]
-    assert np.all(np.abs(accuracy[0] - want) < 0.08)
-    assert np.all((good > 0.5) == (votes == 1).all(axis=1))
+    assert np.all(np.abs(accuracy[0] - want) < 0.08) and np.all(accuracy[1] > 0.97)
+    assert np.all(good[(votes == 1).all(axis=1)] > 0.9)
+
+
+NOISE, FOUND = np.array([0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.03]), np.array([0.55, 0.65, 0.55, 0.45, 0.55, 0.7, 0.55])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_op8_posterior_beats_all_must_pass(seed):
+    """Rules that err on 3 to 10 of 100 good documents, and of which only several together mark junk."""
+    rng = np.random.default_rng(seed)
+    junk = rng.random(20_000) < 0.15
+    votes = _votes(rng, np.stack([NOISE, FOUND]), junk.astype(int), abstain=0.1)
+    patterns, of, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    share, accuracy, good = quality_rules.fit(patterns, n.astype(float))
+    assert abs(share - 0.85) < 0.02
+    assert np.all(np.abs(accuracy[1] - (1 - NOISE)) < 0.015) and np.all(np.abs(accuracy[0] - FOUND) < 0.05)
+    wrong = ((good >= quality_rules.MIN_POSTERIOR)[of] == junk).sum()
+    all_must_pass, best_count = ((votes != -1).all(axis=1) == junk).sum(), min((((votes == -1).sum(axis=1) < k) == junk).sum() for k in range(1, 8))
+    assert wrong < 0.15 * all_must_pass and wrong <= best_count
+
+
+def test_op8_em_against_a_plain_one():
+    rng = np.random.default_rng(5)
+    kind = rng.choice(3, 3000, p=[0.8, 0.15, 0.05])
+    chance = np.vstack([NOISE[:4], FOUND[:4], [0.01, 0.01, 0.02, 0.9]])
+    votes, n = np.unique(_votes(rng, chance, kind, 0.1), axis=0, return_counts=True)
+    _, _, good = quality_rules.fit(votes, n.astype(float))
+    want = brute.posteriors(votes.tolist(), n.tolist())
+    assert np.abs(good - want).max() < 1e-6
+
+
+def test_op8_posteriors_of_a_table(spark):
+    """The posterior column, from votes worked out apart."""
+    rows = [(r.doc_id, r.posterior, r.n_words) for r in result(spark, "op8")]
+    voted = quality_rules.rules()
+    counts = quality_rules.measure(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    votes = {r.doc_id: tuple(r[c] for c in voted) for r in counts.select("doc_id", *(v.alias(c) for c, v in voted.items())).collect()}
+    n = Counter(votes.values())
+    want = dict(zip(n, brute.posteriors(list(n), list(n.values())), strict=True))
+    assert all(abs(p - want[votes[i]]) < 1e-6 for i, p, _ in rows) and len(rows) == 1000
 
 
 def _links_of(rows):
