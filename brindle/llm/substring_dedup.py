@@ -11,7 +11,7 @@ hash choose its part, so a part has all counters of its windows. Driver and task
 2 ** MAX_BITS cells a row are sent (2 GB in all parts, some 70 GB of text at one window a cell). Beyond
 that the first sketch passes more windows, and the second one, below, sees them.
 
-Then only those windows are grouped, by 128 bits made of two independent 64-bit hashes of each word. A
+Then only those windows are grouped, by 96 bits made of two independent 64-bit hashes of each word. A
 task marks by itself every place whose window a smaller key of its own has; only the places of its
 smallest key are sent on, packed by bucket of the window, so a window that very many documents share
 comes once from each task. A bucket's task counts its windows in a second sketch, of its own size, and
@@ -46,9 +46,10 @@ from .shared import cut, flagged
 WINDOW = 13
 DEPTH = 2
 #: Bits of the cells of a block that is merged at once, of a part's row, and of a row of all parts.
-BLOCK_BITS, PART_BITS, MIN_BITS, MAX_BITS = 16, 26, 16, 33
-#: Windows that a task compares with the sketch at once, and places that it sends or a bucket holds at once.
-HELD, MOST = 1 << 21, 1 << 18
+BLOCK_BITS, PART_BITS, MIN_BITS, MAX_BITS = 22, 26, 16, 33
+#: Windows that a task counts at once, or compares with the sketch at once, and places that it sends or a
+#: bucket holds at once.
+COUNTED, HELD, MOST = 1 << 22, 1 << 21, 1 << 19
 #: Texts' bytes for each bucket of windows, and the least number of buckets.
 BUCKET_BYTES, MIN_BUCKETS = 2 << 20, 256
 
@@ -82,22 +83,21 @@ def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def _packed_places(places: np.ndarray) -> bytes:
-    """Rising places as two bytes each, or as steps of one byte where that is shorter (255 steps on
-    without a place); the first byte tells which."""
+    """Rising places as steps of one byte, or of two where that is shorter; the greatest number steps on
+    without a place, and the first byte tells the width."""
     steps = np.diff(places, prepend=-1)
-    skips = steps // 255
-    if len(steps) + int(skips.sum()) >= 2 * len(places):
-        return b"\1" + places.astype(np.uint16).tobytes()
-    out = np.full(len(steps) + int(skips.sum()), 255, np.uint8)
-    out[np.cumsum(skips + 1) - 1] = steps % 255
-    return b"\0" + out.tobytes()
+    kind = np.uint8 if len(steps) + int((steps // 255).sum()) < 2 * len(steps) else np.uint16
+    most = np.iinfo(kind).max
+    skips = steps // most
+    out = np.full(len(steps) + int(skips.sum()), most, kind)
+    out[np.cumsum(skips + 1) - 1] = steps % most
+    return bytes([out.itemsize]) + out.tobytes()
 
 
 def _places(data: bytes) -> np.ndarray:
-    if data[0]:
-        return np.frombuffer(data, np.uint16, offset=1).astype(np.int64)
-    steps = np.frombuffer(data, np.uint8, offset=1)
-    return np.cumsum(steps, dtype=np.int64)[steps < 255] - 1
+    kind = np.uint8 if data[0] == 1 else np.uint16
+    steps = np.frombuffer(data, kind, offset=1)
+    return np.cumsum(steps, dtype=np.int64)[steps < np.iinfo(kind).max] - 1
 
 
 def _counted(part_bits: int, bits: int, size: int):
@@ -131,7 +131,7 @@ def _counted(part_bits: int, bits: int, size: int):
             h, offsets = words.fingerprints(batches.as_bytes(batch.column("text")))
             starts, _ = words.inside(offsets, size)
             held.append(words.runs(h, size)[starts])
-            if sum(map(len, held)) > HELD:
+            if sum(map(len, held)) > COUNTED:
                 h = np.concatenate(held)
                 held.clear()
                 yield from send(h)
@@ -207,7 +207,7 @@ class Sketch:
 
 
 #: What is sent of a place: its window's two hashes, the text's hash and key, and the window's first word.
-_SENT = (np.uint64, np.uint64, np.int32, np.int64, np.uint32)
+_SENT = (np.uint64, np.uint32, np.int32, np.int64, np.uint32)
 _SENT_BYTES = sum(np.dtype(t).itemsize for t in _SENT)
 
 
@@ -275,7 +275,7 @@ def _windows(sketch: Sketch, size: int, bucket_bits: int):
         texts = batches.as_bytes(batch.column("text").take(pa.array(rows)))
         w, offsets = words.fingerprints(texts, second=True)
         starts, again = words.inside(offsets, size)
-        g = words.runs(w, size, seed=1)[starts]
+        g = (words.runs(w, size, seed=1)[starts] >> np.uint64(32)).astype(np.uint32)
         among = np.isin(owner, rows)
         ok = ok[among]
         own, key, th = again[ok], batch.column("key").to_numpy()[rows], batch.column("th").to_numpy()[rows]
