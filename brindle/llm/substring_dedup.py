@@ -17,8 +17,8 @@ smallest key are sent on, packed by bucket of the window, so a window that very
 comes once from each task. A bucket's task counts its windows in a second sketch, of its own size, and
 groups those that reach 2; it marks the places whose key isn't the window's smallest, and once it holds
 MOST places keeps of each window only those of the smallest key. So a bucket is bounded by its windows,
-not by the documents that share them. Marks are joined to the texts by key and hash of the text; texts
-that have none are not shuffled.
+not by the documents that share them. Marks go on packed by bucket of their text, where they become one row
+a text, and are joined to the texts by key and hash of the text; texts that have none are not shuffled.
 
 Defined results: the key must be of an integer type. A null or empty text has no words. Windows of rows
 with a null key are neither removed nor make others so. Repeated rows with one key never remove each
@@ -113,10 +113,12 @@ def _counted(part_bits: int, bits: int, size: int):
             names=["part", "row", "block", "places"],
         )
 
-    def send(h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for part, at in _by_part(h, part_bits):
-            for row in range(DEPTH):
-                cells = _cells(h[at], row, bits)
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bounds = [np.searchsorted(h, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)) for h in held] if part_bits else [[0]] * len(held)
+        for part in range(1 << part_bits):
+            own = np.concatenate([h[b[part] : b[part + 1] if part + 1 < len(b) else None] for h, b in zip(held, bounds, strict=True)])
+            for row in range(DEPTH if len(own) else 0):
+                cells = _cells(own, row, bits)
                 cells.sort()
                 first = np.r_[True, cells[1:] != cells[:-1]]
                 again = np.r_[False, ~first[1:] & first[:-1]]
@@ -130,13 +132,12 @@ def _counted(part_bits: int, bits: int, size: int):
         for batch in batches.sliced(stream):
             h, offsets = words.fingerprints(batches.as_bytes(batch.column("text")))
             starts, _ = words.inside(offsets, size)
-            held.append(words.runs(h, size)[starts])
+            held.append(np.sort(words.runs(h, size)[starts]))
             if sum(map(len, held)) > COUNTED:
-                h = np.concatenate(held)
+                yield from send(held)
                 held.clear()
-                yield from send(h)
-        if sum(map(len, held)):
-            yield from send(np.concatenate(held))
+        if held:
+            yield from send(held)
 
     return batches.released(run)
 
@@ -206,19 +207,20 @@ class Sketch:
         return out
 
 
-#: What is sent of a place: its window's two hashes, the text's hash and key, and the window's first word.
+#: What is sent of a place: its window's two hashes, the text's hash and key, and the window's first word;
+#: of a marked place, the last three.
 _SENT = (np.uint64, np.uint32, np.int32, np.int64, np.uint32)
-_SENT_BYTES = sum(np.dtype(t).itemsize for t in _SENT)
+_MARK = _SENT[2:]
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
+def _pack(columns: list[np.ndarray], kinds: tuple[type, ...]) -> bytes:
     """The columns' bytes, all first bytes first: high bytes that are mostly equal compress well."""
-    return b"".join(c.astype(t, copy=False).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, t in zip(columns, _SENT, strict=True))
+    return b"".join(c.astype(t, copy=False).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, t in zip(columns, kinds, strict=True))
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
-    n, at, out = len(data) // _SENT_BYTES, 0, []
-    for t in _SENT:
+def _unpack(data: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    n, at, out = len(data) // sum(np.dtype(t).itemsize for t in kinds), 0, []
+    for t in kinds:
         width = np.dtype(t).itemsize
         planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
         out.append(np.ascontiguousarray(planes.T).view(t)[:, 0])
@@ -226,6 +228,23 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _packets(bucket: np.ndarray, columns: list[np.ndarray], kinds: tuple[type, ...], marks: bool) -> pa.RecordBatch:
+    """The columns' rows, which are in the order of buckets, as one packet a bucket."""
+    starts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+    packed = [_pack([c[i:j] for c in columns], kinds) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[starts[:-1]].astype(np.int32)), pa.array(np.full(len(packed), marks)), pa.array(packed, pa.binary())], names=["bucket", "marks", "data"]
+    )
+
+
+def _marked(columns: list[np.ndarray], bucket_bits: int) -> pa.RecordBatch:
+    """Packets of marked places, by bucket of their texts."""
+    th, key, place = columns
+    bucket = words.mix(key.view(np.uint64) ^ words.mix(th.astype(np.uint64))) >> np.uint64(64 - bucket_bits)
+    order = np.lexsort((place, th, key, bucket))
+    return _packets(bucket[order].astype(np.int64), [c[order] for c in columns], _MARK, True)
+
+
 def _above_least(h: np.ndarray, g: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by window and key, and whether each place in it has a key above its window's least."""
     order = np.lexsort((key, g, h))
@@ -235,38 +254,18 @@ def _above_least(h: np.ndarray, g: np.ndarray, key: np.ndarray) -> tuple[np.ndar
     return order, key > least
 
 
-def _marks(th: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """One row for each text, with its places as uint32."""
-    order = np.lexsort((place, th, key))
-    key, th, place = key[order], th[order], place[order].astype(np.uint32)
-    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (th[1:] != th[:-1])])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key[starts]), pa.array(th[starts]), _binary(place, np.r_[starts, len(place)])], names=["key", "th", "data"]
-    )
-
-
 def _windows(sketch: Sketch, size: int, bucket_bits: int):
     """Windows that may repeat: places of each task's smallest key by bucket, and the marks of others."""
 
     def send(parts: list) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
         parts.clear()
-        h, g, th, key, place = columns
-        order, above = _above_least(h, g, key)
+        order, above = _above_least(columns[0], columns[1], columns[3])
         own, rest = order[above], order[~above]
         if len(own):
-            marks = _marks(th[own], key[own], place[own])
-            bucket = marks.column("th").to_numpy() & ((1 << bucket_bits) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *marks.columns], names=["bucket", "key", "th", "data"])
+            yield _marked([c[own] for c in columns[2:]], bucket_bits)
         columns = [c[rest] for c in columns]
-        bucket = (columns[0] >> np.uint64(64 - bucket_bits)).astype(np.int32)
-        starts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
-        packed = [_pack([c[i:j] for c in columns]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        n = len(packed)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[starts[:-1]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(packed, pa.binary())],
-            names=["bucket", "key", "th", "data"],
-        )
+        yield _packets((columns[0] >> np.uint64(64 - bucket_bits)).astype(np.int64), columns, _SENT, False)
 
     def chosen(batch: pa.RecordBatch, h: np.ndarray, ok: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
         """The columns to send of a slice's windows that may repeat. Their texts are read once more, for the
@@ -317,75 +316,114 @@ def _likely(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.bincount(cells, minlength=1 << bits)[cells] >= 2)
 
 
-def _later(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of buckets, the marks that tasks made and those of each bucket's places whose
+def _later(bucket_bits: int):
+    """Of packets in the order of buckets, the marks that tasks made and those of each bucket's places whose
     key isn't their window's least."""
-    last, packed, size, most, parts = None, [], 0, MOST, []
 
-    def merge(more: bool) -> None:
-        """Marks places above their window's least key, and keeps the others if more of the bucket may come."""
-        nonlocal size, most
-        columns = [np.concatenate(c) for c in zip(*packed, strict=True)]
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, packed, size, most, parts = None, [], 0, MOST, []
+
+        def merge(more: bool) -> None:
+            """Marks places above their window's least key, and keeps the others if more of the bucket may come."""
+            nonlocal size, most
+            columns = [np.concatenate(c) for c in zip(*packed, strict=True)]
+            packed.clear()
+            at = np.arange(len(columns[0])) if more else _likely(columns[0])
+            order, above = _above_least(columns[0][at], columns[1][at], columns[3][at])
+            own = at[order[above]]
+            if len(own):
+                parts.append([c[own] for c in columns[2:]])
+            size = 0
+            if more:
+                rest = at[order[~above]]
+                packed.append([c[rest] for c in columns])
+                size = len(rest)
+                most = max(most, 2 * size)
+
+        def send() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            parts.clear()
+            return _marked(columns, bucket_bits).select(["bucket", "data"])
+
+        for batch in stream:
+            passing = batch.column("marks")
+            yield batch.filter(passing).select(["bucket", "data"])
+            rest = batch.filter(pc.invert(passing))
+            for bucket, data in zip(rest.column("bucket").to_pylist(), rest.column("data"), strict=True):
+                if packed and (bucket != last or size > most):
+                    merge(bucket == last)
+                    if bucket != last:
+                        most = MOST
+                    if sum(len(p[0]) for p in parts) > MOST:
+                        yield send()
+                last = bucket
+                packed.append(_unpack(data.as_py(), _SENT))
+                size += len(packed[-1][0])
+        if packed:
+            merge(False)
+        if parts:
+            yield send()
+
+    return batches.released(run)
+
+
+def _by_text(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packets of marks in the order of buckets, one row for each text, with its places as uint32."""
+    last, packed, size, most = None, [], 0, MOST
+
+    def merge() -> list[np.ndarray]:
+        """Each place once, by text."""
+        th, key, place = (np.concatenate(c) for c in zip(*packed, strict=True))
         packed.clear()
-        at = np.arange(len(columns[0])) if more else _likely(columns[0])
-        order, above = _above_least(columns[0][at], columns[1][at], columns[3][at])
-        own = at[order[above]]
-        if len(own):
-            parts.append(tuple(c[own] for c in columns[2:]))
-        size = 0
-        if more:
-            rest = at[order[~above]]
-            packed.append([c[rest] for c in columns])
-            size = len(rest)
-            most = max(most, 2 * size)
-
-    def send() -> pa.RecordBatch:
-        marks = _marks(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        parts.clear()
-        return marks
+        order = np.lexsort((place, th, key))
+        th, key, place = th[order], key[order], place[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (th[1:] != th[:-1]) | (place[1:] != place[:-1])]
+        return [th[new], key[new], place[new]]
+
+    def rows() -> pa.RecordBatch:
+        th, key, place = merge()
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (th[1:] != th[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(key[starts]), pa.array(th[starts]), _binary(place, np.r_[starts, len(place)])], names=["key", "th", "places"])
 
     for batch in stream:
-        passing = batch.column("key").is_valid()
-        yield batch.select(["key", "th", "data"]).filter(passing)
-        rest = batch.filter(pc.invert(passing))
-        for bucket, data in zip(rest.column("bucket").to_pylist(), rest.column("data"), strict=True):
-            if packed and (bucket != last or size > most):
-                merge(bucket == last)
-                if bucket != last:
-                    most = MOST
-                if sum(len(p[0]) for p in parts) > MOST:
-                    yield send()
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
+            if packed and bucket != last:
+                yield rows()
+                size, most = 0, MOST
+            elif size > most:
+                packed.append(merge())
+                size = len(packed[0][0])
+                most = max(most, 2 * size)
             last = bucket
-            packed.append(_unpack(data.as_py()))
+            packed.append(_unpack(data.as_py(), _MARK))
             size += len(packed[-1][0])
     if packed:
-        merge(False)
-    if parts:
-        yield send()
+        yield rows()
 
 
 def repeats(texts: DataFrame, size: int = WINDOW) -> DataFrame:
-    """key, th and marks (places as uint32, in array<binary>) of each text with windows that a smaller
-    key has too, from columns key, th (a hash of the text) and text."""
+    """key, th and places (uint32 in binary) of each text with windows that a smaller key has too, from
+    columns key, th (a hash of the text) and text."""
     texts = texts.filter("key IS NOT NULL AND text IS NOT NULL")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bucket_bits = max(MIN_BUCKETS, total // BUCKET_BYTES).bit_length()
-    found = texts.mapInArrow(_windows(Sketch(texts, total, size), size, bucket_bits), "bucket int, key long, th int, data binary")
+    found = texts.mapInArrow(_windows(Sketch(texts, total, size), size, bucket_bits), "bucket int, marks boolean, data binary")
     ordered = found.repartition("bucket").sortWithinPartitions("bucket")
-    later = ordered.mapInArrow(batches.released(_later), "key long, th int, data binary")
-    return later.groupBy("key", "th").agg(F.collect_list("data").alias("marks"))
+    marks = ordered.mapInArrow(_later(bucket_bits), "bucket int, data binary")
+    ordered = marks.repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(batches.released(_by_text), "key long, th int, places binary")
 
 
 def _removed(size: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches.sliced(stream):
-            marks = batch.column("marks").to_pylist()
+            marks = batch.column("places").to_pylist()
             total, gone, kept = [], [], []
             for text, own_marks in zip(batches.as_bytes(batch.column("text")), marks, strict=True):
                 own = words.split(text)
                 n = len(own)
                 total.append(n)
-                places = np.frombuffer(b"".join(own_marks or ()), np.uint32).astype(np.int64)
+                places = np.frombuffer(own_marks or b"", np.uint32).astype(np.int64)
                 places = places[places + size <= n]
                 if not len(places):
                     gone.append(0)
@@ -422,8 +460,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     kind = beside.schema["rest"].dataType.simpleString()
     marks = cut(repeats(beside.select("key", "th", "text"), size))
     may = flagged(beside, marks, "key")
-    near = may.filter("_flag").join(marks, ["key", "th"], "left").select("rest", "text", "marks")
-    far = may.filter("NOT _flag").select("rest", "text", F.lit(None).cast("array<binary>").alias("marks"))
+    near = may.filter("_flag").join(marks, ["key", "th"], "left").select("rest", "text", "places")
+    far = may.filter("NOT _flag").select("rest", "text", F.lit(None).cast("binary").alias("places"))
     out = near.unionByName(far).mapInArrow(_removed(size), f"rest {kind}, text string, n_words long, n_removed long")
     columns = [F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`") for c in docs.columns if c not in ("n_words", "n_removed")]
     return out.select(*columns, "n_words", "n_removed")
