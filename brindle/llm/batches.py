@@ -11,15 +11,16 @@ import pyarrow.compute as pc
 from . import words
 
 #: Text bytes a task holds in work arrays at once (a single longer text goes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of each batch whose texts have about SLICE_BYTES bytes together."""
+def sliced(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of each batch whose texts, in the given columns, have about SLICE_BYTES bytes together."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in columns or ("text",)]
+        size = np.sum(sizes, axis=0)
         part = (np.cumsum(size, dtype=np.int64) - size) // SLICE_BYTES
         cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
         for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -90,5 +91,7 @@ def groups(stream: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
                 held = []
             held.append(batch.slice(start, end - start))
             last = own
+        # Copied, or it would keep the whole batch.
+        held[-1] = held[-1].take(pa.array(np.arange(held[-1].num_rows)))
     if held:
         yield pa.Table.from_batches(held)

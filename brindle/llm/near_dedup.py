@@ -1,11 +1,13 @@
 """Near-duplicate documents by HyperMinHash.
 
-A document is its set of 5-word shingles, folded to lower case. Documents with equal sets form a
-class, found by an aggregate, and one representative goes on. Its shingles fall into REGISTERS
-buckets; a bucket keeps the least hash as a count of leading zeros and MANTISSA bits. Empty buckets
-borrow by a fixed probing order. BANDS bands of registers propose pairs, the share of equal registers
-corrected for chance collisions estimates their similarity, and pairs that come near the threshold
-are confirmed on the full sets of words.
+A document is its set of 5-word shingles, folded to lower case. Documents with the same folded words in
+the same order form a class, found by an aggregate on a 128-bit digest of these words, and one
+representative goes on; equal sets of other words' orders are pairs like any others. Its shingles fall into
+REGISTERS buckets; a bucket keeps the least hash as a count of leading zeros and MANTISSA bits. Empty
+buckets borrow by a fixed probing order. Bands of registers propose pairs, the share of equal registers
+estimates their similarity, corrected for chance collisions by the sizes of both sets, and pairs that come
+near the threshold, by a margin that is wider for fewer filled registers, are confirmed on the full sets of
+words.
 
 Within a band no group is expanded into all pairs. First each member meets the group's smallest, and
 the confirmed links are joined into components. Then groups that are still in several components are
@@ -16,21 +18,23 @@ threshold from the highest down, passes over those that are connected by then, a
 links between components. So every pair that shares a band is confirmed or refused, or already
 connected, and no list of a group's pairs is ever shuffled.
 
-A pair at the threshold 0.85 shares a band with chance 1 - (1 - 0.85 ** 5) ** 20 = 0.99999.
+Bands have 5 registers for thresholds of 0.85 or more, else 4: a pair at 0.85 shares one of 20 bands with
+chance 1 - (1 - 0.85 ** 5) ** 20 = 0.999992, a pair at 0.80 one of 25 with 1 - (1 - 0.8 ** 4) ** 25 = 0.999998.
 
 Defined results: a text without words has an empty set and links with nothing; one of fewer words
 than a shingle is one shingle. Rows with a null key link with nothing, are kept and have no
 component. Repeated rows share a class; rows of one key and other texts count as one document. An
-empty table gives none. Only the key and the text are read.
+empty table gives none. Only the key and the text are read, so other columns' names can't clash. A very long
+text is one set: its task holds it whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +43,12 @@ from .graph import components
 from .shared import cut, thin, without
 
 SHINGLE = 5
-BANDS, ROWS = 20, 5
-REGISTERS = BANDS * ROWS
+REGISTERS = 100
 MANTISSA = 10
-#: Two different hashes fall into one register if zeros (1 in 3) and mantissa agree.
-COLLISION = 1 / 3 / (1 << MANTISSA)
-#: An estimate so far below the threshold still leads to confirmation: over four deviations.
-MARGIN = 0.2
-#: Estimates of smaller sets are not relied on.
-SMALL = 64
+#: An estimate may lie so many deviations below the threshold and still lead to confirmation.
+DEVIATIONS = 5
 #: Rows, or shingles, of a tile on average; a cell of two tiles is held by one task at once.
-TILE, TILE_SHINGLES = 128, 1 << 20
+TILE, TILE_SHINGLES = 128, 1 << 18
 _PROBES = 64
 
 
@@ -97,19 +96,42 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates from registers, corrected for collisions."""
-    return ((a == b).mean(axis=-1) - COLLISION) / (1 - COLLISION)
+def _collisions() -> np.ndarray:
+    """The chance that one register of two sets without a common element is equal by chance, by the numbers
+    of elements that fall into it, 2 ** (i / 2) and 2 ** (j / 2). The least of n hashes lies near x with
+    density n * exp(-n * x); both sets' lie in the same cell, of 2 ** MANTISSA cells for each number of zeros."""
+    n = 2.0 ** (np.arange(120) / 2)
+    total = n[:, None] + n
+    out = np.zeros_like(total)
+    for zeros in range(63):
+        low, high = 0.5 ** (zeros + 1), 0.5**zeros
+        out += (high - low) / (1 << MANTISSA) * n[:, None] * n / total * (np.exp(-total * low) - np.exp(-total * high))
+    return out
+
+
+_COLLISIONS = _collisions()
+
+
+def _scale(n: np.ndarray) -> np.ndarray:
+    return np.rint(2 * np.log2(np.maximum(np.asarray(n) / REGISTERS, 1))).astype(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard estimates from registers, corrected for collisions of sets of these sizes."""
+    chance = _COLLISIONS[_scale(n_a), _scale(n_b)]
+    return ((a == b).mean(axis=-1) - chance) / (1 - chance)
 
 
 def _sketch(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches.sliced(stream):
-        sets = shingles(batches.as_bytes(batch.column("text")))
+        texts = batches.as_bytes(batch.column("text"))
+        sets = shingles(texts)
         regs = registers(sets)
+        same = [hashlib.blake2b(b" ".join(words.split(t.lower())), digest_size=16).digest() if len(s) else None for t, s in zip(texts, sets, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
-                pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array(same, pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([r.tobytes() for r in regs], pa.binary()),
             ],
@@ -122,9 +144,12 @@ def _array(column: pa.Array) -> np.ndarray:
 
 
 def _likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    small = np.minimum(n_a, n_b) < SMALL
+    """Whether the sets' sizes and the estimate allow a link. As many registers as are filled count as drawn."""
+    least = percent / 100
+    filled = REGISTERS * -np.expm1(-np.minimum(n_a, n_b) / REGISTERS)
+    margin = DEVIATIONS * np.sqrt(least * (1 - least) / filled)
     sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    return sizes & (small | (similarity(a, b) >= percent / 100 - MARGIN))
+    return sizes & (similarity(a, b, n_a, n_b) >= least - margin)
 
 
 def _promising(percent: int):
@@ -166,7 +191,7 @@ def _across(percent: int, size: int):
                 y = right[(comp[right] != comp[x]) & ((right > x) | (i[0] != j[0]))]
                 y = y[_likely(regs[x], regs[y], n[x], n[y], percent)]
                 found.append(np.stack([np.full(len(y), x), y]))
-                close.append(similarity(regs[x], regs[y]))
+                close.append(similarity(regs[x], regs[y], n[x], n[y]))
             pairs = np.concatenate(found, axis=1)[:, np.argsort(-np.concatenate(close), kind="stable")] if found else np.empty((2, 0), int)
             links = []
             for x, y in pairs.T.tolist():
@@ -189,7 +214,7 @@ def _confirm(percent: int, size: int):
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, set()
-        for batch in batches.sliced(stream, "text_a"):
+        for batch in batches.sliced(stream, "text_a", "text_b"):
             found = []
             for text_a, text_b in zip(*(batches.as_bytes(batch.column(c)) for c in ("text_a", "text_b")), strict=True):
                 if text_a != last:
@@ -211,7 +236,7 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
         own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
     )
     kind = pairs.schema["a"].dataType.simpleString()
-    return cut(both.mapInArrow(_confirm(percent, size), f"a {kind}, b {kind}").distinct())
+    return cut(both.mapInArrow(batches.released(_confirm(percent, size)), f"a {kind}, b {kind}").distinct())
 
 
 def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
@@ -256,7 +281,7 @@ def _meet(cells: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFr
     own = thin(texts, nodes, "id").join(nodes, "id", "left_semi").distinct().withColumnRenamed("id", "node")
     both = cells.join(own, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     kind = cells.schema["node"].dataType.simpleString()
-    return both.mapInArrow(_across(percent, size), f"a {kind}, b {kind}").distinct()
+    return both.mapInArrow(batches.released(_across(percent, size)), f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
@@ -264,7 +289,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     row. Links are pairs with 100 * intersection >= percent * union of their sets of shingles."""
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sketched = cut(texts.mapInArrow(_sketch, f"id {kind}, same binary, n long, regs binary"))
+    sketched = cut(texts.mapInArrow(batches.released(_sketch), f"id {kind}, same binary, n long, regs binary"))
     classes = (
         sketched.filter("n > 0 AND id IS NOT NULL")
         .groupBy("same")
@@ -272,8 +297,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         .select("same", F.col("first.id").alias("node"), "first.n", "first.regs")
     )
     classes = cut(classes)
-    width = 2 * ROWS
-    hashes = [F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(BANDS)]
+    width = 2 * (5 if percent >= 85 else 4)
+    hashes = [F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(2 * REGISTERS // width)]
     bands = classes.select("node", "n", F.explode(F.array(*hashes)).alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).filter("hub < _top").drop("_top")
     members = cut(bands.join(shared, "band").select("band", "hub", "node", "n"))

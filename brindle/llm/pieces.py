@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 SPACE = "▁"
 #: Chunks that a Python worker remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: A round trip of this shows that a model neither rewrites characters nor drops spaces.
 _PROBE = "  ﬁ Ａ\téé  ß\n x  "
