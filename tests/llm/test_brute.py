@@ -71,10 +71,33 @@ def test_register_estimates():
             changed = int(2000 * (1 - share) / (1 + share))
             b[:changed] = rng.integers(0, 2**64, changed, dtype=np.uint64)
             regs = near_dedup.registers([np.unique(a), np.unique(b)])
-            estimates.append(near_dedup.similarity(regs[0], regs[1]))
+            estimates.append(near_dedup.similarity(regs[0], regs[1], 2000, 2000))
         assert abs(np.mean(estimates) - share) < 0.03
 
 
+def test_collisions_follow_both_sizes():
+    """Registers of sets without a common element are equal as often as the correction says."""
+    rng = np.random.default_rng(2)
+    for n_a, n_b in ((5000, 5000), (5000, 40_000), (200_000, 200_000)):
+        equal = []
+        for _ in range(40):
+            regs = near_dedup.registers([rng.integers(0, 2**64, n, dtype=np.uint64) for n in (n_a, n_b)])
+            equal.append((regs[0] == regs[1]).sum())
+        want = 4000 * near_dedup._COLLISIONS[near_dedup._scale(n_a), near_dedup._scale(n_b)]
+        assert abs(sum(equal) - want) <= 4 * np.sqrt(want) + 1
+
+
+def test_estimates_of_small_sets_refuse_no_link():
+    rng = np.random.default_rng(7)
+    for n in (6, 7, 8, 12, 20, 40, 60):
+        for _ in range(200):
+            a = rng.integers(0, 2**64, n, dtype=np.uint64)
+            b = a.copy()
+            b[: int(n * 0.15 / 1.85 + 1e-9)] = rng.integers(0, 2**64, int(n * 0.15 / 1.85 + 1e-9), dtype=np.uint64)
+            regs, size = near_dedup.registers([np.unique(a), np.unique(b)]), np.array([n])
+            assert near_dedup._likely(regs[:1], regs[1:], size, size, 85).all()
+
+
 ODD = ["a", "a  b", " x ", "\n\n", "▁", "▁▁a", "é́ﬁ😀", "x" * 3000, "a" + " " * 33 + "b", "한국어 텍스트", "\t a\r\n b", "\x00"]
 
 

@@ -162,13 +162,28 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), URL_RULES, model).count() == 0
 
 
+# Sites whose host is in no labelled URL; those of the second part share no word with any labelled host.
+HELD_OUT = {
+    "block": ("pokerstars-bonus", "vegas-casino-club", "live-betting-odds", "adultfriend-dating", "camgirls-xxx", "pornhd-tube", "adserver-click", "tracking-pixel-ads",
+              "link-spam-farm", "viagra-pills-shop", "keygen-cracks", "instant-payday-loan", "wetten-bonus", "casino-bonus-gratuit", "apuestas-casino")
+    + ("slotmachines", "pharmacies-med", "sexcams", "pornos", "clicktrack", "jackpotslots", "torrent-crack", "webcamsex"),
+    "allow": ("river-news", "state-archive", "public-library-north", "garden-journal", "mountain-club", "python-docs", "music-school", "city-museum", "weather-station",
+              "cooking-notes", "kunsthalle", "gemeinde-nord", "ecole-primaire", "mairie-sud", "biblioteca-norte")
+    + ("quandlom", "verriss", "thornwick", "lumidor", "esterhazy", "paltonen", "ombrellino", "zurtheck"),
+}
+
+
 def test_url_classifier_on_held_out_urls(spark):
     model = url_filter.train(url_filter.default_labels(spark))
-    words = {"block": ["ads-track", "free-bets", "spam-farm", "casino-win", "adult-x"], "allow": ["ththand", "tionre", "thersh", "library-news", "garden"]}
-    urls = [(v, f"https://{p}{w}.host.org/{l}/{n}") for v, ws in words.items() for w in ws for p in ("", "m.") for l in ("en", "de") for n in (17, 40123)]
-    table = spark.createDataFrame(urls, "truth string, url string")
-    right = url_filter.judge(table, [], model).filter("verdict = truth").count()
-    assert right >= 0.9 * len(urls)
+    known = " ".join(url_filter.BLOCKED_HOSTS + url_filter.ALLOWED_HOSTS)
+    urls = [(v, f"https://{p}{h}.other.org/{path}") for v, hosts in HELD_OUT.items() for h in hosts for p in ("", "www.") for path in ("en/17", "de/40123.html", "")]
+    assert not any(h in known for hosts in HELD_OUT.values() for h in hosts)
+    found = url_filter.judge(spark.createDataFrame(urls, "truth string, url string"), [], model).groupBy("truth", "verdict").count().collect()
+    n = {(r.truth, r.verdict): r["count"] for r in found}
+    right = n["block", "block"]
+    precision, recall = right / (right + n.get(("allow", "block"), 0)), right / (right + n.get(("block", "allow"), 0))
+    print(f"precision {precision:.3f}, recall {recall:.3f} of block")
+    assert precision >= 0.9 and recall >= 0.8
 
 
 def test_pipeline_stages_on_edges(spark, edge, tmp_path):
@@ -190,6 +205,22 @@ def test_later_stages_on_edges(spark, edge):
         assert stage(spark, docs, "").count() > 0, name
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """Columns named like an operator's results, and none that isn't needed."""
+    rng = np.random.default_rng(3)
+    syllables = ["sto", "ne", "ri", "ver", "lan", "tern", "mo", "un", "tain", "gar", "den"]
+    texts = [" ".join("".join(rng.choice(syllables, 3)) for _ in range(80)) for _ in range(40)]
+    rows = [(i, t, f"s{i % 2}", f"size{i}", f"target{i}", i * 7) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, target string, n_words long")
+    docs = docs.withColumn("n_removed", F.lit("r")).withColumn("copies", F.lit("c")).withColumn("posterior", F.lit(True))
+    given = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, "")
+        assert left.dtypes == docs.dtypes, name
+        found = left.collect()
+        assert found and all(r == given[r.doc_id] for r in found), name
+
+
 def test_queries_are_registered():
     assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}
     assert DATA
