@@ -1,137 +1,163 @@
 """Sharding by a k-d tree over the documents' metadata.
 
-Every node is split along its widest dimension (log of the size, language, source; each scaled to
-the corpus) at the weighted median, or the quantile that fits an odd number of shards, until there
-are as many leaves as shards, each of about the same bytes. A low part of each coordinate is a hash
-of the row, so a median can cut through rows of equal metadata, be they a third of all.
-
-Medians are found for all nodes of a level at once: histograms of bytes over BINS ranges of the
-coordinate, narrowed to the range with the median until its bytes are within TOLERANCE of a shard.
-The driver receives at most BINS rows a node, whatever the corpus, and sends back one comparison a
-node. Rows are numbered within their shard by parts: a count of each part, then their order in it.
-
-Defined results: a null text has 0 bytes and crc32 0. Null metadata is a value of its own. Equal
-texts are not kept together (a third of all rows may be equal, and shards are to be equal in bytes).
-Repeated rows get slots of their own. An empty table gives none. Only DataFrame functions are used.
+What is dealt out are units: all rows of equal texts together, or, of a group heavier than both the largest
+document and 1 / PIECES of a shard, pieces of at most about that size. Every node is split along its widest
+dimension (log of the size, then the metadata: numbers as they are, strings by the order of their first
+bytes; each scaled to the corpus, and a unit has the least value of its rows) at the weighted median, or the
+quantile that fits an odd number of shards, until there are as many leaves as shards, each of about the same
+bytes. The low part of each coordinate is a hash of the unit, so a median can cut through units of equal
+metadata, be they a third of all.
+
+Medians are found for all nodes of a level at once: histograms of bytes over BINS ranges of the coordinate,
+narrowed to the range with the median until it holds one coordinate. A range is found within Spark; the
+driver receives one row a node, at most as many as there are shards, and sends back one comparison a node.
+Rows are numbered within their shard by parts: a count of each part, then their order in it.
+
+Sizes come near each other as far as units allow: a shard is off by some units' bytes at most, so a corpus
+of a few documents a shard has uneven shards.
+
+Defined results: a null text has 0 bytes and crc32 0. Null metadata sorts first. A null key is a key. Repeated
+rows are equal texts, with slots of their own. A very long text is one row of its bytes. An empty table gives
+none. Columns other than key, text and metadata, whatever their names, play no part. Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .shared import cut
 
 LAW = "bytes"
 BINS = 1024
-TOLERANCE = 5e-4
+#: A group of equal texts is cut in pieces if it is heavier than this part of a shard and any document.
+PIECES = 32
 #: A coordinate is a scaled value of VALUE_BITS bits and a hash of HASH_BITS bits.
 VALUE_BITS, HASH_BITS = 20, 32
 #: Parts of a shard that are numbered apart.
 PARTS = 1024
+#: Rows of small tables (heavy groups, nodes, parts) up to which they are sent to every task.
+SENT = 1 << 17
+UNIT = ["_text", "text_crc32", "size", "_piece"]
 
 
-@dataclass
-class Node:
-    """A leaf of shards shards, or a split: rows whose dimension is at most cut go left."""
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= SENT else rows
 
-    shards: int
-    first: int
-    dimension: str = ""
-    cut: int = 0
-    sides: tuple[Node, Node] | None = None
 
-    def leaves(self) -> list[Node]:
-        return [self] if not self.sides else self.sides[0].leaves() + self.sides[1].leaves()
+def _number(docs: DataFrame, name: str) -> Column:
+    """A column's value as a number; of a string, its first six bytes."""
+    value = F.col(f"`{name}`")
+    if isinstance(docs.schema[name].dataType, NumericType):
+        number = value.cast("double")
+        return F.when(F.isnan(number), None).otherwise(number)
+    head = F.substring(value.cast("string").cast("binary"), 1, 6)
+    return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
 
-    def place(self) -> Column:
-        """The first shard of the leaf that a row is in."""
-        if not self.sides:
-            return F.lit(self.first)
-        left, right = self.sides
-        return F.when(F.col(self.dimension) <= self.cut, left.place()).otherwise(right.place())
 
-
-def _coordinate(value: Column, low: float, high: float) -> Column:
-    scaled = F.lit(0) if high <= low else F.floor((value - low) / (high - low) * ((1 << VALUE_BITS) - 1))
-    return scaled.cast("long") * (1 << HASH_BITS) + F.col("_hash")
-
-
-def _split(rows: DataFrame, leaves: list[Node], place: Column, dimensions: list[str], leaf_bytes: float) -> None:
-    """Splits each of the leaves at its weighted median."""
-    at = rows.withColumn("_leaf", place)
-    ranges = at.groupBy("_leaf").agg(
-        F.sum("size").alias("size"), *(f(d).alias(f"{n}{d}") for d in dimensions for n, f in (("min", F.min), ("max", F.max)))
+def rows_and_units(docs: DataFrame, shards: int | None, target_bytes: int | None, key: str, text: str, metadata: tuple[str, ...]) -> tuple[DataFrame, DataFrame, int]:
+    """The narrow rows with their unit; the units with size, _weight and coordinates _d0, _d1 and so on; and the
+    number of shards."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(
+        F.col(f"`{key}`").alias("_key"),
+        (F.octet_length(body) + 8).cast("long").alias("size"),
+        F.crc32(body).alias("text_crc32"),
+        F.xxhash64(body).alias("_text"),
+        *(_number(docs, m).alias(f"_m{i}") for i, m in enumerate(metadata)),
     )
-    known = {r["_leaf"]: r for r in ranges.collect()}
-    searched = {}
-    for leaf in leaves:
-        if r := known.get(leaf.first):
-            width = {d: (r[f"max{d}"] >> HASH_BITS) - (r[f"min{d}"] >> HASH_BITS) for d in dimensions}
-            d = leaf.dimension = max(dimensions, key=lambda d: width[d])
-            goal = r["size"] * (leaf.shards // 2) / leaf.shards
-            searched[leaf.first] = {"leaf": leaf, "low": r[f"min{d}"], "high": r[f"max{d}"], "goal": goal}
-        else:
-            leaf.dimension = dimensions[0]
+    rows = cut(rows)
+    values = {"_d0": F.log2(F.col("size").cast("double"))} | {f"_d{i + 1}": F.col(f"_m{i}") for i in range(len(metadata))}
+    ends = [f(v).alias(f"{n}{d}") for d, v in values.items() for n, f in (("min", F.min), ("max", F.max))]
+    facts = rows.agg(F.sum("size").alias("total"), F.max("size").alias("largest"), *ends).first()
+    total = facts["total"] or 0
+    if shards is None:
+        shards = max(1, -(-total // target_bytes))
+    most = max(facts["largest"] or 0, total / shards / PIECES, 1)
+    heavy = rows.groupBy(*UNIT[:3]).agg(F.count("*").alias("_n")).filter((F.col("_n") > 1) & (F.col("_n") * F.col("size") > most))
+    heavy = cut(heavy.select(*UNIT[:3], F.ceil(F.col("_n") * F.col("size") / F.lit(most)).alias("_pieces")))
+    piece = F.coalesce(F.pmod(F.xxhash64("_key"), F.col("_pieces")), F.lit(0)).alias("_piece")
+    rows = rows.join(_small(heavy, heavy.count()), UNIT[:3], "left").select(*rows.columns, piece)
+    units = rows.groupBy(*UNIT).agg(F.sum(F.col("size")).alias("_weight"), *(F.min(f"_m{i}").alias(f"_m{i}") for i in range(len(metadata))))
+
+    def coordinate(d: str, value: Column) -> Column:
+        low, high = facts[f"min{d}"], facts[f"max{d}"]
+        if low is None or high <= low:
+            return F.col("_hash")
+        scaled = F.floor((F.coalesce(value, F.lit(low)) - low) / (high - low) * ((1 << VALUE_BITS) - 1))
+        return scaled.cast("long") * (1 << HASH_BITS) + F.col("_hash")
+
+    units = units.withColumn("_hash", F.pmod(F.xxhash64(*UNIT), F.lit(1 << HASH_BITS)))
+    return rows, cut(units.select(*UNIT, "_weight", *(coordinate(d, v).alias(d) for d, v in values.items()))), int(shards)
+
+
+def _cuts(at: DataFrame, nodes: dict[int, int], dimensions: list[str]) -> list[tuple]:
+    """For each node (its first shard, and how many it has): that, the dimension's place from 1, and the cut;
+    units up to the cut go left."""
+    spark = at.sparkSession
+    ends = [f(d).alias(f"{n}{d}") for d in dimensions for n, f in (("min", F.min), ("max", F.max))]
+    known = {r["_leaf"]: r for r in at.groupBy("_leaf").agg(F.sum("_weight").alias("_weight"), *ends).collect()}
     own = F.element_at(F.array(*dimensions), F.col("_dim"))
+    searched, found = {}, []
+    for leaf, shards in nodes.items():
+        if r := known.get(leaf):
+            d = max(dimensions, key=lambda d: (r[f"max{d}"] >> HASH_BITS) - (r[f"min{d}"] >> HASH_BITS))
+            searched[leaf] = (dimensions.index(d) + 1, r[f"min{d}"], r[f"max{d}"], r["_weight"] * (shards // 2) / shards)
+        else:
+            found.append((leaf, 1, 0))
     while searched:
-        # One row for each leaf: at most as many as there are shards.
-        facts = [(k, dimensions.index(x["leaf"].dimension) + 1, x["low"], x["high"], -(-(x["high"] - x["low"] + 1) // BINS)) for k, x in searched.items()]
-        known_of = rows.sparkSession.createDataFrame(facts, "_leaf int, _dim int, _low long, _high long, _step long")
-        inside = at.join(F.broadcast(known_of), "_leaf").withColumn("_own", own).filter("_own BETWEEN _low AND _high")
-        bins = inside.groupBy("_leaf", F.expr("(_own - _low) DIV _step").alias("_bin")).agg(F.sum("size").alias("size"))
-        found = sorted(bins.collect(), key=lambda r: (r["_leaf"], r["_bin"]))
-        for k, _, low, high, step in facts:
-            x = searched[k]
-            for r in (r for r in found if r["_leaf"] == k):
-                if r["size"] >= x["goal"]:
-                    break
-                x["goal"] -= r["size"]
-            x["low"] = low + r["_bin"] * step
-            x["high"] = min(high, x["low"] + step - 1)
-            if step == 1 or r["size"] <= TOLERANCE * leaf_bytes:
-                # The range with the median goes to the side that it brings nearer to its goal.
-                x["leaf"].cut = x["high"] if x["goal"] >= r["size"] / 2 else x["low"] - 1
-                del searched[k]
-    for leaf in leaves:
-        half = leaf.shards // 2
-        leaf.sides = (Node(half, leaf.first), Node(leaf.shards - half, leaf.first + half))
+        facts = [(leaf, d, low, high, -(-(high - low + 1) // BINS), goal) for leaf, (d, low, high, goal) in searched.items()]
+        facts = spark.createDataFrame(facts, "_leaf int, _dim int, _low long, _high long, _step long, _goal double")
+        inside = at.join(_small(facts, len(searched)), "_leaf").withColumn("_own", own).filter("_own BETWEEN _low AND _high")
+        bins = inside.groupBy("_leaf", F.expr("(_own - _low) DIV _step").alias("_bin")).agg(
+            F.sum("_weight").alias("_bytes"), F.min("_own").alias("_first"), F.max("_own").alias("_last"), F.first("_goal").alias("_goal")
+        )
+        # At most BINS rows a node.
+        up_to = Window.partitionBy("_leaf").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        passing = bins.withColumn("_sum", F.sum("_bytes").over(up_to)).filter("_sum >= _goal").groupBy("_leaf")
+        for r in passing.agg(F.min(F.struct("_bin", "_first", "_last", "_bytes", "_sum")).alias("_at")).collect():
+            leaf, b = r["_leaf"], r["_at"]
+            d, _, _, goal = searched[leaf]
+            goal -= b["_sum"] - b["_bytes"]
+            if b["_first"] < b["_last"]:
+                searched[leaf] = (d, b["_first"], b["_last"], goal)
+            else:
+                # The coordinate with the median goes to the side that it brings nearer to its goal.
+                found.append((leaf, d, b["_first"] if goal >= b["_bytes"] / 2 else b["_first"] - 1))
+                del searched[leaf]
+    return found
+
+
+def _placed(units: DataFrame, shards: int, dimensions: list[str]) -> DataFrame:
+    """units with _leaf, their shard."""
+    at, nodes = units.withColumn("_leaf", F.lit(0)), {0: shards}
+    while any(n > 1 for n in nodes.values()):
+        open_ = {leaf: n for leaf, n in nodes.items() if n > 1}
+        cuts = [(leaf, d, c, leaf + open_[leaf] // 2) for leaf, d, c in _cuts(at.filter(F.col("_leaf").isin(list(open_))) if len(open_) < min(len(nodes), 256) else at, open_, dimensions)]
+        table = _small(units.sparkSession.createDataFrame(cuts, "_leaf int, _dim int, _cut long, _right int"), len(cuts))
+        above = F.element_at(F.array(*dimensions), F.col("_dim")) > F.col("_cut")
+        at = cut(at.join(table, "_leaf", "left").select(*units.columns, F.when(above, F.col("_right")).otherwise(F.col("_leaf")).alias("_leaf")))
+        nodes = {leaf: n for leaf, n in nodes.items() if n == 1} | {k: m for leaf, n in open_.items() for k, m in ((leaf, n // 2), (leaf + n // 2, n - n // 2))}
+    return at
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The key, size, text_crc32, law, shard, slot and grown_shard of every row. The number of
     shards is given, or follows from the bytes that one is to have."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(key).alias("_key"),
-        (F.octet_length(body) + 8).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"),
-        *(F.xxhash64(F.col(m)).alias(f"_m{i}") for i, m in enumerate(metadata)),
-    )
-    rows = cut(rows.withColumn("_hash", F.pmod(F.xxhash64("_key", "text_crc32", "size"), F.lit(1 << HASH_BITS))))
-    facts = rows.agg(F.sum("size").alias("size"), F.min("size").alias("low"), F.max("size").alias("high")).first()
-    total = facts["size"] or 0
-    if shards is None:
-        shards = max(1, -(-total // target_bytes))
-    placed = rows.withColumn("_d0", _coordinate(F.log2(F.col("size")), *_logs(facts)))
-    for i in range(len(metadata)):
-        value = F.pmod(F.col(f"_m{i}"), F.lit(1 << VALUE_BITS)).cast("double")
-        placed = placed.withColumn(f"_d{i + 1}", _coordinate(value, 0.0, float(1 << VALUE_BITS)))
-    dimensions = [f"_d{i}" for i in range(len(metadata) + 1)]
-    tree = Node(shards, 0)
-    while total and (open_ := [n for n in tree.leaves() if n.shards > 1]):
-        _split(placed, open_, tree.place(), dimensions, total / shards)
-    part = F.pmod(F.xxhash64("_hash", "_key"), F.lit(PARTS)).cast("int")
-    named = placed.withColumn("shard", tree.place().cast("int")).withColumn("_part", part)
+    rows, units, shards = rows_and_units(docs, shards, target_bytes, key, text, metadata)
+    at = _placed(units, shards, [f"_d{i}" for i in range(len(metadata) + 1)])
+    part = F.pmod(F.xxhash64("_key", "_text"), F.lit(PARTS)).cast("int")
+    named = rows.join(at.select(*UNIT, F.col("_leaf").alias("shard")), UNIT).withColumn("_part", part)
+    named = cut(named.select("_key", "size", "text_crc32", "shard", "_part"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most shards * PARTS rows.
+    # At most PARTS rows a shard.
     starts = named.groupBy("shard", "_part").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    starts = starts.select("shard", "_part", "_start")
+    starts = _small(starts.select("shard", "_part", "_start"), shards * PARTS)
     within = Window.partitionBy("shard", "_part").orderBy("_key", "text_crc32", "size")
-    if shards * PARTS <= 1 << 17:
-        starts = F.broadcast(starts)
     return (
         named.withColumn("_row", F.row_number().over(within) - 1)
         .join(starts, ["shard", "_part"])
@@ -145,9 +171,3 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
             F.lit(None).cast("int").alias("grown_shard"),
         )
     )
-
-
-def _logs(facts) -> tuple[float, float]:
-    import math
-
-    return (math.log2(facts["low"]), math.log2(facts["high"])) if facts["low"] else (0.0, 0.0)

@@ -122,3 +122,28 @@ def posteriors(patterns, n, rounds=500):
         if max(abs(a - b) for x, y in zip(before, now) for a, b in zip(x, y)) < 1e-9:
             break
     return [w[0] for w in now]
+
+
+def kd_tree(units, shards, hash_bits):
+    """unit: shard, for units (name, weight, coordinates)."""
+    out = {}
+
+    def split(own, first, n):
+        if n == 1 or not own:
+            out.update((name, first) for name, _, _ in own)
+            return
+        widths = [(max(u[2][d] for u in own) >> hash_bits) - (min(u[2][d] for u in own) >> hash_bits) for d in range(len(own[0][2]))]
+        d = widths.index(max(widths))
+        at, goal = Counter(), sum(u[1] for u in own) * (n // 2) / n
+        for u in own:
+            at[u[2][d]] += u[1]
+        for value in sorted(at):
+            if at[value] >= goal:
+                break
+            goal -= at[value]
+        cut = value if goal >= at[value] / 2 else value - 1
+        split([u for u in own if u[2][d] <= cut], first, n // 2)
+        split([u for u in own if u[2][d] > cut], first + n // 2, n - n // 2)
+
+    split(units, 0, shards)
+    return out

@@ -9,10 +9,11 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from comparing import DATA, same
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 import corpus_pipeline
-from brindle.llm import language_id, mixing, near_dedup, pieces, quality_rules, token_counts
+from brindle.llm import language_id, mixing, near_dedup, pieces, quality_rules, sharding, token_counts
 from brindle.llm.queries import URL_RULES, oracle_sql, queries, vocabulary
 
 SF = f"{DATA}/sf0.01"
@@ -153,16 +154,37 @@ def test_op5_against_the_sentencepiece_library(spark, texts):
 
 def test_op6(spark, texts):
     rows = result(spark, "op6", f"{DATA}/sf0.1")
-    size, slots = Counter(), defaultdict(list)
+    size, slots, together = Counter(), defaultdict(list), defaultdict(set)
     for r in rows:
         size[r.shard] += r.size
         slots[r.shard].append(r.slot)
-    assert set(size) == set(range(24)) and max(size.values()) < 1.02 * min(size.values())
+        together[r.text_crc32, r.size].add(r.shard)
+    assert set(size) == set(range(24)) and max(size.values()) < 1.05 * min(size.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    weight, largest = Counter(), max(r.size for r in rows)
+    for r in rows:
+        weight[r.text_crc32, r.size] += r.size
+    light = [g for g, w in weight.items() if w <= largest]
+    assert len(light) > 0.99 * len(weight) and all(len(together[g]) == 1 for g in light)
     for r in result(spark, "op6"):
         assert (r.size, r.text_crc32) == (len(texts[r.doc_id].encode()) + 8, zlib.crc32(texts[r.doc_id].encode()))
 
 
+@pytest.mark.parametrize(("shards", "target_bytes"), [(24, None), (7, None), (None, 200_000)])
+def test_op6_against_a_plain_tree(spark, shards, target_bytes):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # A third of all rows is one text.
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, "the same short text").otherwise(F.col("text")))
+    rows, units, n = sharding.rows_and_units(docs, shards, target_bytes, "doc_id", "text", ("lang", "source"))
+    assert n == shards or n == -(-sum(r.size for r in rows.collect()) // target_bytes)
+    at = [(tuple(u[c] for c in sharding.UNIT), u["_weight"], (u["_d0"], u["_d1"], u["_d2"])) for u in units.collect()]
+    want = brute.kd_tree(at, n, sharding.HASH_BITS)
+    of = {r["_key"]: want[tuple(r[c] for c in sharding.UNIT)] for r in rows.collect()}
+    assert {r.doc_id: r.shard for r in sharding.shard(docs, shards, target_bytes).collect()} == of
+    most = max(max(w for _, w, _ in at), 1)
+    assert most <= 2 * max(max(r.size for r in rows.collect()), sum(w for _, w, _ in at) / n / sharding.PIECES)
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
     same(queries()[name](spark, SF), SF, oracle_sql()[name])
