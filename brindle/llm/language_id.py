@@ -15,7 +15,9 @@ their sum over parts. The driver and a task hold one part at a time, of about PA
 model of several parts does a task read them anew for each HELD bytes of texts.
 
 Defined results: a null text, an empty one and one without a letter are "und" with score 0, as is
-every text if nothing was learned. Null labels are not learned from. Repeated rows count each time.
+every text if nothing was learned. Null labels are not learned from. Repeated rows count each time. A very
+long text is scored whole, in its task. An empty table to predict gives none. Columns other than key, text
+and label, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from .shared import cut
 
 ORDER = 3
 #: Languages of a group; costs (strings times languages) of a part; text bytes scored with a part at once.
-LANGUAGES, PART, HELD = 16, 1 << 23, 32 << 20
+LANGUAGES, PART, HELD = 16, 1 << 22, 16 << 20
 #: Strings that a task gathers before it counts them.
 GATHERED = 8 << 20
 _BEFORE = b"\n" * ORDER
@@ -134,7 +136,7 @@ class Scorer:
     def __init__(self, trees: list[tuple[np.ndarray, ...]]) -> None:
         self.trees = [Tree(*t) for t in trees]
         self.strings = np.unique(np.concatenate([t.strings for t in self.trees]))
-        self.costs = [t.cost(self.strings).astype(np.float32) for t in self.trees]
+        self.costs = [t.cost(self.strings) for t in self.trees]
         self.shift = np.uint32(32 - max(8, int(4 * len(self.strings)).bit_length()))
         self.slots = np.full(1 << (32 - int(self.shift)), -1, np.int32)
         todo, at = np.arange(len(self.strings)), self._slot(self.strings)
@@ -165,7 +167,7 @@ class Scorer:
         others, of = np.unique(strings[missing], return_inverse=True)
         for tree, costs in zip(self.trees, self.costs, strict=True):
             cost = costs[rows]
-            cost[missing] = tree.cost(others).astype(np.float32)[of]
+            cost[missing] = tree.cost(others)[of]
             yield cost
 
 
@@ -244,10 +246,10 @@ def _code_lengths(group: Group, strings: np.ndarray, offsets: np.ndarray, only:
             continue
         for i, cost in enumerate(_scorer(sent, only).costs_of(strings[here])):
             if len(group.parts) > 1:
-                every = np.zeros(len(strings), np.float32)
+                every = np.zeros(len(strings))
                 every[here] = cost
                 cost = every
-            out[full, i] += np.add.reduceat(cost, offsets[full], dtype=np.float64)
+            out[full, i] += np.add.reduceat(cost, offsets[full])
     return out
 
 
