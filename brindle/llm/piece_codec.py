@@ -10,7 +10,8 @@ In each Arrow batch all chunks that were worked out anew are encoded and decoded
 sentencepiece library, and a difference stops the job.
 
 Defined results: a null or empty text has no ids but the end id, and decodes to "". Repeated rows
-are encoded alike. U+2581 in a text decodes to a space, as in the library.
+are encoded alike. U+2581 in a text decodes to a space, as in the library. A very long text is encoded whole,
+in its task. An empty table gives none. Columns other than key and text, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ scores are whole numbers, so that sums are exact in any order, words are counted
 between characters that stand side by side in no piece, and frequent ones remembered; else a text is
 one run.
 
-Defined results: a null or empty text has 0 pieces and score 0. Repeated rows count alike.
+Defined results: a null or empty text has 0 pieces and score 0. Repeated rows count alike. A very long text
+is counted whole, in its task. An empty table gives none. Columns other than key and text, whatever their
+names, play no part.
 """
 
 from __future__ import annotations

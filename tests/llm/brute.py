@@ -1,6 +1,7 @@
 """Plain single-process versions of the operators, from their definitions."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -147,3 +148,28 @@ def kd_tree(units, shards, hash_bits):
 
     split(units, 0, shards)
     return out
+
+
+def ppm_bits(learned, text, order=3):
+    """The code length of a text's bytes after those of the learned texts, by PPM (method C, no exclusions)."""
+    seen = defaultdict(Counter)
+    start = b"\n" * order
+    for t in learned:
+        data = start + t.encode()
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                seen[data[i - k : i]][data[i]] += 1
+    bits, data = 0.0, start + text.encode()
+    for i in range(order, len(data)):
+        for k in range(order, -2, -1):
+            if k < 0:
+                bits += 8
+                break
+            own = seen.get(data[i - k : i])
+            if own:
+                total = sum(own.values()) + len(own)
+                if data[i] in own:
+                    bits -= math.log2(own[data[i]] / total)
+                    break
+                bits -= math.log2(len(own) / total)
+    return bits

@@ -1,5 +1,7 @@
 """Every query of the subpackage, and every stage of the pipeline, against plain versions."""
 
+import dataclasses
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -112,6 +114,17 @@ def test_op2_against_the_tokenizers_library(spark, texts):
     assert got == {i: counter.best(pieces.SPACE + t.replace(" ", pieces.SPACE))[0] if t else 0 for i, t in texts.items()}
 
 
+def test_op2_with_fractional_scores(texts):
+    """As unigram models have them: no way to count word by word, sums of scores round."""
+    v = vocabulary()
+    v = dataclasses.replace(v, scores=tuple(-math.log(i + 1.7) if ok else 0.0 for i, ok in enumerate(v.normal)))
+    library = Tokenizer(models.Unigram(list(zip(v.pieces, v.scores, strict=True)), unk_id=0, byte_fallback=True))
+    counter = token_counts.Counter(v)
+    assert not counter.apart
+    for text in [*ODD, *list(texts.values())[:60]]:
+        assert counter.count(text)[0] == len(library.encode(pieces.SPACE + text.replace(" ", pieces.SPACE)).ids), text[:50]
+
+
 def test_op3_on_held_out_documents(spark, docs):
     rows = result(spark, "op3")
     assert len(rows) == len(docs)
@@ -121,6 +134,21 @@ def test_op3_on_held_out_documents(spark, docs):
     assert np.mean(held) > 0.98
 
 
+def test_op3_code_lengths_against_plain_ppm(spark, docs, monkeypatch):
+    """Of odd texts under two languages' documents, in one part and in several."""
+    learned = {lang: [r.text for r in docs.values() if r.lang == lang][:25] for lang in ("de", "fr")}
+    table = spark.createDataFrame([(lang, t) for lang, ts in learned.items() for t in ts], "lang string, text string")
+    asked = [*ODD, "Das ist ein Satz.", "élève à l'école", learned["fr"][0][:300], learned["de"][3][-200:]]
+    strings, offsets = language_id._strings([t.encode() for t in asked])
+    want = np.array([[brute.ppm_bits(learned[lang], t) for lang in ("de", "fr")] for t in asked])
+    for part in (language_id.PART, 3000):
+        monkeypatch.setattr(language_id, "PART", part)
+        (group,) = language_id.train(table)
+        assert group.languages == ["de", "fr"] and (len(group.parts) > 1) == (part == 3000)
+        got = language_id._code_lengths(group, strings, offsets, len(group.parts) == 1)
+        assert np.abs(got - want).max() < 1e-6 and np.allclose(got, want, rtol=1e-12, atol=1e-9)
+
+
 def test_op3_learns_from_rare_strings(spark, monkeypatch):
     """Each of two languages has one word of its own in half a million bytes; also in several parts."""
     rows = [("a", "la la la " * 60_000 + "ξψω"), ("b", "la la la " * 60_000 + "жщю")]
