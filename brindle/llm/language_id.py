@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import batches
-from .shared import cut
+from .shared import cut, in_batches
 
 ORDER = 3
 #: Languages of a group; costs (strings times languages) of a part; text bytes scored with a part at once.
@@ -194,7 +194,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> list[G
     """The trees of each label of the rows, by groups of labels."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.filter("lang IS NOT NULL AND length(text) > 0")
-    counted = rows.mapInArrow(_count, "lang string, gram long, n long")
+    counted = in_batches(rows).mapInArrow(_count, "lang string, gram long, n long")
     grams = cut(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     names = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
     context = F.col("gram").bitwiseAND(0xFFFF00)
@@ -283,4 +283,4 @@ def predict(docs: DataFrame, model: list[Group], key: str = "doc_id", text: str
             )
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name not in ("_letter", "text")]
-    return narrow.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"])).withColumnRenamed("_key", key)
+    return in_batches(narrow).mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"])).withColumnRenamed("_key", key)

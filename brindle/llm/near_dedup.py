@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import batches, words
 from .graph import components
-from .shared import cut, thin, without
+from .shared import cut, in_batches, thin, without
 
 SHINGLE = 5
 REGISTERS = 100
@@ -236,7 +236,7 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
         own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
     )
     kind = pairs.schema["a"].dataType.simpleString()
-    return cut(both.mapInArrow(batches.released(_confirm(percent, size)), f"a {kind}, b {kind}").distinct())
+    return cut(in_batches(both).mapInArrow(batches.released(_confirm(percent, size)), f"a {kind}, b {kind}").distinct())
 
 
 def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _meet(cells: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFr
     own = thin(texts, nodes, "id").join(nodes, "id", "left_semi").distinct().withColumnRenamed("id", "node")
     both = cells.join(own, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     kind = cells.schema["node"].dataType.simpleString()
-    return both.mapInArrow(batches.released(_across(percent, size)), f"a {kind}, b {kind}").distinct()
+    return in_batches(both).mapInArrow(batches.released(_across(percent, size)), f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     row. Links are pairs with 100 * intersection >= percent * union of their sets of shingles."""
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sketched = cut(texts.mapInArrow(batches.released(_sketch), f"id {kind}, same binary, n long, regs binary"))
+    sketched = cut(in_batches(texts).mapInArrow(batches.released(_sketch), f"id {kind}, same binary, n long, regs binary"))
     classes = (
         sketched.filter("n > 0 AND id IS NOT NULL")
         .groupBy("same")

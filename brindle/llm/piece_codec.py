@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import batches
 from .pieces import SPACE, Memory, Vocabulary, chunks, cut
+from .shared import in_batches
 
 
 class Codec:
@@ -135,7 +136,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
 
     narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     kind = narrow.schema["_key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"_key {kind}, ids array<int>, decoded string").withColumnRenamed("_key", key)
+    return in_batches(narrow).mapInArrow(run, f"_key {kind}, ids array<int>, decoded string").withColumnRenamed("_key", key)
 
 
 def digests(coded: DataFrame) -> DataFrame:

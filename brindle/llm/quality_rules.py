@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import batches, words
+from .shared import in_batches
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_POSTERIOR = 0.5
@@ -85,7 +86,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """The key and the counts of every whole text. One pass, no shuffle."""
     narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    return narrow.mapInArrow(batches.released(_measure), f"_key {kind}, {COUNTS}").withColumnRenamed("_key", key)
+    return in_batches(narrow).mapInArrow(batches.released(_measure), f"_key {kind}, {COUNTS}").withColumnRenamed("_key", key)
 
 
 def _per(n: str, d: str) -> Column:
@@ -203,7 +204,7 @@ def filter_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 both = both.append_column(name, measured.column(name))
             yield from both.combine_chunks().to_batches()
 
-    counts = hidden.mapInArrow(batches.released(beside), f"_rest {rest}, text string, {COUNTS}")
+    counts = in_batches(hidden).mapInArrow(batches.released(beside), f"_rest {rest}, text string, {COUNTS}")
     columns = [F.col("text").alias(c) if c == text else F.col(f"_rest.`{c}`") for c in docs.columns]
     return judge(counts).filter("kept").select(*columns)
 

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of a batch that goes to Python at once; a longer row goes alone.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 #: Bits of a key filter: 2 ** 26, so its broadcast side has 2,048 rows of 4 KB at most, whatever the input.
 FILTER_BITS = 26
 
@@ -30,6 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_batches(rows: DataFrame) -> DataFrame:
+    """rows, to be sent to Python in Arrow batches of bounded size: Spark's own bound, tens of megabytes, is
+    held in the JVM and in Python several times over by every task. Sets it for the session, where no smaller
+    one is set."""
+    conf = rows.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(conf.get(name).removesuffix("b"))
+        if not 0 < now <= most:
+            conf.set(name, str(most))
+    return rows
+
+
 def _spot(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(1 << FILTER_BITS))
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from . import batches, words
-from .shared import cut, flagged
+from .shared import cut, flagged, in_batches
 
 WINDOW = 13
 DEPTH = 2
@@ -49,7 +49,7 @@ DEPTH = 2
 BLOCK_BITS, PART_BITS, MIN_BITS, MAX_BITS = 22, 26, 16, 33
 #: Windows that a task counts at once, or compares with the sketch at once, and places that it sends or a
 #: bucket holds at once.
-COUNTED, HELD, MOST = 1 << 22, 1 << 21, 1 << 19
+COUNTED, HELD, MOST = 1 << 22, 1 << 21, 1 << 18
 #: Texts' bytes for each bucket of windows, and the least number of buckets.
 BUCKET_BYTES, MIN_BUCKETS = 2 << 20, 256
 
@@ -404,7 +404,7 @@ def _by_text(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(texts: DataFrame, size: int = WINDOW) -> DataFrame:
     """key, th and places (uint32 in binary) of each text with windows that a smaller key has too, from
     columns key, th (a hash of the text) and text."""
-    texts = texts.filter("key IS NOT NULL AND text IS NOT NULL")
+    texts = in_batches(texts.filter("key IS NOT NULL AND text IS NOT NULL"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bucket_bits = max(MIN_BUCKETS, total // BUCKET_BYTES).bit_length()
     found = texts.mapInArrow(_windows(Sketch(texts, total, size), size, bucket_bits), "bucket int, marks boolean, data binary")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import batches
 from .pieces import SPACE, Memory, Vocabulary, chunks, cut
+from .shared import in_batches
 
 UNKNOWN_PENALTY = 10.0
 
@@ -109,4 +110,4 @@ def count(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: st
 
     narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     kind = narrow.schema["_key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"_key {kind}, n_tokens long, score double").withColumnRenamed("_key", key)
+    return in_batches(narrow).mapInArrow(run, f"_key {kind}, n_tokens long, score double").withColumnRenamed("_key", key)
