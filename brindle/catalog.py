@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, relational, scalars
+from .plans import aggregates, relational, scalars, streams, user_functions
 
-_MODULES = (relational, aggregates, scalars)
+_MODULES = (relational, aggregates, scalars, user_functions, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,11 +21,3 @@ def sessions(events: DataFrame, by: str, at: str, gap_seconds: int, measures: di
     numbered = events.withColumn("session", number)
     own = [F.min(at).alias("session_start"), F.max(at).alias("session_end"), F.count("*").alias("n_events")]
     return numbered.groupBy(by, "session").agg(*own, *(c.alias(n) for n, c in measures.items()))
-
-
-def salted_sum(rows: DataFrame, by: list[str], value: Column, name: str, salts: int = 32) -> DataFrame:
-    """A sum by group in two steps, for measures that Spark can't combine before the shuffle: rows of
-    a hot group are first spread over salts."""
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("_salt")
-    first = rows.groupBy(*by, salt).agg(F.sum(value).alias("_part"))
-    return first.groupBy(*by).agg(F.sum("_part").alias(name))

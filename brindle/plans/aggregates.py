@@ -125,27 +125,81 @@ GROUP BY l_returnflag
 """
 
 
+def quantiles(values: DataFrame, by: str, value: str, places: list[tuple[str, float]]) -> DataFrame:
+    """Interpolated percentiles of each group, exactly. Values are counted first, so equal ones come together
+    before any window, and only a group's distinct values with their counts are ordered in one task."""
+    counted = values.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(by).orderBy(value)
+    up_to = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = counted.withColumn("_to", up_to).withColumn("_from", F.col("_to") - F.col("_n"))
+    numbered = numbered.withColumn("_all", F.sum("_n").over(Window.partitionBy(by)))
+
+    def at(share: float):
+        place = (F.col("_all") - 1) * F.lit(share)
+        inside = [F.when((p >= F.col("_from")) & (p < F.col("_to")), F.col(value)) for p in (F.floor(place), F.ceil(place))]
+        low, high = (F.max(x) for x in inside)
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return numbered.groupBy(by).agg(*(at(share).alias(name) for name, share in places))
+
+
 def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    facts = orders.groupBy("o_orderpriority").agg(
+        F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest"),
+        F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("cheapest"),
+        F.bool_and(F.col("o_totalprice") > 0).alias("all_positive"),
+        F.bool_or(F.col("o_orderstatus") == "F").alias("any_closed"),
+    )
+    middle = quantiles(orders, "o_orderpriority", "o_totalprice", [("middle", 0.5), ("p90", 0.9)])
+    return facts.join(middle, "o_orderpriority").withColumn("p90", F.round("p90", 6)).withColumn("middle", F.round("middle", 6))
+
+
+ORDER_STATISTICS = """
+SELECT o_orderpriority, round(median(o_totalprice), 6) AS middle, round(quantile_cont(o_totalprice, 0.9), 6) AS p90,
+       max_by(o_orderkey, {'a': o_totalprice, 'b': o_orderkey}) AS dearest, min_by(o_orderkey, {'a': o_totalprice, 'b': o_orderkey}) AS cheapest,
+       bool_and(o_totalprice > 0) AS all_positive, bool_or(o_orderstatus = 'F') AS any_closed FROM orders GROUP BY o_orderpriority
+"""
+
+
+def small_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates that keep a group's distinct values, of a column that has few: 50 sizes."""
     return (
-        table(spark, sf_dir, "orders")
-        .groupBy("o_orderpriority")
+        table(spark, sf_dir, "part")
+        .groupBy("p_type")
         .agg(
-            F.median("o_totalprice").alias("middle"),
-            F.round(F.percentile("o_totalprice", 0.9), 6).alias("p90"),
-            F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest"),
-            F.bool_and(F.col("o_totalprice") > 0).alias("all_positive"),
-            F.bool_or(F.col("o_orderstatus") == "F").alias("any_closed"),
+            F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY p_size)").cast("int").alias("low"),
+            F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY p_size)").alias("middle"),
+            F.mode(F.when(F.col("p_size") <= 3, F.lit("small")).otherwise("large")).alias("commonest"),
+            F.round(F.regr_slope("p_retailprice", "p_size"), 6).alias("slope"),
+            F.round(F.regr_r2("p_retailprice", "p_size"), 6).alias("r2"),
+            F.any_value(F.when(F.col("p_size") > 0, F.lit("yes"))).alias("any_size"),
+            F.count_if(F.col("p_size") > 25).alias("n_large"),
+            F.bit_or("p_size").alias("bits"),
         )
     )
 
 
-ORDER_STATISTICS = """
-SELECT o_orderpriority, median(o_totalprice) AS middle, round(quantile_cont(o_totalprice, 0.9), 6) AS p90,
-       max_by(o_orderkey, {'a': o_totalprice, 'b': o_orderkey}) AS dearest, bool_and(o_totalprice > 0) AS all_positive,
-       bool_or(o_orderstatus = 'F') AS any_closed FROM orders GROUP BY o_orderpriority
+SMALL_DOMAIN = """
+SELECT p_type, quantile_disc(p_size, 0.25) AS low, CAST(quantile_cont(p_size, 0.5) AS DOUBLE) AS middle,
+       mode(CASE WHEN p_size <= 3 THEN 'small' ELSE 'large' END) AS commonest,
+       round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_r2(p_retailprice, p_size), 6) AS r2,
+       any_value(CASE WHEN p_size > 0 THEN 'yes' END) AS any_size, count(*) FILTER (p_size > 25) AS n_large, bit_or(p_size) AS bits
+FROM part GROUP BY p_type
 """
 
 
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of a nation, at most a few in a thousand of all, listed in SQL."""
+    return spark.sql(
+        "SELECT s_nationkey, listagg(s_name, ';') WITHIN GROUP (ORDER BY s_name) AS names FROM {supplier} GROUP BY ALL",
+        supplier=table(spark, sf_dir, "supplier"),
+    )
+
+
+LISTED = "SELECT s_nationkey, string_agg(s_name, ';' ORDER BY s_name) AS names FROM supplier GROUP BY s_nationkey"
+
+
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations of each region by name; a region has a few."""
     nations = table(spark, sf_dir, "nation").groupBy("n_regionkey")
@@ -246,18 +300,30 @@ HOURLY = "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type,
 
 
 def approximations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches beside the exact counts; no SQL gives their values."""
+    """Sketches of bounded size; tests hold them against the exact figures."""
     lines = table(spark, sf_dir, "lineitem")
     return lines.groupBy("l_returnflag").agg(
-        F.count_distinct("l_partkey").alias("parts"),
         F.approx_count_distinct("l_partkey", 0.01).alias("parts_hll_pp"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 14)).alias("parts_hll"),
-        F.percentile("l_extendedprice", 0.5).alias("middle"),
+        F.expr("theta_sketch_estimate(theta_sketch_agg(l_partkey, 14))").alias("parts_theta"),
         F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("middle_approx"),
+        F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5)").alias("middle_kll"),
+        F.expr("approx_top_k(l_linenumber, 3)").getField("item").alias("top_lines"),
         F.count("*").alias("n"),
     )
 
 
+def distinct_by_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct parts of each flag from bitmaps that are merged, exactly."""
+    lines = table(spark, sf_dir, "lineitem")
+    bucket = F.bitmap_bucket_number("l_partkey").alias("bucket")
+    parts = lines.groupBy("l_returnflag", bucket).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("l_partkey"))).alias("n"))
+    return parts.groupBy("l_returnflag").agg(F.sum("n").alias("parts"))
+
+
+DISTINCT_BY_BITMAP = "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag"
+
+
 QUERIES = {
     "agg_group": (pricing, PRICING),
     "agg_distinct_filter_having": (distinct, DISTINCT),
@@ -269,6 +335,9 @@ QUERIES = {
     "agg_moments": (moments, MOMENTS),
     "agg_order_statistics": (order_statistics, ORDER_STATISTICS),
     "agg_collect": (collected, COLLECTED),
+    "agg_small_domain": (small_domain, SMALL_DOMAIN),
+    "agg_listagg": (listed, LISTED),
+    "agg_bitmap_distinct": (distinct_by_bitmap, DISTINCT_BY_BITMAP),
     "agg_sketches": (approximations, None),
     "window_ranks": (ranks, RANKS),
     "window_neighbours": (neighbours, NEIGHBOURS),

@@ -232,10 +232,12 @@ def _set_query(operation):
 
 def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Powers of two below 10,000 that are keys of suppliers or beyond them."""
-    table(spark, sf_dir, "supplier").createOrReplaceTempView("brindle_supplier")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE p(n) AS (SELECT CAST(1 AS BIGINT) UNION ALL SELECT n * 2 FROM p WHERE n < 10000)
-        SELECT n, s_name FROM p LEFT JOIN brindle_supplier ON s_suppkey = n""")
+        SELECT n, s_name FROM p LEFT JOIN {supplier} ON s_suppkey = n""",
+        supplier=table(spark, sf_dir, "supplier"),
+    )
 
 
 RECURSIVE = """
@@ -243,6 +245,66 @@ WITH RECURSIVE p(n) AS (SELECT CAST(1 AS BIGINT) UNION ALL SELECT n * 2 FROM p W
 SELECT n, s_name FROM p LEFT JOIN supplier ON s_suppkey = n
 """
 
+
+
+def not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in no nation of a list without nulls, and none at all for a list with one."""
+    sql = """
+        SELECT c_custkey, list FROM {customer}, VALUES ('plain'), ('null') AS l(list)
+        WHERE (list = 'plain' AND c_nationkey NOT IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey < 4))
+           OR (list = 'null' AND c_nationkey NOT IN (SELECT nullif(n_nationkey, 3) FROM {nation}))"""
+    return spark.sql(sql, customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))
+
+
+NOT_IN = """
+SELECT c_custkey, list FROM customer, (VALUES ('plain'), ('null')) AS l(list)
+WHERE (list = 'plain' AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 4))
+   OR (list = 'null' AND c_nationkey NOT IN (SELECT nullif(n_nationkey, 3) FROM nation))
+"""
+
+
+def lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two richest customers of each nation, by a subquery for each."""
+    nations, customers = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    own = customers.filter(F.col("c_nationkey") == F.col("n_nationkey").outer())
+    best = own.orderBy(F.desc("c_acctbal"), "c_custkey").limit(2).select("c_custkey", "c_acctbal")
+    return nations.lateralJoin(best).select("n_name", "c_custkey", "c_acctbal")
+
+
+LATERAL = """
+SELECT n_name, c_custkey, c_acctbal
+FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2)
+"""
+
+
+def piped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL written as a pipe."""
+    return spark.sql(
+        """
+        FROM {orders} |> WHERE o_orderstatus <> 'P'
+        |> AGGREGATE count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) AS total GROUP BY o_custkey
+        |> WHERE n >= 5 |> EXTEND n * 2 AS twice |> SELECT o_custkey, n, twice, total""",
+        orders=table(spark, sf_dir, "orders"),
+    )
+
+
+PIPED = """
+SELECT o_custkey, count(*) AS n, count(*) * 2 AS twice, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) AS total
+FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey HAVING count(*) >= 5
+"""
+
+
+def _hinted(hint: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name").hint(hint)
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+    return run
+
+
+HINTED = "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"
+
 QUERIES = {
     "q_revenue_by_nation": (revenue_by_nation, REVENUE_BY_NATION),
     "scan_project": (projected, PROJECTED),
@@ -265,4 +327,9 @@ QUERIES = {
     "sort_nulls_last": (nulls_last, NULLS_LAST),
     **{f"set_{n}": (_set_query(f), f"{_KEYS_SQL[0]} {sql} {_KEYS_SQL[1]}") for n, (f, sql) in _SETS.items()},
     "recursive": (recursive, RECURSIVE),
+    "join_not_in": (not_in, NOT_IN),
+    "join_lateral": (lateral, LATERAL),
+    "pipe": (piped, PIPED),
+    "join_hint_merge": (_hinted("merge"), HINTED),
+    "join_hint_shuffle_hash": (_hinted("shuffle_hash"), HINTED),
 }

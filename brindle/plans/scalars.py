@@ -3,7 +3,7 @@ that gives the same rows. Integer results are cast where the two engines name ot
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -162,6 +162,110 @@ SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS
        len(embedding) AS n FROM embeddings
 """
 
+def more_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.lower(text).alias("small"),
+        F.size(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0))).cast("long").alias("n_words"),
+        F.regexp_count(text, F.lit("[aeiou]")).cast("long").alias("n_vowels"),
+        F.startswith(text, F.lit("T")).alias("starts"),
+        F.contains(text, F.lit("the")).alias("has_the"),
+        F.left(text, F.lit(5)).alias("head"),
+        F.translate("role", "aeiou", "AEIOU").alias("role_upper"),
+        F.split_part(text, F.lit(" "), F.lit(2)).alias("second"),
+        F.ascii("role").cast("long").alias("code"),
+        F.repeat("role", 2).alias("twice"),
+        F.base64(F.encode("role", "UTF-8")).alias("in_base64"),
+    )
+
+
+MORE_STRINGS = r"""
+SELECT conv_id, turn, lower(text) AS small, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS n_words,
+       len(regexp_extract_all(text, '[aeiou]')) AS n_vowels, starts_with(text, 'T') AS starts, contains(text, 'the') AS has_the, left(text, 5) AS head,
+       translate(role, 'aeiou', 'AEIOU') AS role_upper, split_part(text, ' ', 2) AS second, CAST(ascii(role) AS BIGINT) AS code,
+       repeat(role, 2) AS twice, to_base64(encode(role)) AS in_base64
+FROM conversations
+"""
+
+
+def bits_and_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.bit_count(key).cast("long").alias("ones"),
+        key.bitwiseAND(12).alias("masked"),
+        key.bitwiseXOR(5).alias("flipped"),
+        F.shiftleft(key, 3).alias("shifted"),
+        F.lower(F.conv(key.cast("string"), 10, 16)).alias("in_hex"),
+        F.bin(key).alias("in_binary"),
+        F.width_bucket(F.col("p_retailprice"), F.lit(900.0), F.lit(1000.0), F.lit(10)).cast("long").alias("bucket"),
+        F.greatest(F.lit(10), F.col("p_size")).alias("at_least"),
+        F.factorial(F.col("p_size") % 10).alias("factorial"),
+        F.round(F.atan2(F.col("p_size").cast("double"), F.lit(3.0)), 9).alias("angle"),
+        F.try_divide(F.col("p_retailprice"), F.col("p_size") - 1).isNull().alias("no_quotient"),
+    )
+
+
+BITS_AND_BASES = """
+SELECT p_partkey, CAST(bit_count(p_partkey) AS BIGINT) AS ones, p_partkey & 12 AS masked, xor(p_partkey, 5) AS flipped, p_partkey << 3 AS shifted,
+       lower(to_hex(p_partkey)) AS in_hex, to_binary(p_partkey) AS in_binary,
+       CAST(CASE WHEN p_retailprice < 900 THEN 0 WHEN p_retailprice >= 1000 THEN 11 ELSE floor((p_retailprice - 900) / 10) + 1 END AS BIGINT) AS bucket,
+       greatest(10, p_size) AS at_least, CAST(factorial(p_size % 10) AS BIGINT) AS factorial, round(atan2(CAST(p_size AS DOUBLE), 3.0), 9) AS angle, p_size = 1 AS no_quotient
+FROM part
+"""
+
+
+def array_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a turn shares with the one before it."""
+    own = F.array_sort(F.array_distinct(F.split(F.lower("text"), " ")))
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", own.alias("own"))
+    rows = rows.withColumn("last", F.coalesce(F.lag("own").over(before), F.array().cast("array<string>")))
+    both, either = F.array_intersect("own", "last"), F.array_union("own", "last")
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.size(both).cast("long").alias("n_both"),
+        F.size(either).cast("long").alias("n_either"),
+        F.array_join(F.array_sort(F.array_except("own", "last")), " ").alias("new"),
+        F.arrays_overlap("own", "last").alias("overlap"),
+        F.array_contains("own", "the").alias("has_the"),
+        F.element_at(F.map_from_entries(F.transform("own", lambda w: F.struct(w, F.length(w)))), F.element_at("own", 1)).cast("long").alias("first_length"),
+        F.array_max(F.transform("own", F.length)).cast("long").alias("longest"),
+        F.size(F.flatten(F.array("own", "last"))).cast("long").alias("n_all"),
+    )
+
+
+ARRAY_SETS = """
+WITH w AS (SELECT conv_id, turn, list_sort(list_distinct(string_split(lower(text), ' '))) AS own FROM conversations),
+p AS (SELECT *, coalesce(lag(own) OVER (PARTITION BY conv_id ORDER BY turn), CAST([] AS VARCHAR[])) AS last FROM w)
+SELECT conv_id, turn, len(list_intersect(own, last)) AS n_both, len(list_distinct(own || last)) AS n_either,
+       array_to_string(list_sort(list_filter(own, lambda x: NOT list_contains(last, x))), ' ') AS new, list_has_any(own, last) AS overlap,
+       list_contains(own, 'the') AS has_the, length(own[1]) AS first_length, list_max(list_transform(own, lambda x: length(x))) AS longest, len(own) + len(last) AS n_all
+FROM p
+"""
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of events as variants, and as XML."""
+    events = table(spark, sf_dir, "events")
+    variant = F.parse_json("props")
+    xml = F.concat(F.lit("<e><t>"), "event_type", F.lit("</t></e>"))
+    return events.select(
+        "event_id",
+        F.variant_get(variant, "$.k", "long").alias("k"),
+        F.try_variant_get(variant, "$.none", "long").alias("none"),
+        F.schema_of_variant(variant).alias("kind"),
+        F.xpath_string(xml, F.lit("e/t")).alias("type"),
+    )
+
+
+VARIANTS = """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(NULL AS BIGINT) AS none, 'OBJECT<k: BIGINT>' AS kind, event_type AS type FROM events
+"""
+
 QUERIES = {
     "scalar_strings": (strings, STRINGS),
     "scalar_dates": (dates, DATES),
@@ -171,4 +275,8 @@ QUERIES = {
     "scalar_json_map": (json, JSON),
     "scalar_url_host": (url_hosts, URL_HOSTS),
     "vector_lengths": (vector_lengths, VECTOR_LENGTHS),
+    "scalar_more_strings": (more_strings, MORE_STRINGS),
+    "scalar_bits_and_bases": (bits_and_bases, BITS_AND_BASES),
+    "scalar_array_sets": (array_sets, ARRAY_SETS),
+    "scalar_variants": (variants, VARIANTS),
 }

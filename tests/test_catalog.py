@@ -2,6 +2,7 @@
 
 import pytest
 from comparing import DATA, same
+from pyspark.sql import functions as F
 
 from brindle import catalog
 
@@ -17,7 +18,28 @@ def test_others_have_rows(spark, name):
     assert catalog.queries()[name](spark, f"{DATA}/sf0.001").count() > 0
 
 def test_sketches_come_near(spark):
+    lines = spark.read.parquet(f"{DATA}/sf0.01/lineitem.parquet").groupBy("l_returnflag")
+    exact = {r.l_returnflag: r for r in lines.agg(F.count_distinct("l_partkey").alias("parts"), F.median("l_extendedprice").alias("middle")).collect()}
     for r in catalog.queries()["agg_sketches"](spark, f"{DATA}/sf0.01").collect():
-        assert abs(r.parts_hll_pp - r.parts) <= 0.05 * r.parts
-        assert abs(r.parts_hll - r.parts) <= 0.05 * r.parts
-        assert abs(r.middle_approx - r.middle) <= 0.01 * r.middle
+        want = exact[r.l_returnflag]
+        for parts in (r.parts_hll_pp, r.parts_hll, r.parts_theta):
+            assert abs(parts - want.parts) <= 0.05 * want.parts
+        for middle in (r.middle_approx, r.middle_kll):
+            assert abs(middle - want.middle) <= 0.03 * want.middle
+        assert len(r.top_lines) == 3
+
+
+def test_sample_is_of_its_size(spark):
+    """A seeded sample, the same on a second run."""
+    orders = spark.read.parquet(f"{DATA}/sf0.01/orders.parquet")
+    n = orders.count()
+    found = [{r.o_orderkey for r in orders.sample(fraction=0.1, seed=7).collect()} for _ in range(2)]
+    assert found[0] == found[1] and abs(len(found[0]) - 0.1 * n) < 5 * (0.09 * n) ** 0.5
+
+
+def test_percentiles_of_ties_and_nulls(spark):
+    from brindle.plans.aggregates import quantiles
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 4.0), ("a", None), ("b", 7.0), ("c", None)], "k string, v double")
+    got = {r.k: (r.low, r.mid, r.top) for r in quantiles(rows, "k", "v", [("low", 0.0), ("mid", 0.75), ("top", 1.0)]).collect()}
+    assert got == {"a": (1.0, 2.5, 4.0), "b": (7.0, 7.0, 7.0)}
