@@ -6,14 +6,14 @@ label are ordered lexicographically by SIGNS concatenated hashes, the sides of r
 label's mean on which they lie, and each is compared with those up to a window before it. Only the links
 that connect what a task's links connect leave it; they are joined into components over all passes.
 
-Passes and window follow each label's number n of vectors and its density, so that a pair of the least
-cosine is missed with a chance of MISS at most. With squared distances d of the label's vectors from its
-mean (their lower tenth), such a pair has the angle t = arccos(1 - (1 - least) / d) as seen from the
-mean, and shares one sign with chance 1 - t / pi. It meets where log2(n / window) signs agree; the
-cheapest window of 2 ** LEAST_WINDOW to 2 ** MOST_WINDOW whose passes bring the chance of never meeting
-below MISS is taken. A label of up to one window is compared whole, in one pass. The chance holds for
-vectors that lie around the mean alike in all directions; denser clusters within a label are wider than
-their share of the order, and only links through third vectors help there (README has measured recall).
+Passes and window follow each label's density, so that a pair of the least cosine is missed with a chance of
+MISS at most. With squared distances d of the label's vectors from its mean (their lower tenth), such a pair
+has the angle t = arccos(1 - (1 - least) / d) as seen from the mean, and shares one hash with chance
+1 - t / pi. It meets where it shares so many first hashes that no more than a window of vectors share them;
+one order made beforehand tells how many that are for all but CROWDED of the label's vectors, be they alike
+in all directions or in dense clusters. Of the windows from 2 ** LEAST_WINDOW to 2 ** MOST_WINDOW the one is
+taken whose passes, as many as bring the chance of never meeting below MISS, compare least. So dense labels
+take more passes, and a label of up to one window is compared whole, in one.
 
 Ranks in an order are counted over all of its partitions, and the vectors dealt out in blocks of ranks
 that take the window before them along, so what is compared depends on no partition's bounds.
@@ -47,6 +47,9 @@ from .shared import cut
 MISS = 1e-4
 #: log2 of the windows to choose from, and hashes of an order.
 LEAST_WINDOW, MOST_WINDOW, SIGNS = 7, 12, 64
+WINDOWS = range(LEAST_WINDOW, MOST_WINDOW + 1)
+#: Numbers of first hashes that are looked at, and the share of vectors that may share them with too many.
+DEPTHS, CROWDED = range(4, SIGNS + 1, 4), 0.05
 #: Ranks of a block, in windows.
 BLOCK = 4
 #: Vectors of a component's tile: at least LEAST_TILE while it has under SPREAD tiles, then up to TILE.
@@ -58,13 +61,16 @@ SENT_BYTES, SENT_ROWS = 16 << 20, 1 << 16
 SEED = 20
 
 
-def passes(n: int, spread: float, least: float) -> tuple[int, int]:
-    """The number of passes and the window for n vectors whose squared distance from their mean is spread."""
+def passes(n: int, spread: float, crowded: dict[int, dict[int, int]], least: float) -> tuple[int, int]:
+    """The number of passes and the window for n vectors whose squared distance from their mean is spread.
+    crowded: for each number of first hashes and each window's log2, the vectors that share so many hashes
+    with more vectors than the window."""
     angle = math.acos(max(-1.0, min(1.0, 1 - (1 - least) / max(spread, 1e-12))))
     same = max(1 - angle / math.pi, 1e-3)
     best = None
-    for w in range(LEAST_WINDOW, MOST_WINDOW + 1):
-        meet = same ** max(0.0, math.log2(n) - w)
+    for w in WINDOWS:
+        depth = 0 if n <= 1 << w else next((d for d in sorted(crowded) if crowded[d][w] <= CROWDED * n), SIGNS)
+        meet = same**depth
         k = 1 if meet >= 1 else math.ceil(math.log(MISS) / math.log1p(-meet))
         if best is None or k * ((1 << w) + STEP) < best[0] * (best[1] + STEP):
             best = k, 1 << w
@@ -274,13 +280,22 @@ def _grouped(classes: DataFrame, least: float, single: bool) -> tuple[DataFrame,
 
     def chosen(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            found = [passes(n, d, least) for n, d in zip(batch.column("n").to_pylist(), batch.column("spread").to_pylist(), strict=True)]
+            crowded = [{r["depth"]: {w: r[f"w{w}"] for w in WINDOWS} for r in own} for own in batch.column("profile").to_pylist()]
+            facts = zip(batch.column("n").to_pylist(), batch.column("spread").to_pylist(), crowded, strict=True)
+            found = [passes(n, d, own, least) for n, d, own in facts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("group"), pa.array([k for k, _ in found], pa.int32()), pa.array([w for _, w in found], pa.int32())],
                 names=["group", "passes", "window"],
             )
 
-    facts = spread.join(groups.select("group", "n"), "group").select("group", "n", "spread")
+    order = rows.withColumn("passes", F.lit(1)).mapInArrow(_orders(single), f"group long, pass int, order long, node {kind}")
+    first = F.array(*(F.struct(F.lit(d).alias("depth"), F.shiftright("order", 64 - d).alias("prefix")) for d in DEPTHS))
+    shared = order.select("group", F.explode(first).alias("first")).groupBy("group", "first").agg(F.count("*").alias("m"))
+    over = [F.sum(F.when(F.col("m") > 1 << w, F.col("m")).otherwise(0)).alias(f"w{w}") for w in WINDOWS]
+    crowded = shared.groupBy("group", "first.depth").agg(*over)
+    # len(DEPTHS) rows a group.
+    profile = crowded.groupBy("group").agg(F.collect_list(F.struct("depth", *(f"w{w}" for w in WINDOWS))).alias("profile"))
+    facts = spread.join(groups.select("group", "n"), "group").join(profile, "group").select("group", "n", "spread", "profile")
     return rows, cut(facts.mapInArrow(chosen, "group long, passes int, window int"))
 
 
