@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,14 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _give_back() -> None:
+    """Frees what Arrow and the C library keep for later, as far as the platform can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def released(run: Callable, *forget: Callable) -> Callable:
     """run for mapInArrow; at a task's end its Python worker, which stays for other tasks and stages, gives
     back the memory of what it remembered."""
@@ -49,7 +58,7 @@ def released(run: Callable, *forget: Callable) -> Callable:
         try:
             yield from run(stream)
         finally:
-            for each in (words.forget, *forget, pa.default_memory_pool().release_unused):
+            for each in (words.forget, *forget, _give_back):
                 each()
 
     return wrapped

@@ -49,7 +49,7 @@ DEPTH = 2
 BLOCK_BITS, PART_BITS, MIN_BITS, MAX_BITS = 22, 26, 16, 33
 #: Windows that a task counts at once, or compares with the sketch at once, and places that it sends or a
 #: bucket holds at once.
-COUNTED, HELD, MOST = 1 << 22, 1 << 21, 1 << 18
+COUNTED, HELD, MOST = 3 << 20, 1 << 20, 1 << 18
 #: Texts' bytes for each bucket of windows, and the least number of buckets.
 BUCKET_BYTES, MIN_BUCKETS = 2 << 20, 256
 
