@@ -18,8 +18,9 @@ threshold from the highest down, passes over those that are connected by then, a
 links between components. So every pair that shares a band is confirmed or refused, or already
 connected, and no list of a group's pairs is ever shuffled.
 
-Bands have 5 registers for thresholds of 0.85 or more, else 4: a pair at 0.85 shares one of 20 bands with
-chance 1 - (1 - 0.85 ** 5) ** 20 = 0.999992, a pair at 0.80 one of 25 with 1 - (1 - 0.8 ** 4) ** 25 = 0.999998.
+There are 20 bands of 5 registers: a pair at 0.85 shares one with chance 1 - (1 - 0.85 ** 5) ** 20 = 0.999992, a
+pair at just 0.80 with 0.9996. (25 bands of 4 would make that 0.999998, but bring together many more documents
+that don't link.)
 
 Defined results: a text without words has an empty set and links with nothing; one of fewer words
 than a shingle is one shingle. Rows with a null key link with nothing, are kept and have no
@@ -43,7 +44,8 @@ from .graph import components
 from .shared import cut, in_batches, thin, without
 
 SHINGLE = 5
-REGISTERS = 100
+BANDS, ROWS = 20, 5
+REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: An estimate may lie so many deviations below the threshold and still lead to confirmation.
 DEVIATIONS = 5
@@ -231,7 +233,8 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataF
     """The pairs a, b whose sets have that share in common, by their whole texts."""
     pairs = cut(pairs)
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    own = cut(thin(texts, ids, "id").join(ids, "id", "left_semi").distinct())
+    # Both sides of the join below share its shuffle.
+    own = thin(texts, ids, "id").join(ids, "id", "left_semi").distinct()
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
         own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -297,8 +300,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         .select("same", F.col("first.id").alias("node"), "first.n", "first.regs")
     )
     classes = cut(classes)
-    width = 2 * (5 if percent >= 85 else 4)
-    hashes = [F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(2 * REGISTERS // width)]
+    width = 2 * ROWS
+    hashes = [F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(BANDS)]
     bands = classes.select("node", "n", F.explode(F.array(*hashes)).alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).filter("hub < _top").drop("_top")
     members = cut(bands.join(shared, "band").select("band", "hub", "node", "n"))
