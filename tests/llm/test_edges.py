@@ -162,7 +162,7 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), URL_RULES, model).count() == 0
 
 
-# Sites whose host is in no labelled URL; those of the second part share no word with any labelled host.
+# Sites whose host is in no labelled URL; those of the second part are words of their own.
 HELD_OUT = {
     "block": ("pokerstars-bonus", "vegas-casino-club", "live-betting-odds", "adultfriend-dating", "camgirls-xxx", "pornhd-tube", "adserver-click", "tracking-pixel-ads",
               "link-spam-farm", "viagra-pills-shop", "keygen-cracks", "instant-payday-loan", "wetten-bonus", "casino-bonus-gratuit", "apuestas-casino")
