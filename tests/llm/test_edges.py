@@ -135,7 +135,7 @@ def test_vectors_over_many_partitions(spark):
     table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     try:
-        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(table).collect()}
     finally:
