@@ -50,9 +50,13 @@ def joined(ordered: DataFrame, runs: DataFrame, by: list[str], values: list[str]
     return ordered.alias("l").join(runs.alias("r"), same("l", "r", keys)).select("l.*", *(F.col(f"r.`{v}`") for v in values))
 
 
-def numbered(ordered: DataFrame, by: list[str], name: str) -> DataFrame:
-    """ordered with each row's place in its group, from 0."""
+def numbered(ordered: DataFrame, by: list[str], name: str, size: str | None = None) -> DataFrame:
+    """ordered with each row's place in its group, from 0, and with the group's size."""
     measures = {"_first": F.min("_at"), "_n": F.count("*")}
     runs = carried(ordered, by, measures, {"_before": F.sum("_n")})
     runs = runs.withColumn("_offset", F.coalesce("_before", F.lit(0)) - F.col("_first"))
-    return joined(ordered, runs, by, ["_offset"]).withColumn(name, F.col("_at") + F.col("_offset")).drop("_offset")
+    more = []
+    if size:
+        runs = runs.withColumn(size, F.sum("_n").over(Window.partitionBy(*(F.col(f"`{c}`") for c in by))))
+        more = [size]
+    return joined(ordered, runs, by, ["_offset", *more]).withColumn(name, F.col("_at") + F.col("_offset")).drop("_offset")
