@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, piece_codec, pieces, quality_rules, sharding, substring_dedup, token_counts, url_filter, vector_dedup
+from . import language_id, merkle, mixing, near_dedup, oracles, piece_codec, pieces, quality_rules, sharding, substring_dedup, token_counts, url_filter, vector_dedup
 from .shared import cut
 
 
@@ -133,6 +133,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document proven against the root, after some texts were tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    found = F.when(tampered, merkle.leaf([*values, merkle.lower_ascii(F.col("text"))]))
+    leaves = docs.select("doc_id", "lang", merkle.leaf([*values, F.col("text")]).alias("digest"), found.alias("found"))
+    listed = merkle.manifest(cut(leaves), "lang", [F.col("doc_id").asc_nulls_first()], ["doc_id", "found"])
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    root = merkle.folded(F.coalesce("found", "digest"), F.col("proof"))
+    out = listed.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), root.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -145,8 +159,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_vector_near_dedup": op9_vector_near_dedup,
         "op10_substring_dedup": op10_substring_dedup,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_pareto_mix": OP7_SQL}
+    return {"op7_pareto_mix": OP7_SQL, "op13_merkle_manifest": oracles.merkle()}
