@@ -68,3 +68,27 @@ f AS (
   FROM p{inner}{outer} JOIN t{LEVELS} x ON x.g = p.g JOIN u{ABOVE} y ON true LEFT JOIN c ON c.id = p.doc_id)
 SELECT doc_id, leaf, subroot, root, proof_sha256, b{ABOVE - 1} AS folded_root, b{ABOVE - 1} = root AS verified FROM f
 """
+
+
+DECONTAMINATION = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+q AS MATERIALIZED (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[s : s + 9], ' ') AS words
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM b WHERE len(w) > 0)),
+p AS (
+  SELECT r, s, n, array_to_string(w[s : s + n - 1], ' ') AS words
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM q))),
+m AS MATERIALIZED (SELECT DISTINCT r, s, n, item FROM p JOIN q USING (n, words)),
+h AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS at FROM m) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, merkle, mixing, near_dedup, oracles, piece_codec, pieces, quality_rules, sharding, substring_dedup, token_counts, url_filter, vector_dedup
+from . import conversations, decontamination, language_id, merkle, mixing, near_dedup, oracles, piece_codec, pieces, quality_rules, sharding, substring_dedup, token_counts, url_filter, vector_dedup
 from .shared import cut
 
 
@@ -133,6 +133,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Turns of conversations, some of them dropped, emptied, cut short, repeated or given to the user."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(key) % 20).alias("_kind"))
+    rows = rows.filter("_kind <> 0").withColumn("role", F.when(F.col("_kind") == 4, "user").otherwise(F.col("role")))
+    text = F.when(F.col("_kind") == 1, "").when(F.col("_kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_kind") == 3, 2).otherwise(1))))
+    return rows.drop("_kind", "_copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(damaged(rows), rows)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document proven against the root, after some texts were tampered with."""
     docs = _table(spark, sf_dir, "documents")
@@ -159,9 +182,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_vector_near_dedup": op9_vector_near_dedup,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_decontamination": op11_decontamination,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_pareto_mix": OP7_SQL, "op13_merkle_manifest": oracles.merkle()}
+    return {"op7_pareto_mix": OP7_SQL, "op11_decontamination": oracles.DECONTAMINATION, "op13_merkle_manifest": oracles.merkle()}
