@@ -86,7 +86,7 @@ p AS (
   SELECT r, s, n, array_to_string(w[s : s + n - 1], ' ') AS words
   FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM q))),
 m AS MATERIALIZED (SELECT DISTINCT r, s, n, item FROM p JOIN q USING (n, words)),
-h AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS at FROM m) GROUP BY r),
+h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS place FROM m) GROUP BY r),
 i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
