@@ -122,9 +122,11 @@ def manifest(leaves: DataFrame, group: str, order: list[Column], payload: list[s
     its node in each run) of each of leaves, which have a digest."""
     tree = build(leaves, group, order, payload)
     subroots = cut(tree.tops())
-    above = build(subroots.withColumn("_all", F.lit(0)), "_all", [F.col(f"`{group}`").asc_nulls_first()], [group, "_height"])
+    # One group for all, 0, as a column that may be null: of others the optimizer keeps a constraint that unions of
+    # checkpoints can't resolve.
+    above = build(subroots.withColumn("_all", F.when(F.spark_partition_id() >= 0, 0)), "_all", [F.col(f"`{group}`").asc_nulls_first()], [group, "_height"])
     root = above.tops().select("_all", "_height", F.col("digest").alias("root"), F.array().cast("array<struct<left:string,right:string>>").alias("proof"))
-    tops = proofs(above, root).select(
+    tops = proofs(above, cut(root)).select(
         F.col(f"_child.`{group}`").alias(group), F.col("_child._height").alias("_height"), F.col("_child.digest").alias("subroot"), "root", "proof"
     )
     return proofs(tree, cut(tops)).select(group, "_child.*", "subroot", "root", "proof")
