@@ -46,24 +46,28 @@ def key(column: Column) -> Column:
 
 
 def turns(rows: DataFrame, by: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Turns in their order (_part, _at), with their faults: _c (key of the conversation), turn, role, text, blank,
-    duplicate, truncated and code (see cost_layers)."""
+    """Turns in their order (_part, _at): _c (key of the conversation), turn, role, text and what faults() needs of them."""
     given = {"_c": key(F.col(f"`{by}`")), "turn": F.col(f"`{turn}`")} | {n: F.coalesce(F.col(f"`{c}`"), F.lit(" ")) for n, c in (("role", role), ("text", text))}
     plain = rows.select(*(c.alias(n) for n, c in given.items()))
     end = F.rtrim(F.col("text"), F.lit(SPACES))
     plain = plain.withColumn("blank", end == "").withColumn("_open", ~F.right(end, F.lit(1)).isin(".", "!", "?"))
     plain = plain.withColumn("_h1", F.xxhash64("role", "text")).withColumn("_h2", F.xxhash64(F.lit(1), "role", "text"))
-    ordered = ranges.in_order(plain, ["_c"], [F.col("turn").asc_nulls_first(), F.col("_h1"), F.col("_h2")])
+    return ranges.in_order(plain, ["_c"], [F.col("turn").asc_nulls_first(), F.col("_h1"), F.col("_h2")])
+
+
+def faults(ordered: DataFrame) -> DataFrame:
+    """_c, turn, blank, duplicate, truncated and code (see cost_layers) of each turn, without its text."""
+    initial = F.substring("role", 1, 1)
+    initial = F.when(initial.isin("s", "u", "a"), initial).otherwise("x")
+    narrow = ordered.select("_c", "turn", "blank", "_open", "_h1", "_h2", initial.alias("_initial"), "_part", "_at")
     place = F.struct("_part", "_at")
-    again = ordered.filter("NOT blank").groupBy("_c", "_h1", "_h2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    found = ordered.join(again, ["_c", "_h1", "_h2"], "left")
+    again = narrow.filter("NOT blank").groupBy("_c", "_h1", "_h2").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    found = narrow.join(again, ["_c", "_h1", "_h2"], "left")
     duplicate = ~F.col("blank") & F.coalesce(place > F.col("_first"), F.lit(False))
     found = found.withColumn("duplicate", duplicate).withColumn("truncated", ~F.col("blank") & ~F.col("duplicate") & F.col("_open"))
-    initial = F.substring("role", 1, 1)
-    initial = F.when(initial.isin("s", "u", "a"), initial).otherwise("x")
-    gone = F.translate(initial, cost_layers.ROLES, "0123")
-    code = F.when(F.col("blank") | F.col("duplicate"), gone).when(F.col("truncated"), F.upper(initial)).otherwise(initial)
-    return cut(found.select("_c", "turn", "role", "text", "blank", "duplicate", "truncated", code.alias("code"), "_part", "_at"))
+    gone = F.translate("_initial", cost_layers.ROLES, "0123")
+    code = F.when(F.col("blank") | F.col("duplicate"), gone).when(F.col("truncated"), F.upper("_initial")).otherwise(F.col("_initial"))
+    return cut(found.select("_c", "turn", "blank", "duplicate", "truncated", code.alias("code"), "_part", "_at"))
 
 
 def _blocks(found: DataFrame, block: int) -> DataFrame:
@@ -162,44 +166,81 @@ def edits(found: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut(one.unionByName(chosen.select("_c", *_AT, "_ats", "cost", "illegal", *own)))
 
 
-def repaired(found: DataFrame, edited: DataFrame) -> DataFrame:
-    """The turns after the edits, in order of _part, _at, _sub: _c, role, text."""
+def _lines(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str]]:
+    """Key, role and text of repaired turns, from rows of marks, each before the turn it is for."""
+    mark = ""
+    for batch in stream:
+        for c, given, role, text in zip(*(batch.column(k).to_pylist() for k in ("_c", "_mark", "role", "text"))):
+            if given is not None:
+                mark = given
+                continue
+            for m in mark:
+                new = "user" if m in "uU" else "assistant"
+                yield (c, role, text) if m == "=" else (c, new, text if m.isupper() else "")
+            mark = ""
+
+
+def _marks(ordered: DataFrame, edited: DataFrame) -> DataFrame:
+    """The turns and, before each, its mark, a task's conversations whole and in order. Texts are shuffled once here."""
     n = F.size("_ats")
     # What is inserted after the last turn goes with it.
-    tail = F.element_at("roles", n + 1)
-    marks = F.transform(F.slice("roles", 1, n), lambda r, i: F.when(i == n - 1, F.concat(r, tail)).otherwise(r))
-    each = edited.select("_part", F.explode(F.arrays_zip(F.col("_ats").alias("at"), marks.alias("mark"))).alias("_e"))
-    each = each.select("_part", F.col("_e.at").alias("_at"), F.col("_e.mark").alias("_mark")).filter("_mark <> ''")
-    both = found.select("_c", "role", "text", "_part", "_at").join(each, ["_part", "_at"])
-    both = both.select("_c", "_part", "_at", "role", "text", F.posexplode(F.split("_mark", "")).alias("_sub", "_m")).filter("_m <> ''")
-    own = F.col("_m").isin("=", "U", "A")
-    role = F.when(F.col("_m") == "=", F.col("role")).otherwise(F.when(F.lower("_m") == "u", "user").otherwise("assistant"))
-    return both.select("_c", "_part", "_at", "_sub", role.alias("role"), F.when(own, F.col("text")).otherwise("").alias("text"))
+    marks = F.transform(F.slice("roles", 1, n), lambda r, i: F.when(i == n - 1, F.concat(r, F.element_at("roles", n + 1))).otherwise(r))
+    each = edited.select("_c", "_part", F.explode(F.arrays_zip(F.col("_ats").alias("at"), marks.alias("mark"))).alias("_e"))
+    each = each.select("_c", "_part", F.col("_e.at").alias("_at"), F.lit(0).alias("_kind"), F.col("_e.mark").alias("_mark"), *(F.lit(None).cast("string").alias(c) for c in ("role", "text")))
+    own = ordered.select("_c", "_part", "_at", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_mark"), "role", "text")
+    both = each.unionByName(own).repartition("_c").sortWithinPartitions("_c", "_part", "_at", "_kind")
+    return in_batches(both.select("_c", "_mark", "role", "text"))
 
 
-def _digests(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def made(c, h) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"_c": [c], "repaired_sha256": [h.hexdigest()]})
+def repaired(ordered: DataFrame, edited: DataFrame) -> DataFrame:
+    """The turns after the edits: _c, place (from 0), role and text."""
 
-    now, digest = None, None
-    for batch in stream:
-        for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("_c", "role", "text"))):
-            if digest is not None and c == now:
-                digest.update(b"\n")
-            else:
-                if digest is not None:
-                    yield made(now, digest)
-                now, digest = c, hashlib.sha256()
-            digest.update(f"{role}:{text}".encode())
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, place, held, size = None, 0, [], 0
+        for c, role, text in _lines(stream):
+            now, place = c, place + 1 if c == now else 0
+            held.append((c, place, role, text))
+            size += len(text)
+            if len(held) >= 2_000 or size >= 4 << 20:
+                yield _batch(held)
+                held, size = [], 0
+        yield _batch(held)
+
+    def _batch(held: list) -> pa.RecordBatch:
+        columns = list(zip(*held)) or [()] * 4
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(("_c", "place", "role", "text"), columns, kinds)})
+
+    return _marks(ordered, edited).mapInArrow(batches, "_c string, place bigint, role string, text string")
+
+
+def _digests(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, made, digest = [], [], None
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"_c": pa.array(keys, pa.string()), "repaired_sha256": pa.array(made, pa.string())})
+
+    for c, role, text in _lines(stream):
+        if keys and c == keys[-1]:
+            digest.update(b"\n")
+        else:
+            if digest is not None:
+                made.append(digest.hexdigest())
+            if len(made) >= 10_000:
+                yield batch()
+                keys, made = [], []
+            keys.append(c)
+            digest = hashlib.sha256()
+        digest.update(f"{role}:{text}".encode())
     if digest is not None:
-        yield made(now, digest)
+        made.append(digest.hexdigest())
+    yield batch()
 
 
-def digests(turns_after: DataFrame) -> DataFrame:
-    """_c and the digest of ``role:text`` of all turns of each conversation, joined by newlines."""
-    order = ["_c", "_part", "_at", "_sub"]
-    streams = turns_after.repartition("_c").sortWithinPartitions(*order).select("_c", "role", "text")
-    return in_batches(streams).mapInArrow(_digests, "_c string, repaired_sha256 string")
+def digests(ordered: DataFrame, edited: DataFrame) -> DataFrame:
+    """_c and the digest of ``role:text`` of all repaired turns of each conversation, joined by newlines; none where none
+    is left."""
+    return _marks(ordered, edited).mapInArrow(_digests, "_c string, repaired_sha256 string")
 
 
 def report(found: DataFrame, edited: DataFrame) -> DataFrame:
@@ -216,9 +257,10 @@ def report(found: DataFrame, edited: DataFrame) -> DataFrame:
 def repair(rows: DataFrame, ids: DataFrame, by: str = "conv_id", block: int = BLOCK, **names: str) -> DataFrame:
     """One row for every id of ids (a column named by): report() of its turns in rows and the digest of the repaired ones;
     zeros, an empty audit and the digest of nothing where it has no turn."""
-    found = turns(rows, by, **names)
+    ordered = turns(rows, by, **names)
+    found = faults(ordered)
     edited = edits(found, block)
-    facts = report(found, edited).join(digests(repaired(found, edited)), "_c", "left")
+    facts = report(found, edited).join(digests(ordered, edited), "_c", "left")
     numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     every = ids.select(F.col(f"`{by}`").alias(by)).distinct().withColumn("_c", key(F.col(f"`{by}`"))).join(facts, "_c", "left")
     nothing = hashlib.sha256(b"").hexdigest()

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -151,6 +152,23 @@ def test_blocks_and_partitions(spark, block):
     assert got == brute(rows, {r[0] for r in rows} | {1000})
 
 
+def test_repaired_turns(spark):
+    """The turns themselves give the digest, and their roles follow the grammar."""
+    rows = _made(1, 20, 12)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    ordered = conversations.turns(df)
+    edited = conversations.edits(conversations.faults(ordered), block=5)
+    convs = defaultdict(list)
+    for r in conversations.repaired(ordered, edited).collect():
+        convs[r._c].append((r.place, r.role, r.text))
+    want = brute(rows, {r[0] for r in rows})
+    for c, (*_, digest) in want.items():
+        own = sorted(convs["" if c is None else f"={c}"])
+        assert [p for p, *_ in own] == list(range(len(own)))
+        assert hashlib.sha256("\n".join(f"{r}:{t}" for _, r, t in own).encode()).hexdigest() == digest
+        assert re.fullmatch("(s?(ua)+)?", "".join(r[0] for _, r, _ in own))
+
+
 def test_edges(spark):
     """Nulls in any column, empty and very long texts, no rows, clashing names, ids as strings."""
     schema = "conv_id string, turn long, role string, text string, _c string, code int, cost string"
