@@ -13,7 +13,7 @@ are kept only by ``filter_quality``; clashing names there are the input's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -114,54 +114,72 @@ def rules() -> dict[str, Column]:
     }
 
 
-def _kinds(bad: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The rules whose votes against mostly stand alone: at least half of the documents that one of them
-    votes against have no other vote against."""
-    alone = n @ (bad * (bad.sum(axis=1) == 1)[:, None])
-    against = n @ bad
-    return np.flatnonzero((against > 0) & (2 * alone >= against))
-
-
-def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 500, decisive: Sequence[int] = ()) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over vote patterns [P, R] that n [P] documents have. Returns the share of good
     documents; accuracy [2, R], the chance that a rule which does not abstain votes -1 on a bad
     document (row 0) and 1 on a good one (row 1); and the posterior of good for each pattern.
 
-    Classes are good documents, junk that several rules find, and one kind of junk for each rule whose
-    votes against mostly stand alone. Votes can't tell whether such a rule alone finds its junk or errs on
-    good documents, so it is believed. A rule that others mostly support is not: its votes that stand alone
-    count as its errors as far as EM estimates them so. On good documents a rule is held to be right more
-    often than not; on junk a Beta prior of two votes stands in where votes are few. An abstention says
-    nothing."""
+    Classes are good documents, junk that several rules find, and kinds of junk that one rule finds. Whether a rule's
+    votes against are a kind of junk or its errors on good documents shows in the other rules: over errors these vote and
+    abstain as over all good documents. So kinds are chosen by the likelihood of votes and abstentions: of the rules without
+    one, that whose kind gains most is added while it gains more than its 2 R + 1 figures are worth by the Bayesian
+    information criterion. decisive names rules that have one in any case, where more is known than votes can tell: of
+    kinds on which all other rules vote as on good documents, votes alone can't. Errors bring no gain, however often they stand alone and however rare junk is. From there
+    EM runs on votes alone: nothing is held against a document because rules abstain on it.
+    On good documents a rule is held to be right more often than not; in other classes a prior of two votes stands in
+    where votes are few."""
+    kinds = sorted(decisive)
+    best = _em(patterns, n, kinds, rounds, True)
+    worth = (2 * patterns.shape[1] + 1) / 2 * np.log(max(n.sum(), 2))
+    while len(kinds) < patterns.shape[1]:
+        rest = [k for k in range(patterns.shape[1]) if k not in kinds and n @ (patterns[:, k] == -1)]
+        found = {k: _em(patterns, n, sorted([*kinds, k]), rounds, True) for k in rest}
+        top = max(rest, key=lambda k: found[k][0], default=None)
+        if top is None or found[top][0] - best[0] <= worth:
+            break
+        kinds, best = sorted([*kinds, top]), found[top]
+    _, share, fires, chance = _em(patterns, n, kinds, rounds, False, best[1:3])
+    return share[0], np.stack([share[1:] @ fires[1:] / share[1:].sum(), 1 - fires[0]]), chance[:, 0]
+
+
+def _em(patterns: np.ndarray, n: np.ndarray, kinds: list[int], rounds: int, silence: bool, start: tuple | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The log likelihood, the classes' shares, their chances of votes against, and each pattern's chance of each class.
+    silence: abstentions count, with a chance in each class. start: shares and chances of votes to begin with."""
     r = patterns.shape[1]
-    bad, good = (patterns == -1).astype(float), (patterns == 1).astype(float)
-    kinds = _kinds(bad, n)
+    bad, good, none = ((patterns == v).astype(float) for v in (-1, 1, 0))
     fires = np.vstack([np.full(r, 0.02), np.full(r, 0.5), (np.full((r, r), 0.05) + 0.85 * np.eye(r))[kinds]])
     share = np.r_[0.85, 0.05, np.full(len(kinds), 0.1 / max(1, len(kinds)))]
     share /= share.sum()
-    prior = 2 * fires[1:]
+    abstains = np.tile((n @ none + 1) / (n.sum() + 2), (len(share), 1))
+    before, usual = 2 * fires[1:], 2 * abstains[0]
     own = np.arange(len(kinds))
-    chance = _classes(bad, good, share, fires)
+    if start:
+        share, fires = start[0], start[1].copy()
+    chance, likely = _classes(bad, good, none, share, fires, abstains)
     for _ in range(rounds):
         weight = chance * n[:, None]
         share = (weight.sum(axis=0) + 1) / (n.sum() + len(share))
         hits, misses = weight.T @ bad, weight.T @ good
-        fires[1:] = (hits[1:] + prior) / (hits[1:] + misses[1:] + 2)
+        fires[1:] = (hits[1:] + before) / (hits[1:] + misses[1:] + 2)
         fires[0] = np.minimum((hits[0] + 1e-3) / (hits[0] + misses[0] + 1), 0.5)
         fires[own + 2, kinds] = np.maximum(fires[own + 2, kinds], 0.5)
-        new = _classes(bad, good, share, fires)
+        if silence:
+            abstains = (weight.T @ none + usual) / (weight.sum(axis=0)[:, None] + 2)
+        new, likely = _classes(bad, good, none, share, fires, abstains)
         moved, chance = np.abs(new - chance).max(initial=0), new
         if moved < 1e-9:
             break
-    return share[0], np.stack([share[1:] @ fires[1:] / share[1:].sum(), 1 - fires[0]]), chance[:, 0]
+    return float(n @ likely), share, fires, chance
 
 
-def _classes(bad: np.ndarray, good: np.ndarray, share: np.ndarray, fires: np.ndarray) -> np.ndarray:
-    """The chance of each class, the good one first, for each pattern of votes."""
-    fires = np.clip(fires, 1e-6, 1 - 1e-6)
-    log = np.log(share) + bad @ np.log(fires).T + good @ np.log1p(-fires).T
-    odds = np.exp(log - log.max(axis=1, keepdims=True, initial=-np.inf))
-    return odds / odds.sum(axis=1, keepdims=True)
+def _classes(bad: np.ndarray, good: np.ndarray, none: np.ndarray, share: np.ndarray, fires: np.ndarray, abstains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chance of each class, the good one first, for each pattern of votes; and each pattern's log likelihood."""
+    fires, abstains = np.clip(fires, 1e-6, 1 - 1e-6), np.clip(abstains, 1e-6, 1 - 1e-6)
+    log = np.log(share) + bad @ np.log(fires * (1 - abstains)).T + good @ np.log((1 - fires) * (1 - abstains)).T + none @ np.log(abstains).T
+    top = log.max(axis=1, keepdims=True, initial=-np.inf)
+    odds = np.exp(log - top)
+    total = odds.sum(axis=1, keepdims=True)
+    return odds / total, (np.log(total) + top)[:, 0]
 
 
 def judge(counts: DataFrame) -> DataFrame:

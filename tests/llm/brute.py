@@ -80,35 +80,35 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def posteriors(patterns, n, rounds=500):
-    """EM in loops: the chance of good for each pattern of votes that n documents have."""
+def _plain_em(patterns, n, kinds, rounds, silence, start=None):
+    """EM in loops: the log likelihood, and the chance of good for each pattern."""
     r, total = len(patterns[0]), sum(n)
-    kinds = []
-    for k in range(r):
-        against = sum(c for p, c in zip(patterns, n) if p[k] == -1)
-        alone = sum(c for p, c in zip(patterns, n) if p[k] == -1 and sum(v == -1 for v in p) == 1)
-        if against and 2 * alone >= against:
-            kinds.append(k)
     fires = [[0.02] * r, [0.5] * r] + [[0.9 if j == k else 0.05 for j in range(r)] for k in kinds]
     share = [0.85, 0.05] + [0.1 / len(kinds) for _ in kinds]
     share = [s / sum(share) for s in share]
     first = [list(f) for f in fires]
+    usual = [(sum(c for p, c in zip(patterns, n) if p[j] == 0) + 1) / (total + 2) for j in range(r)]
+    abstains = [list(usual) for _ in fires]
+    if start:
+        share, fires = list(start[0]), [list(f) for f in start[1]]
 
     def chances():
-        out = []
-        for p in patterns:
+        out, likely = [], 0.0
+        for p, c in zip(patterns, n):
             own = []
-            for s, f in zip(share, fires):
-                for v, x in zip(p, f):
+            for s, f, t in zip(share, fires, abstains):
+                for v, x, y in zip(p, f, t):
                     x = min(max(x, 1e-6), 1 - 1e-6)
-                    s *= x if v == -1 else 1 - x if v == 1 else 1
+                    s *= x * (1 - y) if v == -1 else (1 - x) * (1 - y) if v == 1 else y
                 own.append(s)
             out.append([x / sum(own) for x in own])
-        return out
+            likely += c * math.log(sum(own))
+        return out, likely
 
-    now = chances()
+    now, likely = chances()
     for _ in range(rounds):
-        share = [(sum(c * w[k] for c, w in zip(n, now)) + 1) / (total + len(share)) for k in range(len(share))]
+        held = [sum(c * w[k] for c, w in zip(n, now)) for k in range(len(share))]
+        share = [(h + 1) / (total + len(share)) for h in held]
         for k in range(len(fires)):
             for j in range(r):
                 hits = sum(c * w[k] for p, c, w in zip(patterns, n, now) if p[j] == -1)
@@ -117,12 +117,28 @@ def posteriors(patterns, n, rounds=500):
                     fires[k][j] = (hits + 2 * first[k][j]) / (hits + misses + 2)
                 else:
                     fires[k][j] = min((hits + 1e-3) / (hits + misses + 1), 0.5)
+                if silence:
+                    abstains[k][j] = (held[k] - hits - misses + 2 * usual[j]) / (held[k] + 2)
         for k, own in enumerate(kinds):
             fires[k + 2][own] = max(fires[k + 2][own], 0.5)
-        before, now = now, chances()
+        before = now
+        now, likely = chances()
         if max(abs(a - b) for x, y in zip(before, now) for a, b in zip(x, y)) < 1e-9:
             break
-    return [w[0] for w in now]
+    return likely, [w[0] for w in now], (share, fires)
+
+
+def posteriors(patterns, n, rounds=500):
+    """The chance of good for each pattern of votes that n documents have; kinds of junk are chosen one by one."""
+    r = len(patterns[0])
+    kinds, (best, _, state) = [], _plain_em(patterns, n, [], rounds, True)
+    while True:
+        rest = [k for k in range(r) if k not in kinds and any(p[k] == -1 for p in patterns)]
+        found = [(_plain_em(patterns, n, sorted(kinds + [k]), rounds, True)[0], -k) for k in rest]
+        if not found or max(found)[0] - best <= (2 * r + 1) / 2 * math.log(max(sum(n), 2)):
+            return _plain_em(patterns, n, kinds, rounds, False, state)[1]
+        kinds = sorted(kinds + [-max(found)[1]])
+        best, _, state = _plain_em(patterns, n, kinds, rounds, True)
 
 
 def kd_tree(units, shards, hash_bits):

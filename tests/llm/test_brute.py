@@ -297,18 +297,32 @@ def _votes(rng, chance, kind, abstain=0.0):
 
 
 def test_op8_em_finds_kinds_of_junk():
-    """Of four kinds of junk, each mostly found by a rule of its own."""
+    """Of four kinds of junk, each mostly found by a rule of its own, with other rules' errors as rare as on good documents:
+    votes alone can't tell these from errors, so the rules are named as decisive."""
     rng = np.random.default_rng(0)
     kind = rng.choice(5, 20_000, p=[0.8, 0.08, 0.06, 0.04, 0.02])
     chance = np.vstack([np.full(4, 0.002), np.full((4, 4), 0.05) + 0.85 * np.eye(4)])
     votes, n = np.unique(_votes(rng, chance, kind), axis=0, return_counts=True)
-    share, accuracy, good = quality_rules.fit(votes, n.astype(float))
+    share, accuracy, good = quality_rules.fit(votes, n.astype(float), decisive=range(4))
     assert abs(share - 0.8) < 0.03
     want = np.array([0.08, 0.06, 0.04, 0.02]) / 0.2 @ chance[1:]
     assert np.all(np.abs(accuracy[0] - want) < 0.08) and np.all(accuracy[1] > 0.97)
     assert np.all(good[(votes == 1).all(axis=1)] > 0.9)
 
 
+def test_op8_kinds_show_in_abstentions():
+    """One rule finds a tenth of all alone, and errs on one in a hundred of the rest; another rule abstains on its junk more
+    often than not. It is believed, another one, which errs on one in twenty and whose votes show nothing, isn't."""
+    rng = np.random.default_rng(2)
+    junk = rng.random(20_000) < 0.1
+    votes = _votes(rng, np.stack([[0.01, 0.05, 0.02, 0.02], [0.95, 0.05, 0.02, 0.02]]), junk.astype(int))
+    votes[rng.random(20_000) < np.where(junk, 0.7, 0.02), 2] = 0
+    patterns, of, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    good = quality_rules.fit(patterns, n.astype(float))[2][of]
+    assert (good[junk & (votes[:, 0] == -1)] < 0.5).mean() > 0.95
+    assert (good[~junk & (votes[:, 1] == -1) & (votes[:, 0] == 1)] > 0.5).mean() > 0.95
+
+
 NOISE, FOUND = np.array([0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.03]), np.array([0.55, 0.65, 0.55, 0.45, 0.55, 0.7, 0.55])
 
 
@@ -327,6 +341,19 @@ def test_op8_posterior_beats_all_must_pass(seed):
     assert wrong < 0.15 * all_must_pass and wrong <= best_count
 
 
+@pytest.mark.parametrize("share", [0.2, 0.1, 0.07, 0.05, 0.03, 0.02])
+@pytest.mark.parametrize("seed", range(3))
+def test_op8_however_rare_junk_is(seed, share):
+    """The same rules: errors aren't taken for kinds of junk where junk is rare, and the posterior decides no worse than
+    the best count of votes."""
+    rng = np.random.default_rng(seed)
+    junk = rng.random(20_000) < share
+    votes = _votes(rng, np.stack([NOISE, FOUND]), junk.astype(int), abstain=0.1)
+    patterns, of, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    wrong = ((quality_rules.fit(patterns, n.astype(float))[2] >= quality_rules.MIN_POSTERIOR)[of] == junk).sum()
+    assert wrong <= min((((votes == -1).sum(axis=1) < k) == junk).sum() for k in range(1, 8))
+
+
 def test_op8_em_against_a_plain_one():
     rng = np.random.default_rng(5)
     kind = rng.choice(3, 3000, p=[0.8, 0.15, 0.05])
