@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import sketches
 from ..operators.grouping import sessions
+from ..operators.ranking import ranks as ranked
+from ..operators.selection import quantiles
+from ..shared_folder import cut
 from ..tables import table
 from .relational import money
 
@@ -125,24 +129,6 @@ GROUP BY l_returnflag
 """
 
 
-def quantiles(values: DataFrame, by: str, value: str, places: list[tuple[str, float]]) -> DataFrame:
-    """Interpolated percentiles of each group, exactly. Values are counted first, so equal ones come together
-    before any window, and only a group's distinct values with their counts are ordered in one task."""
-    counted = values.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(by).orderBy(value)
-    up_to = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = counted.withColumn("_to", up_to).withColumn("_from", F.col("_to") - F.col("_n"))
-    numbered = numbered.withColumn("_all", F.sum("_n").over(Window.partitionBy(by)))
-
-    def at(share: float):
-        place = (F.col("_all") - 1) * F.lit(share)
-        inside = [F.when((p >= F.col("_from")) & (p < F.col("_to")), F.col(value)) for p in (F.floor(place), F.ceil(place))]
-        low, high = (F.max(x) for x in inside)
-        return low + (high - low) * F.max(place - F.floor(place))
-
-    return numbered.groupBy(by).agg(*(at(share).alias(name) for name, share in places))
-
-
 def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     facts = orders.groupBy("o_orderpriority").agg(
@@ -213,17 +199,12 @@ SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, count(DIST
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal"), F.col("c_custkey"))
-    by_segment = Window.partitionBy("c_nationkey").orderBy("c_mktsegment")
-    return table(spark, sf_dir, "customer").select(
-        "c_custkey",
-        F.row_number().over(w).cast("long").alias("n"),
-        F.rank().over(by_segment).cast("long").alias("r"),
-        F.dense_rank().over(by_segment).cast("long").alias("d"),
-        F.ntile(4).over(w).cast("long").alias("quarter"),
-        F.round(F.percent_rank().over(w), 9).alias("percent"),
-        F.round(F.cume_dist().over(w), 9).alias("share"),
-    )
+    """There are 25 nations, whatever the number of customers."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    by_balance = {"row_number": "n", "ntile": "quarter", "percent_rank": "percent", "cume_dist": "share"}
+    found = ranked(customers, ["c_nationkey"], ["c_acctbal", "c_custkey"], by_balance)
+    found = ranked(found, ["c_nationkey"], ["c_mktsegment"], {"rank": "r", "dense_rank": "d"}, ties=["c_custkey"])
+    return found.select("c_custkey", "n", "r", "d", "quarter", F.round("percent", 9).alias("percent"), F.round("share", 9).alias("share"))
 
 
 RANKS = """
@@ -324,6 +305,90 @@ def distinct_by_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 DISTINCT_BY_BITMAP = "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag"
 
 
+#: How far estimates from united sketches may be off: distinct values by share, ranks by share of rows.
+NEAR, RANK = 0.03, 0.02
+
+
+def _close(estimate, exact):
+    return F.abs(estimate - exact) <= NEAR * exact
+
+
+def united_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by flag and month are kept, then united by flag: the exact figures, and whether the sketches' come near."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("month", F.date_trunc("month", "l_shipdate"))
+    kept = cut(sketches.by_part(lines, ["l_returnflag", "month"], "l_orderkey", "l_extendedprice"))
+    whole = sketches.united(kept, ["l_returnflag"])
+    middle = F.kll_sketch_get_quantile_double("kll", F.lit(0.5))
+    whole = whole.select("l_returnflag", "n", F.hll_sketch_estimate("hll").alias("hll"), F.theta_sketch_estimate("theta").alias("theta"), middle.alias("middle"))
+    # Three flags: the estimates are broadcast to count the rows up to them.
+    exact = lines.join(F.broadcast(whole.select("l_returnflag", "middle")), "l_returnflag").groupBy("l_returnflag")
+    exact = exact.agg(F.count_distinct("l_orderkey").alias("orders"), F.avg((F.col("l_extendedprice") <= F.col("middle")).cast("double")).alias("up_to"))
+    return exact.join(whole, "l_returnflag").select(
+        "l_returnflag", "n", "orders", _close(F.col("hll"), F.col("orders")).alias("hll_near"), _close(F.col("theta"), F.col("orders")).alias("theta_near"),
+        (F.abs(F.col("up_to") - 0.5) <= RANK).alias("middle_near"),
+    )
+
+
+UNITED_SKETCHES = """
+SELECT l_returnflag, count(*) AS n, count(DISTINCT l_orderkey) AS orders, true AS hll_near, true AS theta_near, true AS middle_near
+FROM lineitem GROUP BY l_returnflag
+"""
+
+
+def sketch_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of two years, from one theta sketch a year: how many bought in both, the first only, either. The
+    exact figures, and whether the estimates come near (by NEAR of all in either)."""
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate")).filter("year IN (1996, 1997)")
+    years = orders.groupBy("year").agg(F.theta_sketch_agg("o_custkey", 14).alias("theta"))
+    pair = years.agg(*(F.any_value(F.when(F.col("year") == y, F.col("theta")), ignoreNulls=True).alias(f"y{y}") for y in (1996, 1997)))
+    guess = pair.select(*(c.alias(f"{n}_guess") for n, c in sketches.overlap(F.col("y1996"), F.col("y1997")).items()))
+    each = orders.groupBy("o_custkey").agg(F.bool_or(F.col("year") == 1996).alias("a"), F.bool_or(F.col("year") == 1997).alias("b"))
+    exact = each.agg(F.count_if(F.expr("a AND b")).alias("both"), F.count_if(F.expr("a AND NOT b")).alias("only"), F.count("*").alias("either"))
+    # One row each.
+    near = [(F.abs(F.col(f"{n}_guess") - F.col(n)) <= NEAR * F.col("either")).alias(f"{n}_near") for n in ("both", "only", "either")]
+    return exact.join(F.broadcast(guess)).select("both", "only", "either", *near)
+
+
+SKETCH_OVERLAP = """
+WITH c AS (SELECT o_custkey, bool_or(year(o_orderdate) = 1996) AS a, bool_or(year(o_orderdate) = 1997) AS b
+           FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1)
+SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only, count(*) AS either,
+       true AS both_near, true AS only_near, true AS either_near FROM c
+"""
+
+
+def count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each part from count-min sketches by flag, united: none is under the exact count, and few are far over."""
+    lines = table(spark, sf_dir, "lineitem")
+    kept = cut(sketches.count_min(lines, "l_partkey", ["l_returnflag"]))
+    exact = lines.groupBy("l_partkey").agg(F.count("*").alias("n"))
+    guess = sketches.estimated(exact, "l_partkey", kept)
+    rows = kept.filter("row = 0").agg(F.sum("n").alias("rows"))
+    over = F.col("estimate") - F.col("n")
+    both = exact.join(guess, "l_partkey").join(F.broadcast(rows))
+    found = both.agg(F.count("*").alias("parts"), F.count_if(over < 0).alias("under"), F.avg((over > 2.72 / sketches.WIDTH * F.col("rows")).cast("double")).alias("far"))
+    return found.select("parts", "under", (F.col("far") <= 0.01).alias("far_are_few"))
+
+
+COUNT_MIN = "SELECT count(DISTINCT l_partkey) AS parts, CAST(0 AS BIGINT) AS under, true AS far_are_few FROM lineitem"
+
+
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals of each status in a histogram of bounded size: its bins hold all rows, and its middle is near the median."""
+    orders = table(spark, sf_dir, "orders")
+    bins = orders.groupBy("o_orderstatus").agg(F.histogram_numeric("o_totalprice", F.lit(64)).alias("bins"), F.count("*").alias("n"))
+    total = F.aggregate("bins", F.lit(0.0), lambda a, b: a + b["y"])
+    half = F.aggregate("bins", F.struct(F.lit(0.0).alias("so_far"), F.lit(0.0).alias("at")), lambda a, b: F.when(a["so_far"] < F.col("n") / 2, F.struct((a["so_far"] + b["y"]).alias("so_far"), b["x"].alias("at"))).otherwise(a))
+    bins = bins.select("o_orderstatus", "n", (total == F.col("n")).alias("whole"), half["at"].alias("middle"))
+    # Three states: the estimates are broadcast.
+    share = F.avg((F.col("o_totalprice") <= F.col("middle")).cast("double"))
+    found = orders.join(F.broadcast(bins), "o_orderstatus").groupBy("o_orderstatus", "n", "whole").agg(share.alias("up_to"))
+    return found.select("o_orderstatus", "n", "whole", (F.abs(F.col("up_to") - 0.5) <= 0.05).alias("middle_near"))
+
+
+HISTOGRAM = "SELECT o_orderstatus, count(*) AS n, true AS whole, true AS middle_near FROM orders GROUP BY o_orderstatus"
+
+
 QUERIES = {
     "agg_group": (pricing, PRICING),
     "agg_distinct_filter_having": (distinct, DISTINCT),
@@ -339,6 +404,10 @@ QUERIES = {
     "agg_listagg": (listed, LISTED),
     "agg_bitmap_distinct": (distinct_by_bitmap, DISTINCT_BY_BITMAP),
     "agg_sketches": (approximations, None),
+    "agg_united_sketches": (united_sketches, UNITED_SKETCHES),
+    "agg_sketch_overlap": (sketch_overlap, SKETCH_OVERLAP),
+    "agg_count_min": (count_min, COUNT_MIN),
+    "agg_histogram": (histogram, HISTOGRAM),
     "window_ranks": (ranks, RANKS),
     "window_neighbours": (neighbours, NEIGHBOURS),
     "window_frames": (frames, FRAMES),

@@ -38,7 +38,7 @@ def test_sample_is_of_its_size(spark):
 
 
 def test_percentiles_of_ties_and_nulls(spark):
-    from brindle.plans.aggregates import quantiles
+    from brindle.operators.selection import quantiles
 
     rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 4.0), ("a", None), ("b", 7.0), ("c", None)], "k string, v double")
     got = {r.k: (r.low, r.mid, r.top) for r in quantiles(rows, "k", "v", [("low", 0.0), ("mid", 0.75), ("top", 1.0)]).collect()}
