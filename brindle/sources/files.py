@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-FORMATS = ("parquet", "orc", "json", "csv", "xml")
+#: text has one string column, a line a row.
+FORMATS = ("parquet", "orc", "json", "csv", "xml", "text")
 
 #: What each format needs so that a schema that is given comes back as it was written.
 _TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}

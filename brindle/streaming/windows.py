@@ -27,6 +27,19 @@ def tumbling(events: DataFrame, width: str, by: list[str], measures: dict[str, C
     return grouped.select(F.col("_window.start").alias("start"), F.col("_window.end").alias("end"), *by, *measures)
 
 
+def rolled_up(windowed: DataFrame, width: str, by: list[str], measures: dict[str, Column]) -> DataFrame:
+    """Measures of wider windows over rows of narrower ones, a second stateful operator on the same stream: a row of
+    hourly windows counts for the day that its hour ends in. The rows come from narrow_windows()."""
+    window = F.window(F.window_time("window"), width)
+    grouped = windowed.groupBy(window.alias("_window"), *by).agg(*(c.alias(n) for n, c in measures.items()))
+    return grouped.select(F.col("_window.start").alias("start"), F.col("_window.end").alias("end"), *by, *measures)
+
+
+def narrow_windows(events: DataFrame, width: str, by: list[str], measures: dict[str, Column], at: str = "ts") -> DataFrame:
+    """Measures of each window and key, with the window itself, so that rolled_up() can follow."""
+    return events.groupBy(F.window(at, width).alias("window"), *by).agg(*(c.alias(n) for n, c in measures.items()))
+
+
 def sessions(events: DataFrame, gap: str, by: list[str], measures: dict[str, Column], at: str = "ts") -> DataFrame:
     """Measures of each key's sessions: runs of events less than gap apart."""
     grouped = events.groupBy(F.session_window(at, gap).alias("_window"), *by).agg(*(c.alias(n) for n, c in measures.items()))
@@ -40,7 +53,8 @@ def first_of_each(events: DataFrame, by: list[str]) -> DataFrame:
 
 def within(left: DataFrame, right: DataFrame, on: Column, left_at: str, right_at: str, width: str, how: str = "inner") -> DataFrame:
     """Pairs where the right event is at or after the left one and less than width later. Both sides
-    need watermarks, so that state is dropped."""
+    need watermarks, so that state is dropped. how: inner, left_semi (left events that have one, once), or left, right,
+    full, where an event without partner comes once the watermark rules one out."""
     later = (F.col(right_at) >= F.col(left_at)) & (F.col(right_at) < F.col(left_at) + F.expr(f"INTERVAL {width}"))
     return left.join(right, on & later, how)
 
@@ -69,3 +83,74 @@ def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Totals(), outputStructType=f"key {kind}, n long, total double", outputMode="Update", timeMode="None"
     )
+
+
+class _Sessions(StatefulProcessor):
+    """Open sessions of one key, by their start, in a map; a timer closes each once the watermark has passed its end."""
+
+    def __init__(self, gap_ms: int) -> None:
+        self._gap = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getMapState("open", "start_us long", "last_us long, n long, most double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        held = {k[0]: tuple(v) for k, v in self._open.iterator()} if self._open.exists() else {}
+        before = dict(held)
+        for batch in rows:
+            # Runs of events within a gap of each other are one piece, whatever their number.
+            batch = pd.DataFrame({"at": batch["at_us"].to_numpy(), "value": batch["value"].to_numpy()}).sort_values("at")
+            run = (batch["at"].diff() >= self._gap * 1000).cumsum()
+            pieces = batch.groupby(run).agg(start=("at", "min"), last=("at", "max"), n=("at", "size"), most=("value", "max"))
+            for start, last, n, most in pieces.itertuples(index=False):
+                held = self._joined(held, int(start), (int(last), int(n), float(most)))
+        for start in before:
+            if held.get(start) != before[start]:
+                self._handle.deleteTimer(self._end(before[start][0]))
+                if start not in held:
+                    self._open.removeKey((start,))
+        for start, session in held.items():
+            if before.get(start) != session:
+                self._open.updateValue((start,), session)
+            self._handle.registerTimer(self._end(session[0]))
+        yield from ()
+
+    def _joined(self, held: dict, start: int, piece: tuple) -> dict:
+        """held with a piece, which may join several sessions to one."""
+        last, n, most = piece
+        rest = {}
+        for s, (e, m, top) in held.items():
+            if start - e < self._gap * 1000 and s - last < self._gap * 1000:
+                start, last, n, most = min(start, s), max(last, e), n + m, max(most, top)
+            else:
+                rest[s] = (e, m, top)
+        return rest | {start: (last, n, most)}
+
+    def _end(self, last_us: int) -> int:
+        return -(-last_us // 1000) + self._gap
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        closed = [(k[0], tuple(v)) for k, v in self._open.iterator() if self._end(v[0]) <= due]
+        for start, _ in closed:
+            self._open.removeKey((start,))
+        if closed:
+            yield pd.DataFrame(
+                {"key": [key[0]] * len(closed), "start_us": [s for s, _ in closed], "last_us": [v[0] for _, v in closed], "n": [v[1] for _, v in closed], "most": [v[2] for _, v in closed]}
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def timed_sessions(events: DataFrame, gap_seconds: int, key: str, value: str, at: str = "ts") -> DataFrame:
+    """key, start, last, n and most (of value) of each session, when the watermark passes its last event by the gap: state
+    kept by key, with timers of event time. Events in a batch may come in any order. State holds open sessions
+    only. Needs the RocksDB state store and a watermark on at."""
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(F.col(key).alias("key"), F.unix_micros(at).alias("at_us"), F.col(value).cast("double").alias("value"), F.col(at).alias("_at"))
+    closed = rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Sessions(gap_seconds * 1000), outputStructType=f"key {kind}, start_us long, last_us long, n long, most double", outputMode="Append", timeMode="EventTime"
+    )
+    return closed.select("key", F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("last_us").alias("last"), "n", "most")

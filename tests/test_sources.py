@@ -10,7 +10,7 @@ from brindle.sources import files
 SF = f"{DATA}/sf0.001"
 
 
-@pytest.mark.parametrize("fmt", files.FORMATS)
+@pytest.mark.parametrize("fmt", [f for f in files.FORMATS if f != "text"])
 def test_round_trip(spark, tmp_path, fmt):
     df = spark.read.parquet(f"{SF}/events.parquet").withColumn("event_type", F.nullif(F.col("event_type"), F.lit("click")))
     files.write(df, f"{tmp_path}/{fmt}", fmt)
@@ -58,3 +58,91 @@ def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     got = [r.c for r in df.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()]
     assert got[0] == pytest.approx(0.5**0.5) and got[1] is None
+
+
+def test_ledger_repeats_and_loses_nothing(spark, tmp_path):
+    """The last batch is done again, as after a crash between its commit to the ledger and Spark's own, and files of
+    attempts that never got to a commit lie about."""
+    import json
+    import os
+
+    from brindle.sources import ledger, replay
+
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "ts", "value")
+    replay.deliver(events, f"{tmp_path}/in", F.col("event_id") % 5)
+    home = str(tmp_path)
+
+    def write():
+        ledger.append(replay.stream(spark, f"{home}/in", events.schema), f"{home}/ledger", f"{home}/state").awaitTermination()
+
+    write()
+    manifests = sorted(os.listdir(f"{home}/ledger/commits"))
+    assert len(manifests) == 5
+    want = rows(events.columns, events.collect())
+    assert rows(events.columns, ledger.read(spark, f"{home}/ledger", events.schema).collect()) == want
+    last = max(int(n) for n in os.listdir(f"{home}/state/commits") if n.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{home}/state/commits/{name}"):
+            os.remove(f"{home}/state/commits/{name}")
+    (tmp_path / "ledger" / "data" / "orphan.arrow").write_bytes(b"of an attempt that failed")
+    files_before = {n: json.load(open(f"{home}/ledger/commits/{n}")) for n in manifests}
+    write()
+    assert last in {int(n) for n in os.listdir(f"{home}/state/commits") if n.isdigit()}
+    assert {n: json.load(open(f"{home}/ledger/commits/{n}")) for n in sorted(os.listdir(f"{home}/ledger/commits"))} == files_before
+    assert rows(events.columns, ledger.read(spark, f"{home}/ledger", events.schema).collect()) == want
+
+    def read():
+        stream = ledger.read_stream(spark, f"{home}/ledger", events.schema)
+        query = stream.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{home}/read")
+        query.start(f"{home}/rows").awaitTermination()
+        return rows(events.columns, spark.read.schema(events.schema).parquet(f"{home}/rows").select(*events.columns).collect())
+
+    assert read() == want
+    # More comes, and a reader that starts again goes on where it was.
+    more = events.limit(3).withColumn("event_id", F.col("event_id") + 1_000_000)
+    more.withColumn("_arrival", F.lit(9)).coalesce(1).write.mode("append").partitionBy("_arrival").parquet(f"{home}/in")
+    write()
+    assert read() == want + rows(events.columns, more.collect())
+
+
+def test_ledger_without_rows(spark, tmp_path):
+    from brindle.sources import ledger
+
+    assert ledger.read(spark, f"{tmp_path}/none", "a long").collect() == []
+
+
+def test_database_gets_filters_and_partitions(spark, tmp_path):
+    from brindle.plans.streams import _DERBY
+    from brindle.sources import jdbc
+
+    url = f"jdbc:derby:directory:{tmp_path}/db;create=true"
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    jdbc.write(orders, url, "orders", _DERBY)
+    back = jdbc.read(spark, url, "orders", _DERBY, "o_orderkey", 4)
+    assert back.rdd.getNumPartitions() == 4
+    assert rows(back.columns, back.collect()) == rows(orders.columns, orders.collect())
+    some = back.filter("o_totalprice > 200000").select("o_orderkey")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(O_TOTALPRICE), *GreaterThan(O_TOTALPRICE,200000.0)]" in plan or "GreaterThan(o_totalprice,200000.0)" in plan
+    assert some.count() == orders.filter("o_totalprice > 200000").count()
+    jdbc.write(orders.limit(0), url, "nothing", _DERBY)
+    assert jdbc.read(spark, url, "nothing", _DERBY, "o_orderkey").count() == 0
+
+
+def test_bucketed_query_has_no_shuffle(spark):
+    from brindle.plans.streams import bucketed_join
+
+    files.write_bucketed(spark.read.parquet(f"{SF}/orders.parquet"), "q_orders", ["o_orderkey"], 4)
+    files.write_bucketed(spark.read.parquet(f"{SF}/lineitem.parquet"), "q_lines", ["l_orderkey"], 4)
+    try:
+        plan = bucketed_join(spark, "q_lines", "q_orders")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan.replace("ReusedExchange", "").split("SortMergeJoin")[1]
+    finally:
+        for name in ("q_orders", "q_lines"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_text_lines(spark, tmp_path):
+    df = spark.createDataFrame([("a b",), ("",), ("é ,",)], "value string")
+    files.write(df, f"{tmp_path}/t", "text")
+    assert sorted(files.read(spark, f"{tmp_path}/t", "text").collect()) == sorted(df.collect())

@@ -90,3 +90,82 @@ def test_running_totals(events, tmp_path):
     want = {r.user_id: (r.n, r.total) for r in batch.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).collect()}
     assert {k: n for k, (n, _) in last.items()} == {k: n for k, (n, _) in want.items()}
     assert all(last[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+SF = f"{DATA}/sf0.001"
+
+
+@pytest.fixture
+def kept(monkeypatch):
+    """Folders of streams aren't deleted, and are listed."""
+    from brindle.plans import streams
+
+    held = []
+    monkeypatch.setattr(streams, "delete", lambda spark, path: held.append(path))
+    return held
+
+
+def _batches(home):
+    """Numbers of rows of the batches of a stream, from its checkpoint's offsets and commits."""
+    import os
+
+    return sorted(int(n) for n in os.listdir(f"{home.removeprefix('file:')}/state/commits") if n.isdigit())
+
+
+@pytest.mark.parametrize("name", ["tumbling", "sliding", "sessions", "late_data", "chained", "closed_sessions", "redelivered"])
+def test_streams_run_over_several_batches(spark, kept, name):
+    from brindle.plans import streams
+
+    getattr(streams, name)(spark, SF).count()
+    # Six arrivals of five days, two more of late ones; one after them without rows.
+    assert len(_batches(kept[0])) >= 6
+
+
+def test_late_events_are_lost_and_only_those(spark):
+    """There are late events that are dropped, and some that come an arrival late and aren't."""
+    from comparing import oracle
+
+    from brindle.plans import streams
+
+    got = {(r.start, r.event_type): r.n for r in streams.late_data(spark, SF).collect()}
+    names, plain = oracle(SF, streams.TUMBLING)
+    at = [names.index(c) for c in ("start", "event_type", "n")]
+    whole = {(r[at[0]], r[at[1]]): r[at[2]] for r in plain}
+    assert all(n <= whole[k] for k, n in got.items()) and sum(got.values()) < sum(whole.values())
+    _, rows = oracle(SF, f"{streams._KEPT} SELECT count(*) FILTER (mark IS NOT NULL AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark), count(*) FILTER (event_id % 13 = 0 AND event_id % 17 <> 0) FROM e JOIN w USING (batch)")
+    assert rows[0][0] > 0 and rows[0][1] > 0
+
+
+def test_folders_of_streams_go(spark):
+    import os
+
+    from brindle import shared_folder
+    from brindle.plans import streams
+
+    top = shared_folder.root(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    streams.with_table(spark, SF).count()
+    new = set(os.listdir(top)) - before
+    # What is left are checkpoints that results are read from.
+    assert all(n.startswith("rdd-") for n in new)
+
+
+def test_sessions_that_join(spark, tmp_path):
+    """A late event closes the gap between two open sessions; another key's timer is of no concern to it."""
+    from brindle.sources import replay
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    base = 1_704_067_200
+    rows = [  # seconds, user, value, arrival
+        (0, 1, 1.0, 0), (1700, 1, 2.0, 0), (5000, 1, 9.0, 0), (100, 2, 4.0, 0),
+        (3300, 1, 7.0, 1), (5100, 2, 1.0, 1), (5200, 2, 3.0, 1),
+        (90_000, 3, 0.5, 2), (90_001, 3, 0.25, 3),
+    ]
+    df = spark.createDataFrame(rows, "s long, user_id long, value double, a long").withColumn("ts", F.timestamp_seconds(F.col("s") + base))
+    n = replay.deliver(df.select("ts", "user_id", "value", "a"), f"{tmp_path}/in", F.col("a"))
+    assert n == 4
+    stream = windows.timed(replay.stream(spark, f"{tmp_path}/in", "ts timestamp, user_id long, value double, a long"), late="1 hour")
+    got = run(windows.timed_sessions(stream, 1800, "user_id", "value"), tmp_path / "state").collect()
+    found = sorted((r.key, r.start.timestamp() - base, r["last"].timestamp() - base, r.n, r.most) for r in got)
+    # 0, 1700, 3300 and 5000 are one session; user 3's is open.
+    assert found == [(1, 0, 5000, 4, 9.0), (2, 100, 100, 1, 4.0), (2, 5100, 5200, 2, 3.0)]
