@@ -2,8 +2,8 @@
 
 What is dealt out are units: all rows of equal texts together, or, of a group heavier than both the largest
 document and 1 / PIECES of a shard, pieces of at most about that size. Every node is split along its widest
-dimension (log of the size, then the metadata: numbers as they are, strings by the order of their first
-bytes; each scaled to the corpus, and a unit has the least value of its rows) at the weighted median, or the
+dimension (log of the size, then the metadata: numbers as they are, strings by their rank among the column's
+distinct ones, whatever they begin with; each scaled to the corpus, and a unit has the least value of its rows) at the weighted median, or the
 quantile that fits an odd number of shards, until there are as many leaves as shards, each of about the same
 bytes. The low part of each coordinate is a hash of the unit, so a median can cut through units of equal
 metadata, be they a third of all.
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..operators import ranges
 from .shared import cut
 
 LAW = "bytes"
@@ -42,6 +43,8 @@ VALUE_BITS, HASH_BITS = 20, 32
 PARTS = 1024
 #: Rows of small tables (heavy groups, nodes, parts) up to which they are sent to every task.
 SENT = 1 << 17
+#: Bytes of such a table's strings.
+SENT_BYTES = 16 << 20
 UNIT = ["_text", "text_crc32", "size", "_piece"]
 
 
@@ -49,14 +52,27 @@ def _small(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= SENT else rows
 
 
-def _number(docs: DataFrame, name: str) -> Column:
-    """A column's value as a number; of a string, its first six bytes."""
+def _is_number(docs: DataFrame, name: str) -> bool:
+    return isinstance(docs.schema[name].dataType, NumericType)
+
+
+def _value(docs: DataFrame, name: str) -> Column:
+    """A column's value as a number, or as a string to be ranked."""
     value = F.col(f"`{name}`")
-    if isinstance(docs.schema[name].dataType, NumericType):
-        number = value.cast("double")
-        return F.when(F.isnan(number), None).otherwise(number)
-    head = F.substring(value.cast("string").cast("binary"), 1, 6)
-    return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
+    if not _is_number(docs, name):
+        return value.cast("string")
+    number = value.cast("double")
+    return F.when(F.isnan(number), None).otherwise(number)
+
+
+def _by_rank(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a string column replaced by each value's rank among the distinct ones, found over range partitions."""
+    values = rows.select(name).filter(F.col(name).isNotNull()).distinct()
+    ordered = ranges.in_order(values.withColumn("_all", F.when(F.spark_partition_id() >= 0, 0)), ["_all"], [F.col(name)])
+    ranks = cut(ranges.numbered(ordered, ["_all"], "_rank").select(name, F.col("_rank").cast("double").alias("_rank")))
+    n, size = ranks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()
+    both = rows.join(F.broadcast(ranks) if n <= SENT and size <= SENT_BYTES else ranks, name, "left")
+    return both.select(*(F.col("_rank").alias(c) if c == name else F.col(c) for c in rows.columns))
 
 
 def rows_and_units(docs: DataFrame, shards: int | None, target_bytes: int | None, key: str, text: str, metadata: tuple[str, ...]) -> tuple[DataFrame, DataFrame, int]:
@@ -68,9 +84,13 @@ def rows_and_units(docs: DataFrame, shards: int | None, target_bytes: int | None
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.xxhash64(body).alias("_text"),
-        *(_number(docs, m).alias(f"_m{i}") for i, m in enumerate(metadata)),
+        *(_value(docs, m).alias(f"_m{i}") for i, m in enumerate(metadata)),
     )
     rows = cut(rows)
+    strings = [f"_m{i}" for i, m in enumerate(metadata) if not _is_number(docs, m)]
+    for name in strings:
+        rows = _by_rank(rows, name)
+    rows = cut(rows) if strings else rows
     values = {"_d0": F.log2(F.col("size").cast("double"))} | {f"_d{i + 1}": F.col(f"_m{i}") for i in range(len(metadata))}
     ends = [f(v).alias(f"{n}{d}") for d, v in values.items() for n, f in (("min", F.min), ("max", F.max))]
     facts = rows.agg(F.sum("size").alias("total"), F.max("size").alias("largest"), *ends).first()
