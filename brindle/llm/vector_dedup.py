@@ -10,10 +10,16 @@ Passes and window follow each label's density, so that a pair of the least cosin
 MISS at most. With squared distances d of the label's vectors from its mean (their lower tenth), such a pair
 has the angle t = arccos(1 - (1 - least) / d) as seen from the mean, and shares one hash with chance
 1 - t / pi. It meets where it shares so many first hashes that no more than a window of vectors share them;
-one order made beforehand tells how many that are for all but CROWDED of the label's vectors, be they alike
-in all directions or in dense clusters. Of the windows from 2 ** LEAST_WINDOW to 2 ** MOST_WINDOW the one is
-taken whose passes, as many as bring the chance of never meeting below MISS, compare least. So dense labels
-take more passes, and a label of up to one window is compared whole, in one.
+PROFILED orders made beforehand tell how many that are for all but CROWDED of the label's vectors. Of the windows
+from 2 ** LEAST_WINDOW to 2 ** MOST_WINDOW the one is taken whose passes, as many as bring the chance of never
+meeting below MISS, compare least. So dense labels take more passes, and a label of up to one window is
+compared whole, in one.
+
+A dense cluster that is a small part of its label shares more hashes than that. So vectors whose first hashes
+are shared with more than a window in over a quarter of the passes (of which there are a third more then) are
+a label of their own, with a mean, a density and passes of their own, and so on with what is still crowded there.
+A pair misses these only if either vector is in a window often enough to meet the other there. What doesn't
+thin out so, such as vectors that differ by rounding only, is compared whole, in cells of tiles.
 
 Ranks in an order are counted over all of its partitions, and the vectors dealt out in blocks of ranks
 that take the window before them along, so what is compared depends on no partition's bounds.
@@ -50,6 +56,10 @@ LEAST_WINDOW, MOST_WINDOW, SIGNS = 7, 12, 64
 WINDOWS = range(LEAST_WINDOW, MOST_WINDOW + 1)
 #: Numbers of first hashes that are looked at, and the share of vectors that may share them with too many.
 DEPTHS, CROWDED = range(4, SIGNS + 1, 4), 0.05
+#: Orders made beforehand.
+PROFILED = 4
+#: Levels of crowded vectors that are ordered anew; on the last one, or where over half of them stay, all pairs are compared.
+LEVELS = 6
 #: Ranks of a block, in windows.
 BLOCK = 4
 #: Vectors of a component's tile: at least LEAST_TILE while it has under SPREAD tiles, then up to TILE.
@@ -61,19 +71,25 @@ SENT_BYTES, SENT_ROWS = 16 << 20, 1 << 16
 SEED = 20
 
 
-def passes(n: int, spread: float, crowded: dict[int, dict[int, int]], least: float) -> tuple[int, int]:
-    """The number of passes and the window for n vectors whose squared distance from their mean is spread.
-    crowded: for each number of first hashes and each window's log2, the vectors that share so many hashes
-    with more vectors than the window."""
+def passes(n: int, spread: float, crowded: dict[int, dict[int, int]], least: float) -> tuple[int, int, int, int]:
+    """The number of passes and the window for n vectors whose squared distance from their mean is spread, the hashes
+    that a pair should share to meet, and how many vectors share so many with more than the window. crowded: for
+    each number of first hashes and each window's log2, the vectors that share so many hashes with more vectors
+    than the window."""
     angle = math.acos(max(-1.0, min(1.0, 1 - (1 - least) / max(spread, 1e-12))))
     same = max(1 - angle / math.pi, 1e-3)
+    whole = next((w for w in WINDOWS if n <= 1 << w), None)
+    if whole:
+        return 1, 1 << whole, 0, 0
     best = None
     for w in WINDOWS:
-        depth = 0 if n <= 1 << w else next((d for d in sorted(crowded) if crowded[d][w] <= CROWDED * n), SIGNS)
-        meet = same**depth
-        k = 1 if meet >= 1 else math.ceil(math.log(MISS) / math.log1p(-meet))
+        depth = next((d for d in sorted(crowded) if crowded[d][w] <= CROWDED * n), SIGNS)
+        over, meet = crowded[depth][w], same**depth
+        k = math.ceil(math.log(MISS) / math.log1p(-meet))
+        if over:
+            k = math.ceil(k * 4 / 3)
         if best is None or k * ((1 << w) + STEP) < best[0] * (best[1] + STEP):
-            best = k, 1 << w
+            best = k, 1 << w, depth, over
     return best
 
 
@@ -162,7 +178,7 @@ def _distances(single: bool):
     return run
 
 
-def _orders(single: bool):
+def _orders(single: bool, level: int):
     """A row for each vector and pass, with its place in the order as a number."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +187,7 @@ def _orders(single: bool):
                 n = part.column("passes").to_numpy()
                 for k in range(int(n.max(initial=0))):
                     at = np.flatnonzero(n > k)
-                    planes = np.random.default_rng([SEED, k, vectors.shape[1]]).standard_normal((vectors.shape[1], SIGNS))
+                    planes = np.random.default_rng([SEED, k, vectors.shape[1], *[level] * (level > 0)]).standard_normal((vectors.shape[1], SIGNS))
                     signs = np.packbits(vectors[at] @ planes > 0, axis=1)
                     # As a signed number in the same order.
                     order = signs.view(">u8").astype(np.uint64)[:, 0] ^ np.uint64(1 << 63)
@@ -211,13 +227,43 @@ def _windows(least: float, single: bool):
                 gap = rank[x, None] - rank[None, y]
                 found, near = _close(low, vectors, x, y, (gap > 0) & (gap <= window), least)
                 for k, links in zip((found + at).tolist(), near, strict=True):
-                    to = np.flatnonzero(links) + y.start
-                    parts, first = np.unique(comp[to], return_index=True)
-                    for part, other in zip(parts.tolist(), to[first].tolist(), strict=True):
-                        if part != comp[k]:
-                            comp[comp == part] = comp[k]
-                            a.append(k)
-                            b.append(other)
+                    others = _connected(comp, k, np.flatnonzero(links) + y.start)
+                    a += [k] * len(others)
+                    b += others
+            if a:
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
+
+    return run
+
+
+def _connected(comp: np.ndarray, k: int, to: np.ndarray) -> list[int]:
+    """Some of to, one for each component that k isn't in yet; comp then has them in k's."""
+    parts, first = np.unique(comp[to], return_index=True)
+    found = []
+    for part, other in zip(parts.tolist(), to[first].tolist(), strict=True):
+        if part != comp[k]:
+            comp[comp == part] = comp[k]
+            found.append(other)
+    return found
+
+
+def _cells(least: float, single: bool):
+    """Of each cell: links that connect what all links in it connect."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches.groups(stream, ["component", "i", "j"]):
+            rows = table.combine_chunks().to_batches()[0]
+            node, vectors = rows.column("node"), _matrix(rows.column("raw"), single)
+            low, comp = vectors.astype(np.float32), np.arange(len(vectors))
+            a, b = [], []
+            for at in range(0, len(vectors), STEP):
+                x, y = slice(at, min(at + STEP, len(vectors))), slice(0, min(at + STEP, len(vectors)))
+                own = np.arange(y.start, y.stop) < np.arange(x.start, x.stop)[:, None]
+                found, near = _close(low, vectors, x, y, own, least)
+                for k, links in zip((found + at).tolist(), near, strict=True):
+                    others = _connected(comp, k, np.flatnonzero(links))
+                    a += [k] * len(others)
+                    b += others
             if a:
                 yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
 
@@ -255,9 +301,9 @@ def _small(rows: DataFrame, bound: int = SENT_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= bound else rows
 
 
-def _grouped(classes: DataFrame, least: float, single: bool) -> tuple[DataFrame, DataFrame]:
+def _grouped(classes: DataFrame, least: float, single: bool, level: int) -> tuple[DataFrame, DataFrame]:
     """The classes that have another to compare with, with their group (of a label and length) and its mean;
-    and each group's number of passes and window."""
+    and each group's number of passes, window, hashes to share and crowded vectors."""
     sizes = classes.groupBy("label", F.length("raw").alias("length")).agg(F.count("*").alias("n")).filter("n > 1")
     groups = cut(sizes.withColumn("group", F.monotonically_increasing_id()))
     rows = classes.select("label", "node", "raw", F.length("raw").alias("length")).join(_small(groups.drop("n")), ["label", "length"]).select("group", "node", "raw")
@@ -276,50 +322,92 @@ def _grouped(classes: DataFrame, least: float, single: bool) -> tuple[DataFrame,
 
     kind = rows.schema["node"].dataType.simpleString()
     rows = cut(rows.select("group", "node", "raw", "mean").mapInArrow(packed, f"group long, node {kind}, raw binary, mean binary"))
-    spread = rows.mapInArrow(_distances(single), "group long, d double").groupBy("group").agg(F.percentile_approx("d", 0.1, 1000).alias("spread"))
-
     def chosen(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            crowded = [{r["depth"]: {w: r[f"w{w}"] for w in WINDOWS} for r in own} for own in batch.column("profile").to_pylist()]
+            profiles = [own or [] for own in batch.column("profile").to_pylist()]
+            crowded = [{r["depth"]: {w: -(-r[f"w{w}"] // PROFILED) for w in WINDOWS} for r in own} for own in profiles]
             facts = zip(batch.column("n").to_pylist(), batch.column("spread").to_pylist(), crowded, strict=True)
-            found = [passes(n, d, own, least) for n, d, own in facts]
+            found = [passes(n, d or 0.0, own, least) for n, d, own in facts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("group"), pa.array([k for k, _ in found], pa.int32()), pa.array([w for _, w in found], pa.int32())],
-                names=["group", "passes", "window"],
+                [batch.column("group"), *(pa.array(v, pa.int32()) for v in list(zip(*found)) or [()] * 4)], names=["group", "passes", "window", "depth", "over"]
             )
 
-    order = rows.withColumn("passes", F.lit(1)).mapInArrow(_orders(single), f"group long, pass int, order long, node {kind}")
+    # What one window holds needs no profile.
+    large = cut(groups.filter(F.col("n") > 1 << MOST_WINDOW).select("group"))
+    if not large.count():
+        facts = groups.select("group", "n", F.lit(None).cast("double").alias("spread"), F.lit(None).cast("array<struct<depth:int>>").alias("profile"))
+        return rows, cut(facts.mapInArrow(chosen, "group long, passes int, window int, depth int, over int"))
+    some = rows.join(_small(large), "group")
+    spread = some.mapInArrow(_distances(single), "group long, d double").groupBy("group").agg(F.percentile_approx("d", 0.1, 1000).alias("spread"))
+    order = some.withColumn("passes", F.lit(PROFILED)).mapInArrow(_orders(single, level), f"group long, pass int, order long, node {kind}")
     first = F.array(*(F.struct(F.lit(d).alias("depth"), F.shiftright("order", 64 - d).alias("prefix")) for d in DEPTHS))
-    shared = order.select("group", F.explode(first).alias("first")).groupBy("group", "first").agg(F.count("*").alias("m"))
+    shared = order.select("group", "pass", F.explode(first).alias("first")).groupBy("group", "pass", "first").agg(F.count("*").alias("m"))
     over = [F.sum(F.when(F.col("m") > 1 << w, F.col("m")).otherwise(0)).alias(f"w{w}") for w in WINDOWS]
     crowded = shared.groupBy("group", "first.depth").agg(*over)
     # len(DEPTHS) rows a group.
     profile = crowded.groupBy("group").agg(F.collect_list(F.struct("depth", *(f"w{w}" for w in WINDOWS))).alias("profile"))
-    facts = spread.join(groups.select("group", "n"), "group").join(profile, "group").select("group", "n", "spread", "profile")
-    return rows, cut(facts.mapInArrow(chosen, "group long, passes int, window int"))
+    facts = groups.select("group", "n").join(spread, "group", "left").join(profile, "group", "left").select("group", "n", "spread", "profile")
+    return rows, cut(facts.mapInArrow(chosen, "group long, passes int, window int, depth int, over int"))
 
 
-def _linked(classes: DataFrame, least: float, single: bool) -> DataFrame:
+def _linked(classes: DataFrame, least: float, single: bool, level: int = 0) -> DataFrame:
     """Links a, b between classes' nodes that the passes find, as many as connect what they connect."""
     kind = classes.schema["node"].dataType.simpleString()
-    rows, facts = _grouped(classes, least, single)
+    rows, facts = _grouped(classes, least, single, level)
     facts = _small(facts)
     orders = rows.join(facts, "group").select("group", "node", "raw", "mean", "passes")
-    orders = orders.mapInArrow(_orders(single), f"group long, pass int, order long, node {kind}")
+    orders = orders.mapInArrow(_orders(single, level), f"group long, pass int, order long, node {kind}")
     sort = ["group", "pass", "order", "node"]
     ordered = orders.repartitionByRange(*sort).sortWithinPartitions(*sort)
     # Numbers go up within a partition, whose own number is in the upper bits.
-    numbered = cut(ordered.select("group", "pass", "node", F.monotonically_increasing_id().alias("number"))).withColumn("part", F.expr("number >> 33"))
-    pieces = numbered.groupBy("group", "pass", "part").agg(F.min("number").alias("first"), F.count("*").alias("rows"))
+    numbered = cut(ordered.select("group", "pass", "order", "node", F.monotonically_increasing_id().alias("number")))
+    ranked = numbered.drop("order").withColumn("part", F.expr("number >> 33"))
+    pieces = ranked.groupBy("group", "pass", "part").agg(F.min("number").alias("first"), F.count("*").alias("rows"))
     before = Window.partitionBy("group", "pass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = cut(pieces.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).drop("first", "rows"))
-    ranked = numbered.join(_small(pieces), ["group", "pass", "part"]).join(facts.select("group", "window"), "group")
+    ranked = ranked.join(_small(pieces), ["group", "pass", "part"]).join(facts.select("group", "window"), "group")
     width = F.col("window") * BLOCK
     ranked = ranked.withColumn("rank", F.col("number") + F.col("start"))
     last = F.floor((F.col("rank") + F.col("window")) / width)
     blocks = ranked.select("group", "pass", "node", "rank", "window", F.explode(F.sequence(F.floor(F.col("rank") / width), last)).alias("block"))
     own = blocks.join(rows.select("node", "raw"), "node").repartition("group", "pass", "block").sortWithinPartitions("group", "pass", "block", "rank")
-    return own.mapInArrow(_windows(least, single), f"a {kind}, b {kind}")
+    links = own.mapInArrow(_windows(least, single), f"a {kind}, b {kind}")
+    full = facts.filter("over > 0")
+    if not full.limit(1).count():
+        return links
+    left = cut(_crowded(numbered, full))
+    n = left.count()
+    if not n:
+        return links
+    again = cut(classes.join(left, "node", "left_semi"))
+    if level + 1 >= LEVELS or 2 * n > rows.count():
+        return links.unionByName(_all_pairs(again, least, single))
+    return links.unionByName(_linked(again, least, single, level + 1))
+
+
+def _crowded(numbered: DataFrame, full: DataFrame) -> DataFrame:
+    """The nodes of groups of full whose first hashes are shared with more than the window in over a quarter of the
+    passes."""
+    prefix = F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftright(order, 64 - depth)"))
+    each = numbered.join(F.broadcast(full) if full.count() <= SENT_ROWS else full, "group")
+    each = each.select("group", "pass", "node", "passes", "window", prefix.alias("prefix"))
+    shared = each.groupBy("group", "pass", "prefix", "window").agg(F.count("*").alias("m")).filter("m > window")
+    # Each of these has more than a window of vectors, so there are few.
+    hits = each.join(_small(cut(shared.select("group", "pass", "prefix"))), ["group", "pass", "prefix"])
+    return hits.groupBy("node", "passes").agg(F.count("*").alias("m")).filter("4 * m > passes").select("node")
+
+
+def _all_pairs(classes: DataFrame, least: float, single: bool) -> DataFrame:
+    """Links between all classes of equal labels and lengths: two tiles meet in a cell, whose task sends on what connects."""
+    kind = classes.schema["node"].dataType.simpleString()
+    sizes = classes.groupBy("label", F.length("raw").alias("length")).agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = cut(sizes.withColumn("component", F.monotonically_increasing_id()))
+    tiles = F.ceil(F.col("n") / F.lit(LEAST_TILE)).cast("int")
+    tiled = classes.withColumn("length", F.length("raw")).join(sizes.withColumn("tiles", tiles), ["label", "length"])
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cells = tiled.select("component", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j"), "node", "raw")
+    cells = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return cells.mapInArrow(_cells(least, single), f"a {kind}, b {kind}")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98) -> DataFrame:

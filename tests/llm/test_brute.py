@@ -213,6 +213,19 @@ def test_op6_against_a_plain_tree(spark, shards, target_bytes):
     assert most <= 2 * max(max(r.size for r in rows.collect()), sum(w for _, w, _ in at) / n / sharding.PIECES)
 
 
+def test_op6_strings_that_begin_alike(spark):
+    """Sources that are URLs: their ranks are coordinates, and the tree splits on them."""
+    names = [f"https://common-crawl.example.org/{k:03d}" for k in range(40)]
+    docs = spark.createDataFrame([(i, f"text {i:04d}", None if i % 41 == 40 else names[i % 41], "en") for i in range(820)], "doc_id long, text string, source string, lang string")
+    rows, units, _ = sharding.rows_and_units(docs, 8, None, "doc_id", "text", ("lang", "source"))
+    assert {r["_key"]: r["_m1"] for r in rows.collect()} == {i: None if i % 41 == 40 else float(i % 41) for i in range(820)}
+    of = {r.doc_id: r.shard for r in sharding.shard(docs, shards=8).collect()}
+    spread = defaultdict(set)
+    for i, shard in of.items():
+        spread[i % 41].add(shard)
+    assert sum(len(s) == 1 for s in spread.values()) >= 20 and max(map(len, spread.values())) <= 4
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, name):
     same(queries()[name](spark, SF), SF, oracle_sql()[name])
@@ -426,6 +439,64 @@ def test_op9_on_a_dense_label(spark):
     assert got == {i: (n[i], c) for i, c in component.items()}
 
 
+def test_op9_on_a_dense_part_of_a_label(spark):
+    """A cluster of 4.9% of a label, with a pair planted at 0.981 for each third vector of it, among unrelated ones: it is
+    crowded in the label's passes and has passes of its own."""
+    from brindle.llm import vector_dedup
+
+    rng = np.random.default_rng(6)
+
+    def unit(vectors):
+        return vectors / np.linalg.norm(vectors, axis=1)[:, None]
+
+    def near(vectors, cosine):
+        noise = rng.standard_normal(vectors.shape)
+        noise -= (noise * vectors).sum(axis=1)[:, None] * vectors
+        return cosine * vectors + np.sqrt(1 - cosine**2) * unit(noise)
+
+    cluster = near(np.repeat(unit(rng.standard_normal((1, 128))), 220, axis=0), np.sqrt(0.965))
+    both = np.concatenate([cluster, near(cluster[:73], 0.981), unit(rng.standard_normal((5700, 128)))])
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    n, component = _links_of(table.collect())
+    assert sum(n.values()) >= 140
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(table).collect()}
+    assert got == {i: (n[i], c) for i, c in component.items()}
+
+
+def test_op9_compares_the_rest_whole(spark):
+    """What doesn't thin out: links of cells connect what all links connect, in tiles of several."""
+    from brindle.llm import vector_dedup
+    from brindle.llm.graph import components
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((900, 16))
+    both = np.concatenate([base, base + 0.03 * rng.standard_normal(base.shape), base[:400] + 0.05 * rng.standard_normal((400, 16))])
+    rows = [(i, i % 2 if i < 900 else (i - 900) % 900 % 2, v.tobytes()) for i, v in enumerate(both)]
+    table = spark.createDataFrame(rows, "node long, label int, raw binary")
+    got = {r.node: r.component for r in components(vector_dedup._all_pairs(table, 0.98, False)).collect()}
+    units = both / np.linalg.norm(both, axis=1)[:, None]
+    labels = np.array([r[1] for r in rows])
+    links = [(int(a), int(b)) for a, b in np.argwhere(np.triu((units @ units.T >= 0.98) & (labels[:, None] == labels), 1))]
+    want = brute.smallest_reachable(range(len(both)), links)
+    assert got == {i: c for i, c in want.items() if any(i in pair for pair in links)}
+
+
+def test_op9_crowded_vectors(spark):
+    """Those that share their first hashes with more than the window in over a quarter of the passes."""
+    from brindle.llm import vector_dedup
+
+    rows = []
+    for p in range(8):
+        for node in range(60):
+            crowd = node < 30 and (p < 3 or node < 5)
+            rows.append((7, p, 1 << 61 if crowd else node << 55, node))
+    numbered = spark.createDataFrame(rows, "group long, pass int, order long, node long")
+    facts = spark.createDataFrame([(7, 8, 4, 9, 1)], "group long, passes int, window int, depth int, over int")
+    assert {r.node for r in vector_dedup._crowded(numbered, facts).collect()} == set(range(30))
+    wide = facts.withColumn("window", F.lit(40))
+    assert vector_dedup._crowded(numbered, wide).count() == 0
+
+
 def test_op10(spark, texts):
     want = {i: (n, n - len(kept), brute.sha(" ".join(kept))) for i, (n, kept) in brute.substring(texts).items()}
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in result(spark, "op10")} == want
