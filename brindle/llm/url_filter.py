@@ -5,7 +5,8 @@ path are cut into n-grams of their own, hashed into FEATURES places; every URL i
 built-in functions and the fitted model, row by row, without a shuffle.
 
 Defined results: a URL that is null or has no "://" has an empty host and path, no rule, and the
-classifier's verdict on nothing. Repeated rows are judged alike. An empty table gives none. Input
+classifier's verdict on nothing. Of equally long rules that fit that of the longer host counts, of those the
+last one; URLs of any length are cut into n-grams whole. Repeated rows are judged alike. An empty table gives none. Input
 columns named like a result's are replaced.
 """
 
