@@ -305,8 +305,9 @@ def distinct_by_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 DISTINCT_BY_BITMAP = "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag"
 
 
-#: How far estimates from united sketches may be off: distinct values by share, ranks by share of rows.
-NEAR, RANK = 0.03, 0.02
+#: How far estimates from united sketches may be off: distinct values by share (their standard error is 0.008), ranks by
+#: share of rows (0.0165 in 99 of 100 cases; KLL sketches toss coins).
+NEAR, RANK = 0.03, 0.035
 
 
 def _close(estimate, exact):
