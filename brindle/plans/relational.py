@@ -171,6 +171,21 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') a ON a.user_id
 """
 
 
+def next_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the same user's next click, if it comes within a day."""
+    events = table(spark, sf_dir, "events")
+    clicks = events.filter("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
+    buys = events.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    return as_of(buys, clicks, ["user_id"], "ts", ["click_id"], forward=True, tolerance=86_400)
+
+
+NEXT_CLICK = """
+SELECT b.user_id, b.ts, b.event_id, CASE WHEN a.ts <= b.ts + INTERVAL 1 DAY THEN a.event_id END AS click_id
+FROM (SELECT * FROM events WHERE event_type = 'purchase') b
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') a ON a.user_id = b.user_id AND a.ts >= b.ts
+"""
+
+
 def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three dearest orders of each customer."""
     order = [F.col("o_totalprice").desc(), F.col("o_orderkey")]
@@ -322,6 +337,7 @@ QUERIES = {
     "join_scalar_subquery": (above_average, ABOVE_AVERAGE),
     "join_interval": (theta, THETA),
     "join_as_of": (last_click, LAST_CLICK),
+    "join_as_of_forward": (next_click, NEXT_CLICK),
     "top_k_by_group": (top_orders, TOP_ORDERS),
     "sort_offset_limit": (page_of_orders, PAGE_OF_ORDERS),
     "sort_nulls_last": (nulls_last, NULLS_LAST),

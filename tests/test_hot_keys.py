@@ -64,10 +64,12 @@ def test_ranks_of_ties_only_and_of_nothing(spread):
         ranks(df, ["g"], ["v"], {"median": "m"})
 
 
-def _as_of(left, right, strict):
-    out = Counter()
+def _as_of(left, right, strict, forward=False, tolerance=None):
+    out, sign = Counter(), -1 if forward else 1
     for k, t, i in left:
-        fits = [(s, v) for g, s, v in right if None not in (k, t, g, s) and g == k and (s < t if strict else s <= t)]
+        fits = [(sign * s, v) for g, s, v in right if None not in (k, t, g, s) and g == k and (sign * s < sign * t or s == t and not strict)]
+        if fits and tolerance is not None and abs(t - sign * max(fits)[0]) > tolerance:
+            fits = []
         out[k, t, i, max(fits)[1] if fits else None] += 1
     return out
 
@@ -82,8 +84,9 @@ def test_as_of_over_buckets(spread, strict, width):
     right = [(rng.choice(keys), rng.choice([None, *range(-20, 60), 150]), i) for i in range(120)]
     a = spread.createDataFrame(left, "k string, t long, i long")
     b = spread.createDataFrame(right, "k string, t long, v long")
-    got = as_of(a, b, ["k"], "t", ["v"], strict, width)
-    assert Counter(map(tuple, got.collect())) == _as_of(left, right, strict)
+    for forward, tolerance in ((False, None), (True, None), (True, 5), (False, 0)):
+        got = as_of(a, b, ["k"], "t", ["v"], strict, width, forward, tolerance)
+        assert Counter(map(tuple, got.collect())) == _as_of(left, right, strict, forward, tolerance), (forward, tolerance)
     none = as_of(a, b.limit(0), ["k"], "t", ["v"], strict, width)
     assert none.filter("v IS NOT NULL").count() == 0 and none.count() == len(left)
 
