@@ -222,5 +222,5 @@ def test_pipeline_keeps_columns_of_any_name(spark):
 
 
 def test_queries_are_registered():
-    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 14)}
     assert DATA
