@@ -162,8 +162,9 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), URL_RULES, model).count() == 0
 
 
-# Sites whose host is in no labelled URL; those of the second part are words of their own.
-HELD_OUT = {
+# Sites whose host is in no labelled URL as such. Labels with like words were added after these had been chosen, so they
+# show what was learned and are no held-out set: on hosts chosen by others recall is far lower (README).
+LIKE_LABELS = {
     "block": ("pokerstars-bonus", "vegas-casino-club", "live-betting-odds", "adultfriend-dating", "camgirls-xxx", "pornhd-tube", "adserver-click", "tracking-pixel-ads",
               "link-spam-farm", "viagra-pills-shop", "keygen-cracks", "instant-payday-loan", "wetten-bonus", "casino-bonus-gratuit", "apuestas-casino")
     + ("slotmachines", "pharmacies-med", "sexcams", "pornos", "clicktrack", "jackpotslots", "torrent-crack", "webcamsex"),
@@ -173,11 +174,11 @@ HELD_OUT = {
 }
 
 
-def test_url_classifier_on_held_out_urls(spark):
+def test_url_classifier_on_hosts_like_the_labels(spark):
     model = url_filter.train(url_filter.default_labels(spark))
     known = " ".join(url_filter.BLOCKED_HOSTS + url_filter.ALLOWED_HOSTS)
-    urls = [(v, f"https://{p}{h}.other.org/{path}") for v, hosts in HELD_OUT.items() for h in hosts for p in ("", "www.") for path in ("en/17", "de/40123.html", "")]
-    assert not any(h in known for hosts in HELD_OUT.values() for h in hosts)
+    urls = [(v, f"https://{p}{h}.other.org/{path}") for v, hosts in LIKE_LABELS.items() for h in hosts for p in ("", "www.") for path in ("en/17", "de/40123.html", "")]
+    assert not any(h in known for hosts in LIKE_LABELS.values() for h in hosts)
     found = url_filter.judge(spark.createDataFrame(urls, "truth string, url string"), [], model).groupBy("truth", "verdict").count().collect()
     n = {(r.truth, r.verdict): r["count"] for r in found}
     right = n["block", "block"]
