@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,71 +87,84 @@ def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
 
 
 class _Sessions(StatefulProcessor):
-    """Open sessions of one key, by their start, in a map; a timer closes each once the watermark has passed its end."""
+    """Open sessions of a group of keys, as columns of one value; a timer at the first of their ends closes those that the
+    watermark has passed. A call reads and writes the value once, however many keys have events."""
 
-    def __init__(self, gap_ms: int) -> None:
-        self._gap = gap_ms
+    def __init__(self, gap_ms: int, kind: str) -> None:
+        self._gap, self._kind = gap_ms, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getMapState("open", "start_us long", "last_us long, n long, most double")
+        self._open = handle.getValueState("open", f"key array<{self._kind}>, start_us array<long>, last_us array<long>, n array<long>, most array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        held = {k[0]: tuple(v) for k, v in self._open.iterator()} if self._open.exists() else {}
-        before = dict(held)
+        held = self._held()
+        due = self._due(held)
         for batch in rows:
-            # Runs of events within a gap of each other are one piece, whatever their number.
-            batch = pd.DataFrame({"at": batch["at_us"].to_numpy(), "value": batch["value"].to_numpy()}).sort_values("at")
-            run = (batch["at"].diff() >= self._gap * 1000).cumsum()
-            pieces = batch.groupby(run).agg(start=("at", "min"), last=("at", "max"), n=("at", "size"), most=("value", "max"))
-            for start, last, n, most in pieces.itertuples(index=False):
-                held = self._joined(held, int(start), (int(last), int(n), float(most)))
-        for start in before:
-            if held.get(start) != before[start]:
-                self._handle.deleteTimer(self._end(before[start][0]))
-                if start not in held:
-                    self._open.removeKey((start,))
-        for start, session in held.items():
-            if before.get(start) != session:
-                self._open.updateValue((start,), session)
-            self._handle.registerTimer(self._end(session[0]))
+            events = {"key": batch["key"], "start_us": batch["at_us"], "last_us": batch["at_us"], "n": 1, "most": batch["value"].astype("float64")}
+            held = self._joined(pd.concat([held, pd.DataFrame(events)], ignore_index=True) if held is not None else pd.DataFrame(events))
+        self._keep(held, due)
         yield from ()
 
-    def _joined(self, held: dict, start: int, piece: tuple) -> dict:
-        """held with a piece, which may join several sessions to one."""
-        last, n, most = piece
-        rest = {}
-        for s, (e, m, top) in held.items():
-            if start - e < self._gap * 1000 and s - last < self._gap * 1000:
-                start, last, n, most = min(start, s), max(last, e), n + m, max(most, top)
-            else:
-                rest[s] = (e, m, top)
-        return rest | {start: (last, n, most)}
-
-    def _end(self, last_us: int) -> int:
-        return -(-last_us // 1000) + self._gap
+    def _joined(self, pieces: pd.DataFrame) -> pd.DataFrame:
+        """Pieces of a key that are less than a gap apart are one."""
+        pieces = pieces.assign(code=pd.factorize(pieces["key"])[0]).sort_values(["code", "start_us"])
+        code, start = pieces["code"].to_numpy(), pieces["start_us"].to_numpy()
+        so_far = pieces.groupby("code")["last_us"].cummax().to_numpy()
+        at = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (start[1:] - so_far[:-1] >= self._gap * 1000)])
+        # fmax passes over what is no number, as nulls are here.
+        found = {"last_us": np.maximum.reduceat(pieces["last_us"].to_numpy(), at), "n": np.add.reduceat(pieces["n"].to_numpy(), at), "most": np.fmax.reduceat(pieces["most"].to_numpy(), at)}
+        return pieces.iloc[at][["key", "start_us"]].assign(**found).reset_index(drop=True)
+
+    def _held(self) -> pd.DataFrame | None:
+        if not self._open.exists():
+            return None
+        return pd.DataFrame({n: pd.Series(list(c)) for n, c in zip(("key", "start_us", "last_us", "n", "most"), self._open.get(), strict=True)})
+
+    def _ends(self, held: pd.DataFrame) -> np.ndarray:
+        """In milliseconds, rounded up."""
+        return -(-held["last_us"].to_numpy() // 1000) + self._gap
+
+    def _due(self, held: pd.DataFrame | None) -> int | None:
+        return None if held is None else int(self._ends(held).min())
+
+    def _keep(self, held: pd.DataFrame, timer: int | None) -> None:
+        """Stores open sessions with a timer for the first; timer is the one that is set."""
+        due = self._due(held) if len(held) else None
+        if timer is not None and timer != due:
+            self._handle.deleteTimer(timer)
+        if due is None:
+            self._open.clear()
+            return
+        keys = [None if pd.isna(k) else k for k in held["key"].tolist()]
+        self._open.update((keys, *(held[c].tolist() for c in ("start_us", "last_us", "n", "most"))))
+        if timer != due:
+            self._handle.registerTimer(due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        closed = [(k[0], tuple(v)) for k, v in self._open.iterator() if self._end(v[0]) <= due]
-        for start, _ in closed:
-            self._open.removeKey((start,))
-        if closed:
-            yield pd.DataFrame(
-                {"key": [key[0]] * len(closed), "start_us": [s for s, _ in closed], "last_us": [v[0] for _, v in closed], "n": [v[1] for _, v in closed], "most": [v[2] for _, v in closed]}
-            )
+        held = self._held()
+        if held is None:
+            return
+        over = self._ends(held) <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        if over.any():
+            # Spark drops the timer that has expired.
+            self._keep(held[~over], None)
+            yield held[over].reset_index(drop=True)
 
     def close(self) -> None:
         pass
 
 
-def timed_sessions(events: DataFrame, gap_seconds: int, key: str, value: str, at: str = "ts") -> DataFrame:
-    """key, start, last, n and most (of value) of each session, when the watermark passes its last event by the gap: state
-    kept by key, with timers of event time. Events in a batch may come in any order. State holds open sessions
-    only. Needs the RocksDB state store and a watermark on at."""
+def timed_sessions(events: DataFrame, gap_seconds: int, key: str, value: str, at: str = "ts", groups: int = 256) -> DataFrame:
+    """key, start, last, n and most (of value) of each session, when the watermark passes its last event by the gap. Events
+    in a batch may come in any order. State holds open sessions only, of each of so many groups of keys as one value with
+    one timer of event time, since a call for each key costs milliseconds; groups can't change once a checkpoint
+    is there. Events without a time are in no session. Needs the RocksDB state store and a watermark on at."""
     kind = events.schema[key].dataType.simpleString()
-    rows = events.select(F.col(key).alias("key"), F.unix_micros(at).alias("at_us"), F.col(value).cast("double").alias("value"), F.col(at).alias("_at"))
-    closed = rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Sessions(gap_seconds * 1000), outputStructType=f"key {kind}, start_us long, last_us long, n long, most double", outputMode="Append", timeMode="EventTime"
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(groups)))
+    timed_ = events.filter(F.col(at).isNotNull())
+    rows = timed_.select(group.cast("int").alias("group"), F.col(key).alias("key"), F.unix_micros(at).alias("at_us"), F.col(value).cast("double").alias("value"), F.col(at).alias("_at"))
+    closed = rows.groupBy("group").transformWithStateInPandas(
+        statefulProcessor=_Sessions(gap_seconds * 1000, kind), outputStructType=f"key {kind}, start_us long, last_us long, n long, most double", outputMode="Append", timeMode="EventTime"
     )
     return closed.select("key", F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("last_us").alias("last"), "n", "most")

@@ -169,3 +169,23 @@ def test_sessions_that_join(spark, tmp_path):
     found = sorted((r.key, r.start.timestamp() - base, r["last"].timestamp() - base, r.n, r.most) for r in got)
     # 0, 1700, 3300 and 5000 are one session; user 3's is open.
     assert found == [(1, 0, 5000, 4, 9.0), (2, 100, 100, 1, 4.0), (2, 5100, 5200, 2, 3.0)]
+
+
+def test_timed_sessions_of_many_keys(spark, tmp_path):
+    """A session grows over arrivals, one without a key is one key's; few calls, many keys in one group."""
+    from brindle.sources import replay
+
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    rows = [(k, at(m), float(v), n) for k in (None, *range(40)) for m, v, n in ((0, 1, 0), (29, 5, 1), (58, 2, 0), (150, 7, 1), (300, 0, 2))]
+    df = spark.createDataFrame(rows, "user_id long, t string, value double, n long").withColumn("ts", F.to_timestamp("t"))
+    replay.deliver(df.drop("t"), f"{tmp_path}/in", F.col("n"))
+    stream = replay.stream(spark, f"{tmp_path}/in", df.drop("t").schema).withWatermark("ts", "60 minutes")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = windows.timed_sessions(stream, 1800, "user_id", "value", groups=3)
+        found.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start(f"{tmp_path}/out").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = {(r.key, str(r.start)[11:16], str(r["last"])[11:16], r.n, r.most) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(k, s, e, n, m) for k in (None, *range(40)) for s, e, n, m in (("00:00", "00:58", 3, 5.0), ("02:30", "02:30", 1, 7.0))}
