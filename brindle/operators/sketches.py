@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def by_part(rows: DataFrame, by: list[str], distinct: str, value: str, lg: int = 14) -> DataFrame:
+#: Log of the nominal entries of sketches of distinct values: an error of some 0.8% (one standard deviation). Spark's own
+#: default, which a union takes unless told otherwise, is 12 and cuts finer sketches down to 1.6%.
+LG = 14
+
+
+def by_part(rows: DataFrame, by: list[str], distinct: str, value: str, lg: int = LG) -> DataFrame:
     """Of each part: HyperLogLog and theta sketches of distinct, a KLL sketch of value and n. A part's sketches have a
     bounded size, so this table grows with the number of parts only. Nulls are left out of sketches, not of n."""
     return rows.groupBy(*by).agg(
@@ -17,16 +22,16 @@ def by_part(rows: DataFrame, by: list[str], distinct: str, value: str, lg: int =
     )
 
 
-def united(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Sketches of coarser parts, from those of finer ones."""
+def united(parts: DataFrame, by: list[str], lg: int = LG) -> DataFrame:
+    """Sketches of coarser parts, from those of finer ones, which by_part() made with the same lg."""
     return parts.groupBy(*by).agg(
-        F.hll_union_agg("hll").alias("hll"), F.theta_union_agg("theta").alias("theta"), F.kll_merge_agg_double("kll").alias("kll"), F.sum("n").alias("n")
+        F.hll_union_agg("hll").alias("hll"), F.theta_union_agg("theta", lg).alias("theta"), F.kll_merge_agg_double("kll").alias("kll"), F.sum("n").alias("n")
     )
 
 
-def overlap(a: Column, b: Column) -> dict[str, Column]:
-    """Distinct values in both, in a only and in either, estimated from two theta sketches."""
-    found = {"both": F.theta_intersection(a, b), "only": F.theta_difference(a, b), "either": F.theta_union(a, b)}
+def overlap(a: Column, b: Column, lg: int = LG) -> dict[str, Column]:
+    """Distinct values in both, in a only and in either, estimated from two theta sketches of lg."""
+    found = {"both": F.theta_intersection(a, b), "only": F.theta_difference(a, b), "either": F.theta_union(a, b, lg)}
     return {n: F.theta_sketch_estimate(s) for n, s in found.items()}
 
 

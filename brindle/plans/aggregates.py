@@ -340,7 +340,7 @@ def sketch_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of two years, from one theta sketch a year: how many bought in both, the first only, either. The
     exact figures, and whether the estimates come near (by NEAR of all in either)."""
     orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate")).filter("year IN (1996, 1997)")
-    years = orders.groupBy("year").agg(F.theta_sketch_agg("o_custkey", 14).alias("theta"))
+    years = orders.groupBy("year").agg(F.theta_sketch_agg("o_custkey", sketches.LG).alias("theta"))
     pair = years.agg(*(F.any_value(F.when(F.col("year") == y, F.col("theta")), ignoreNulls=True).alias(f"y{y}") for y in (1996, 1997)))
     guess = pair.select(*(c.alias(f"{n}_guess") for n, c in sketches.overlap(F.col("y1996"), F.col("y1997")).items()))
     each = orders.groupBy("o_custkey").agg(F.bool_or(F.col("year") == 1996).alias("a"), F.bool_or(F.col("year") == 1997).alias("b"))

@@ -43,3 +43,16 @@ def test_percentiles_of_ties_and_nulls(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 4.0), ("a", None), ("b", 7.0), ("c", None)], "k string, v double")
     got = {r.k: (r.low, r.mid, r.top) for r in quantiles(rows, "k", "v", [("low", 0.0), ("mid", 0.75), ("top", 1.0)]).collect()}
     assert got == {"a": (1.0, 2.5, 4.0), "b": (7.0, 7.0, 7.0)}
+
+
+def test_unions_of_sketches_lose_nothing(spark):
+    """A union is as fine as its parts: of a sketch and of one of a part of its values, it is that sketch."""
+    from brindle.operators import sketches
+
+    rows = spark.range(90_000).select(F.col("id").alias("k"), F.lit(1.0).alias("x"), (F.col("id") % 3).alias("part"))
+    agg = lambda c: F.theta_sketch_agg(c, sketches.LG)
+    pair = rows.agg(agg("k").alias("a"), agg(F.when(F.col("part") == 0, F.col("k"))).alias("b"), F.theta_sketch_estimate(agg("k")).alias("n"))
+    got = pair.select("n", sketches.overlap(F.col("a"), F.col("b"))["either"].alias("either")).first()
+    assert got.either == got.n
+    united = sketches.united(sketches.by_part(rows, ["part"], "k", "x"), []).select(F.theta_sketch_estimate("theta").alias("n")).first()
+    assert united.n == got.n
