@@ -36,10 +36,12 @@ def ranks(rows: DataFrame, by: list[str], order: list[str], names: dict[str, str
     # The first peers of each partition, carried forward and back.
     measures = {"_peers": F.count("_start"), "_last": F.max("_start"), "_least": F.min("_start")}
     runs = ranges.carried(placed, by, measures, {"_groups": F.sum("_peers"), "_open": F.max("_last")})
-    later = Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    # What is ahead is looked up backwards: Spark reads a frame that ends the group anew for each row.
+    later = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_next", F.min("_least").over(later))
     both = ranges.joined(placed, runs, by, ["_groups", "_open", "_next"])
-    so_far, ahead = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(1, Window.unboundedFollowing)
+    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys, "_part").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
     rank = F.coalesce(F.max("_start").over(so_far), F.col("_open")) + 1
     end = F.coalesce(F.min("_start").over(ahead), F.col("_next"), F.col("_size"))
     found = {

@@ -139,3 +139,10 @@ def test_samples(spark):
     assert n["0"] == 5000 and abs(n["1"] - 2500) < 200 and set(n) == {"0", "1"}
     odd = spark.createDataFrame([(None, None), (1, None), (None, "0")], "k long, s string")
     assert sampling.by_key(odd, "k", 1.0, "x").count() == 1 and sampling.stratified(odd, "k", "s", {"0": 1.0}, "x").count() == 0
+
+
+def test_ranks_look_ahead_once(spread):
+    """A frame that ends a group is read anew for each row, so none is used."""
+    df = spread.createDataFrame(_rows(), "id long, g string, v long, x double")
+    plan = ranks(df, ["g"], ["v"], {k: k for k in KINDS}, ties=["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
