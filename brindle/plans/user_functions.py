@@ -101,14 +101,19 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
 
 
 def cogrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and events of each customer, side by side."""
-
-    def both(key: tuple, orders: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "n_orders": [len(orders)], "n_events": [len(events)]})
-
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).groupBy("key")
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key")).groupBy("key")
-    return orders.cogroup(events).applyInPandas(both, "key long, n_orders long, n_events long")
+    """Orders and events of each customer, side by side: a group of customers in one call. As in a join, what has no key
+    has no counterpart."""
+
+    def both(orders: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
+        n = {"n_orders": orders["key"].value_counts(), "n_events": events["key"].value_counts()}
+        known = pd.DataFrame(n).fillna(0).astype("int64").rename_axis("key").reset_index().astype({"key": "Int64"})
+        without = [{"key": pd.NA, "n_orders": o, "n_events": e} for o, e in ((orders["key"].isna().sum(), 0), (0, events["key"].isna().sum())) if o + e]
+        return pd.concat([known, pd.DataFrame(without).astype({"key": "Int64"})]) if without else known
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"))
+    group = _group("key", _groups(orders, events))
+    return orders.groupBy(group).cogroup(events.groupBy(group)).applyInPandas(both, "key long, n_orders long, n_events long")
 
 
 COGROUPED = """
