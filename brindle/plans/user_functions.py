@@ -69,14 +69,19 @@ def _group(key: str, n: int) -> Column:
 
 
 def pandas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An average weighted by another column, of each order's lines."""
-
-    @F.pandas_udf("double")
-    def weighted(values: pd.Series, weights: pd.Series) -> float:
-        return float((values * weights).sum() / weights.sum())
-
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
-    return lines.agg(weighted("l_discount", "l_quantity").alias("discount")).select("l_orderkey", F.round("discount", 9).alias("discount"))
+    """An average weighted by another column, of each order's lines: those of a group of orders in one call."""
+
+    @F.pandas_udf("array<struct<l_orderkey: long, discount: double, known: boolean>>")
+    def weighted(keys: pd.Series, values: pd.Series, weights: pd.Series) -> list:
+        sums = pd.DataFrame({"product": values * weights, "weight": weights}).groupby(keys, dropna=False, sort=False).sum(min_count=1)
+        rows = zip(sums.index, sums["product"] / sums["weight"], sums.notna().all(axis=1), strict=True)
+        return [{"l_orderkey": None if pd.isna(k) else int(k), "discount": v, "known": known} for k, v, known in rows]
+
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_quantity")
+    found = lines.groupBy(_group("l_orderkey", _groups(lines))).agg(weighted("l_orderkey", "l_discount", "l_quantity").alias("orders"))
+    # What is no number comes back as null, as 0 / 0 does.
+    discount = F.when(F.col("known"), F.coalesce(F.round("discount", 9), F.lit(float("nan"))))
+    return found.select(F.inline("orders")).select("l_orderkey", discount.alias("discount"))
 
 
 PANDAS_AGGREGATE = "SELECT l_orderkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS discount FROM lineitem GROUP BY l_orderkey"
