@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: text has one string column, a line a row.
@@ -16,14 +17,28 @@ _OPTIONS = {
     "json": {"ignoreNullFields": "false", **_TIMES},
 }
 
+#: Formats whose files can't be split, so that one task reads a file whole, with the bytes that they take for one of
+#: JSON at most, about; and the bytes of such a file, about.
+_WHOLE, FILE_BYTES = {"csv": 1, "xml": 2}, 32 << 20
+
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, mode: str = "error") -> None:
     """One file for each task; with partition_by, rows are first brought together by those columns so
-    that a folder gets few files, and AQE splits those of a hot value."""
+    that a folder gets few files, and AQE splits those of a hot value. Where one task will read a file whole, rows are
+    measured first, in a pass of its own, and files get about FILE_BYTES each."""
     if fmt not in FORMATS:
         raise ValueError(f"{fmt} is none of {FORMATS}")
-    rows = df.hint("rebalance", *partition_by) if partition_by else df
-    writer = rows.write.format(fmt).options(**_OPTIONS.get(fmt, {})).mode(mode)
+    rows, options = df, dict(_OPTIONS.get(fmt, {}))
+    if fmt in _WHOLE:
+        width = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}))
+        n, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0)) * _WHOLE[fmt]).first()
+        parts = -(-size // FILE_BYTES)
+        if parts > 1:
+            rows = rows.repartition(parts)
+            # A task of repartition() has n / parts rows, give or take a few; one of a folder may have all.
+            options["maxRecordsPerFile"] = -(-n // parts) * (1 if partition_by else 2)
+    rows = rows.hint("rebalance", *partition_by) if partition_by else rows
+    writer = rows.write.format(fmt).options(**options).mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 

@@ -146,3 +146,16 @@ def test_text_lines(spark, tmp_path):
     df = spark.createDataFrame([("a b",), ("",), ("é ,",)], "value string")
     files.write(df, f"{tmp_path}/t", "text")
     assert sorted(files.read(spark, f"{tmp_path}/t", "text").collect()) == sorted(df.collect())
+
+
+@pytest.mark.parametrize("fmt", ["csv", "xml"])
+def test_files_that_are_read_whole_are_small(spark, tmp_path, monkeypatch, fmt):
+    """Rows of one task become many files, with and without folders."""
+    monkeypatch.setattr(files, "FILE_BYTES", 1 << 16, raising=False)
+    df = spark.read.parquet(f"{SF}/lineitem.parquet").coalesce(1)
+    for name, by in (("plain", None), ("folders", ["l_returnflag"])):
+        files.write(df, f"{tmp_path}/{name}", fmt, partition_by=by)
+        sizes = [f.stat().st_size for f in (tmp_path / name).rglob("part-*") if not f.name.endswith(".crc")]
+        assert len(sizes) > 4 and max(sizes) < 2 * (1 << 16)
+        back = files.read(spark, f"{tmp_path}/{name}", fmt, df.schema)
+        assert rows(df.columns, df.collect()) == rows(df.columns, back.select(*df.columns).collect())
