@@ -361,8 +361,11 @@ def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their orders, from two tables stored in buckets by order: neither side is shuffled."""
     suffix = uuid.uuid4().hex
     orders, lines = f"orders_{suffix}", f"lines_{suffix}"
-    files.write_bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), orders, ["o_orderkey"], 8)
-    files.write_bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), lines, ["l_orderkey"], 8)
+    left = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    right = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    n = files.buckets(left, right)
+    files.write_bucketed(right, orders, ["o_orderkey"], n)
+    files.write_bucketed(left, lines, ["l_orderkey"], n)
     joined = bucketed_join(spark, lines, orders)
     rows = cut(joined)
     for name in (orders, lines):

@@ -20,6 +20,8 @@ _OPTIONS = {
 #: Formats whose files can't be split, so that one task reads a file whole, with the bytes that they take for one of
 #: JSON at most, about; and the bytes of such a file, about.
 _WHOLE, FILE_BYTES = {"csv": 1, "xml": 2}, 32 << 20
+#: Rows of a bucket, about: one task reads, sorts and joins it. Spark's limit of buckets.
+BUCKET_ROWS, MOST_BUCKETS = 500_000, 100_000
 
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, mode: str = "error") -> None:
@@ -52,6 +54,11 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructTyp
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def buckets(*tables: DataFrame, least: int = 8) -> int:
+    """How many buckets tables that are to be joined need, so that none has many more than BUCKET_ROWS rows of a table."""
+    return min(MOST_BUCKETS, max(least, *(-(-t.count() // BUCKET_ROWS) for t in tables)))
+
+
 def write_bucketed(df: DataFrame, name: str, by: list[str], buckets: int) -> None:
     """A table that joins and groups on ``by`` without a shuffle. Rows are shuffled once, here."""
     rows = df.repartition(buckets, *by)

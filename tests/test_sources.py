@@ -159,3 +159,8 @@ def test_files_that_are_read_whole_are_small(spark, tmp_path, monkeypatch, fmt):
         assert len(sizes) > 4 and max(sizes) < 2 * (1 << 16)
         back = files.read(spark, f"{tmp_path}/{name}", fmt, df.schema)
         assert rows(df.columns, df.collect()) == rows(df.columns, back.select(*df.columns).collect())
+
+
+def test_buckets_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(files, "BUCKET_ROWS", 100)
+    assert files.buckets(spark.range(5000), spark.range(90)) == 50 and files.buckets(spark.range(3), spark.range(9)) == 8
