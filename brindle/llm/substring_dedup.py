@@ -49,14 +49,19 @@ DEPTH = 2
 BLOCK_BITS, PART_BITS, MIN_BITS, MAX_BITS = 22, 26, 16, 33
 #: Windows that a task counts at once, or compares with the sketch at once, and places that it sends or a
 #: bucket holds at once.
-COUNTED, HELD, MOST = 3 << 20, 1 << 20, 1 << 18
+COUNTED, HELD, MOST = 3 << 20, 1 << 19, 1 << 17
+#: Windows whose cells are worked out at once.
+STEP = 1 << 16
 #: Texts' bytes for each bucket of windows, and the least number of buckets.
 BUCKET_BYTES, MIN_BUCKETS = 2 << 20, 256
 
 
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """The cells of windows in a row of 2 ** bits cells."""
-    return (words.mix(h + np.uint64(row + 1)) >> np.uint64(64 - bits)).astype(np.int64)
+    """The cells of windows in a row of 2 ** bits cells, bits being 32 at most. Work arrays are those of STEP windows."""
+    out = np.empty(len(h), np.uint32)
+    for i in range(0, len(h), STEP):
+        out[i : i + STEP] = words.mix(h[i : i + STEP] + np.uint64(row + 1)) >> np.uint64(64 - bits)
+    return out
 
 
 def _sizes(total: int) -> tuple[int, int]:
@@ -103,22 +108,22 @@ def _places(data: bytes) -> np.ndarray:
 def _counted(part_bits: int, bits: int, size: int):
     def cells_of(part: int, row: int, cells: np.ndarray) -> pa.RecordBatch:
         """The sorted cells of a part's row, by block."""
-        block = cells >> BLOCK_BITS
-        starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(cells)]
-        places = cells & ((1 << BLOCK_BITS) - 1)
-        packed = [_packed_places(places[i:j]) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        block = np.arange((int(cells[-1]) >> BLOCK_BITS) + 2, dtype=np.int64)
+        starts = np.searchsorted(cells, (block << BLOCK_BITS).astype(np.uint32)).tolist()
+        own = [(k, i, j) for k, i, j in zip(block.tolist(), starts[:-1], starts[1:], strict=False) if i < j]
+        packed = [_packed_places((cells[i:j] & np.uint32((1 << BLOCK_BITS) - 1)).astype(np.int64)) for _, i, j in own]
         n = len(packed)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, row), pa.int32()), pa.array(block[starts[:-1]], pa.int32()), pa.array(packed, pa.binary())],
+            [pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, row), pa.int32()), pa.array([k for k, _, _ in own], pa.int32()), pa.array(packed, pa.binary())],
             names=["part", "row", "block", "places"],
         )
 
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         bounds = [np.searchsorted(h, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)) for h in held] if part_bits else [[0]] * len(held)
         for part in range(1 << part_bits):
-            own = np.concatenate([h[b[part] : b[part + 1] if part + 1 < len(b) else None] for h, b in zip(held, bounds, strict=True)])
-            for row in range(DEPTH if len(own) else 0):
-                cells = _cells(own, row, bits)
+            own = [h[b[part] : b[part + 1] if part + 1 < len(b) else None] for h, b in zip(held, bounds, strict=True)]
+            for row in range(DEPTH if any(map(len, own)) else 0):
+                cells = np.concatenate([_cells(h, row, bits) for h in own])
                 cells.sort()
                 first = np.r_[True, cells[1:] != cells[:-1]]
                 again = np.r_[False, ~first[1:] & first[:-1]]
@@ -200,10 +205,12 @@ class Sketch:
         out = np.zeros(len(h), bool)
         for part, open_ in _by_part(h, self.part_bits):
             cells_set = self.cells(part)
-            for row in range(DEPTH):
-                cells = _cells(h[open_], row, self.bits)
-                open_ = open_[(cells_set[row, cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 > 0]
-            out[open_] = True
+            for i in range(0, len(open_), STEP):
+                some = open_[i : i + STEP]
+                for row in range(DEPTH):
+                    cells = _cells(h[some], row, self.bits)
+                    some = some[(cells_set[row, cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 > 0]
+                out[some] = True
         return out
 
 

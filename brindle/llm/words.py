@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Distinct words, of SHORT bytes at most, whose fingerprint a Python worker remembers, some 25 MB.
-REMEMBERED, SHORT = 1 << 17, 64
+#: Distinct words, of SHORT bytes at most, whose fingerprint a Python worker remembers, some 6 MB.
+REMEMBERED, SHORT = 1 << 15, 64
 
 
 class _Fingerprints(dict):
