@@ -343,14 +343,14 @@ _DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
 def from_database(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders over 100,000 written to a database and read from it by four queries. The database, which Spark ships with,
-    lives in one process: local sessions only."""
-    path = folder(spark).removeprefix("file:")
-    url, name = f"jdbc:derby:directory:{path};create=true", "orders"
-    jdbc.write(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), url, name, _DERBY)
-    dear = jdbc.read(spark, url, name, _DERBY, "o_orderkey").filter("o_totalprice > 100000").select("o_orderkey", "o_totalprice")
+    """Orders over 100,000 from databases that hold all orders, one query for each; four tasks at least fill them. They
+    are of the kind that Spark ships with."""
+    home = folder(spark).removeprefix("file:")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    urls = jdbc.fill(orders, home, "orders")
+    dear = jdbc.read_filled(spark, urls, orders, "orders", _DERBY).filter("o_totalprice > 100000").select("o_orderkey", "o_totalprice")
     rows = cut(dear)
-    delete(spark, path)
+    delete(spark, home)
     return rows
 
 

@@ -1,7 +1,12 @@
 """Round trips through files, partitions and buckets."""
 
+import os
+import subprocess
+import sys
+
+import pyspark
 import pytest
-from comparing import DATA, rows
+from comparing import DATA, rows, same
 from pyspark.sql import functions as F
 
 from brindle.functions.vectors import cosine
@@ -129,6 +134,63 @@ def test_database_gets_filters_and_partitions(spark, tmp_path):
     assert jdbc.read(spark, url, "nothing", _DERBY, "o_orderkey").count() == 0
 
 
+_ON_A_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__
+
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "1g", "spark.checkpoint.dir": sys.argv[2], "spark.ui.enabled": "false"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+__spark_entry__.queries()["source_jdbc"](spark, sys.argv[1]).write.parquet(sys.argv[3])
+"""
+
+
+def test_database_query_on_a_cluster(spark, tmp_path):
+    """Driver and executors are processes of their own; they log to a Spark home of links."""
+    from brindle.plans.streams import FROM_DATABASE
+
+    home, here = tmp_path / "home", os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (home / "work").mkdir(parents=True)
+    for name in os.listdir(os.path.dirname(pyspark.__file__)):
+        if name != "work":
+            (home / name).symlink_to(f"{os.path.dirname(pyspark.__file__)}/{name}")
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))}
+    env |= {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": here, "PYSPARK_PYTHON": sys.executable}
+    args = [sys.executable, "-c", _ON_A_CLUSTER, SF, f"{tmp_path}/shared", f"{tmp_path}/out"]
+    done = subprocess.run(args, env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+    same(spark.read.parquet(f"{tmp_path}/out"), SF, FROM_DATABASE)
+
+
+def test_databases_of_tasks_hold_all_rows(spark, tmp_path, monkeypatch):
+    from brindle.plans.streams import _DERBY
+    from brindle.sources import jdbc
+
+    monkeypatch.setattr(jdbc, "DATABASE_ROWS", 20)
+    some = ["id AS `a \"key\"`", "CAST(id % 7 - 3 AS int) AS small", "CAST(nullif(id % 5, 0) AS int) AS gone"]
+    df = spark.range(110).selectExpr(*some, "pow(-3, id) / 7 AS x", "date_add(DATE'1969-12-28', CAST(nullif(id, 9) AS int)) AS day")
+    df = df.union(spark.sql("SELECT 9223372036854775807L, NULL, NULL, 1.7976931348623157E308D, NULL"))
+    urls = jdbc.fill(df, f"{tmp_path}/filled", "nums")
+    assert len(urls) == 6
+    back = jdbc.read_filled(spark, urls, df, "nums", _DERBY)
+    assert back.dtypes == df.dtypes and back.rdd.getNumPartitions() == 6
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    few = back.filter("small > 1")
+    assert few._jdf.queryExecution().executedPlan().toString().count("GreaterThan(small,1)") == 6
+    assert few.count() == df.filter("small > 1").count()
+    assert jdbc.fill(df.limit(0), f"{tmp_path}/none", "nums") == []
+    assert jdbc.read_filled(spark, [], df, "nums", _DERBY).collect() == []
+
+
+def test_databases_of_tasks_refuse_what_they_would_change(spark, tmp_path):
+    from brindle.sources import jdbc
+
+    with pytest.raises(ValueError, match="text"):
+        jdbc.fill(spark.sql("SELECT 1 AS k, 'a' AS text"), str(tmp_path), "t")
+    with pytest.raises(ValueError, match="local paths"):
+        jdbc.fill(spark.range(1), "hdfs://host/x", "t")
+
+
 def test_bucketed_query_has_no_shuffle(spark):
     from brindle.plans.streams import bucketed_join
 
